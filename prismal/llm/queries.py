@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismal.llm import chat, decontam, langid, simhash, tiff, token_counts, toxicity
+from prismal.llm import chat, decontam, langid, packing, simhash, suffix_dedup, tiff, token_counts, toxicity, warc_zip
 from prismal.llm.common import documents
 
 
@@ -30,6 +30,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted", "n_sentences", F.size("offending").alias("n_offending"))
 
 
+def op3_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    records = warc_zip.archive_round_trip(spark, pages, min_bytes=0)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held = toxicity.remainder("doc_id", 5) == 0
@@ -41,6 +47,14 @@ def op5_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), 2048)
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(documents(spark, sf_dir), size=50)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
 
@@ -55,7 +69,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash_groups, op2_toxicity, op4_language, op5_perspectives, op8_token_counts, op9_tiff, op10_decontamination)
+    for f in (
+        op1_simhash_groups, op2_toxicity, op3_warc_zip, op4_language, op5_perspectives, op6_packing, op7_suffix_dedup, op8_token_counts,
+        op9_tiff, op10_decontamination,
+    )
 }
 
 ORACLES: dict[str, str] = {
