@@ -24,7 +24,7 @@ from prismal.llm.common import ship, slices
 SIZE = 50
 KMER = 8
 #: Bytes of runs that a shard should hold, of text that a map step takes at once, and of text in a final bucket.
-SHARD_BYTES, CHUNK_BYTES, BUCKET_BYTES = 6 << 20, 4 << 20, 12 << 20
+SHARD_BYTES, CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20, 8 << 20
 #: Bytes of runs for a byte of text: a run of about 21 windows and the 49 bytes behind it, at 2 runs in 44 bytes.
 BLOW_UP = 3.2
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -140,19 +140,26 @@ def earlier_windows(data: bytes, starts: np.ndarray, docs: np.ndarray, size: int
         return gone
     run = np.cumsum(np.concatenate([[True], sorted_name[paired][1:] != sorted_name[paired][:-1]])) - 1
     head = np.flatnonzero(np.diff(run, prepend=-1))
-    places = [*range(0, size - 7, 8), size - 8] if size % 8 else [*range(0, size, 8)]
+    places = [*range(0, size - 7, 8), *([size - 8] if size % 8 else [])]
     view, at = _words(data), starts[some]
-    words = np.stack([view[at + p] for p in places], axis=1).byteswap()
-    if (words != words[head][run]).any():
-        order = np.lexsort((docs[some], *(words[:, k] for k in range(len(places) - 1, -1, -1))))
-    else:
-        # one suffix of each name is sorted; its equals follow by document
-        place = np.empty(len(head), np.int64)
-        place[suffix_order(words[head])] = np.arange(len(head))
-        order = np.lexsort((docs[some], place[run]))
-    w, d = words[order], docs[some][order]
-    lcp = np.zeros(len(order), np.int16)
-    lcp[1:] = common_prefix(w[:-1], w[1:], places, size)
+    if any((view[at + p] != view[at[head] + p][run]).any() for p in places):
+        # two strings under one name: every window is then a suffix of its own
+        head, run = np.arange(len(some)), np.arange(len(some))
+    # one suffix of each name is sorted; its equals follow by document
+    words = np.stack([view[at[head] + p] for p in places], axis=1).byteswap()
+    by_text = suffix_order(words)
+    between = np.zeros(len(head), np.int16)
+    between[1:] = common_prefix(words[by_text[:-1]], words[by_text[1:]], places, size)
+    # windows that share a text without a name also share a place
+    place = np.empty(len(head), np.int64)
+    place[by_text] = np.cumsum(between < size) - 1
+    between = between[(between < size)]
+    key = place[run] * (int(docs.max()) + 1) + docs[some]
+    order = np.argsort(key)
+    d, spot = docs[some][order], place[run][order]
+    lcp = between[spot]
+    lcp[1:][spot[1:] == spot[:-1]] = size
+    lcp[0] = 0
     back = previous_smaller(d, lcp, size)
     # the next smaller is the previous smaller of the order read backwards
     ahead = previous_smaller(d[::-1], np.concatenate([[0], lcp[:0:-1]]).astype(np.int16), size)[::-1]
