@@ -23,7 +23,7 @@ SEED = 42
 #: Fingerprints the driver may hold while it places vantage points.
 SAMPLE = 20_000
 #: Rows that a shard should hold; leaves are split or salted until they do.
-SHARD_ROWS = 24_000
+SHARD_ROWS = 64_000
 #: Homes below which a shard compares directly.
 DIRECT = 256
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -169,11 +169,11 @@ class Groups:
         self.up = self.up[self.up]
 
 
-def link_shard(homes: np.ndarray, guests: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+def link_shard(homes: np.ndarray, guests: np.ndarray, reach: int, among: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links (fingerprint, smallest fingerprint of its group) over one shard's homes and guests.
 
-    Every pair of a home with a home or guest within ``reach`` is found; the
-    search goes down local vantage-point splits and compares blocks below
+    Every pair of a home with a guest within ``reach`` is found, and with
+    ``among`` every pair of homes; the search goes down local vantage-point splits and compares blocks below
     ``DIRECT`` homes.
     """
     fps = np.concatenate([homes, guests])
@@ -181,7 +181,7 @@ def link_shard(homes: np.ndarray, guests: np.ndarray, reach: int) -> tuple[np.nd
     stack = [(np.arange(len(homes)), np.arange(len(homes), len(fps)))]
     while stack:
         h, g = stack.pop()
-        if not len(h) or len(h) + len(g) < 2:
+        if not len(h) or len(h) * among + len(g) < 1 + among:
             continue
         split = best_split(fps[h], rng) if len(h) > DIRECT else None
         if split:
@@ -189,11 +189,11 @@ def link_shard(homes: np.ndarray, guests: np.ndarray, reach: int) -> tuple[np.nd
             d, e = hamming(fps[h], v).astype(np.int16), hamming(fps[g], v).astype(np.int16)
             inside = d <= mu
             a = h[inside], g[e <= mu + reach]
-            b = h[~inside], np.concatenate([h[inside & (d > mu - reach)], g[e > mu - reach]])
+            b = h[~inside], np.concatenate([h[inside & (d > mu - reach)][: None if among else 0], g[e > mu - reach]])
             if max(len(a[0]) + len(a[1]), len(b[0]) + len(b[1])) < 0.9 * (len(h) + len(g)):
                 stack += [a, b]
                 continue
-        q = np.concatenate([h, g])
+        q = np.concatenate([h, g]) if among else g
         for i in range(0, len(h), 512):
             hs = h[i : i + 512]
             for j in range(0, len(q), 4096):
@@ -222,30 +222,30 @@ def near_links(fps: DataFrame, reach: int = 3, sample: int = SAMPLE, shard_rows:
     rows = fps.orderBy(F.xxhash64("fp")).limit(sample).collect()
     tree = Tree(np.array([r.fp for r in rows], np.int64).view(np.uint64), total, reach, shard_rows)
     known = spark.sparkContext.broadcast(tree)
-    out = pa.schema([("shard", pa.int32()), ("salt", pa.int32()), ("role", pa.int8()), ("fp", pa.int64())])
+    out = pa.schema([("shard", pa.int32()), ("salt", pa.int32()), ("homes", pa.binary()), ("asking", pa.binary())])
 
     def route(batches):
+        # a row for each shard that a batch reaches: the batch's homes there, and the fingerprints that look for partners
         for batch in batches:
             f = batch.column(0).to_numpy().view(np.uint64)
+            rows: dict[str, list] = {c: [] for c in out.names}
             for shard, homes, guests in known.value.route(f):
                 k = known.value.chunks[shard]
                 for salt in range(k):
-                    mine = homes % np.uint64(k) == salt
-                    visit = guests[guests % np.uint64(k) == salt]
-                    fp = np.concatenate([homes, visit])
-                    role = np.concatenate([mine.astype(np.int8), np.full(len(visit), 2, np.int8)])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), shard, np.int32)), pa.array(np.full(len(fp), salt, np.int32)), pa.array(role), pa.array(fp.view(np.int64))], schema=out)
+                    asking = np.concatenate([homes[homes % np.uint64(k) == salt], guests[guests % np.uint64(k) == salt]])
+                    for c, v in zip(out.names, (shard, salt, homes.tobytes(), asking.tobytes())):
+                        rows[c].append(v)
+            yield pa.RecordBatch.from_pydict(rows, out)
 
     def links(table: pa.Table) -> pa.Table:
-        role, fp = table["role"].to_numpy(), table["fp"].to_numpy().view(np.uint64)
-        homes, asking = fp[role < 2], fp[role == 1]
-        if len(asking) == len(homes):
-            a, b = link_shard(homes, fp[role == 2], reach)
-        else:
-            a, b = link_shard(homes, np.concatenate([asking, fp[role == 2]]), reach)
+        homes, asking = (np.frombuffer(b"".join(table[c].to_pylist()), np.uint64) for c in ("homes", "asking"))
+        guests = np.setdiff1d(asking, homes, assume_unique=True)
+        # in an unsalted shard every home asks; comparing homes among themselves then takes half the visits
+        whole = len(guests) + len(homes) == len(asking)
+        a, b = link_shard(homes, guests if whole else asking, reach, whole)
         return pa.table({"src": a.view(np.int64), "dst": b.view(np.int64)})
 
-    dealt = fps.select("fp").mapInArrow(route, "shard int, salt int, role tinyint, fp long")
+    dealt = fps.select("fp").mapInArrow(route, "shard int, salt int, homes binary, asking binary")
     return dealt.groupBy("shard", "salt").applyInArrow(links, "src long, dst long")
 
 
