@@ -25,7 +25,8 @@ CAPACITY = 2048
 #: Pieces that one partition packs, about.
 PARTITION_PIECES = 60_000
 ROUNDS = 2
-CACHE = 250_000
+#: Pre-tokens a worker keeps in each of two generations.
+CACHE = 700_000
 
 
 class WordEncoder:
@@ -47,8 +48,10 @@ class WordEncoder:
         for piece, i in vocab.items():
             self.ends[i] = piece.endswith("</w>")
         self.unsafe = re.compile("[^\\t\\n\\r -~¡«»¿À-ÖØ-öø-įĲ-ȳ]|<\\|")
-        self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+        # letters first: only an apostrophe begins both a suffix and a run of signs
+        self.split = re.compile(r"[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d|\d|(?:[^\s\w]|_)+")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
@@ -59,7 +62,7 @@ class WordEncoder:
                 whole.append(i)
             elif text:
                 cut.append((i, self.split.findall(text.lower())))
-        self._learn({w for _, ws in cut for w in ws})
+        self._learn(set().union(*(ws for _, ws in cut)))
         get, join = self.known.__getitem__, b"".join
         for i, ws in cut:
             out[i] = join(map(get, ws))
@@ -68,13 +71,17 @@ class WordEncoder:
         return out
 
     def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list(words)
+        # two generations: what was used since the last turn survives it, rare words do not
+        if len(self.known) > CACHE:
+            self.older, self.known = self.known, {}
+        new = words.difference(self.known)
+        again = new.intersection(self.older)
+        self.known.update(zip(again, map(self.older.__getitem__, again)))
+        new = list(new - again)
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
-            ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            # the fast form keeps no offsets
+            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(some):
                 for w in some:
@@ -104,7 +111,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
                     out[name].append(v)
         return out
 
-    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, piece int, start long, length long, ids_crc32 long", 4 << 20)
+    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
