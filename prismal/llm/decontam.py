@@ -69,10 +69,11 @@ def sketches(items: DataFrame) -> DataFrame:
     common = each.groupBy("h").agg(F.count("*").alias("df"))
     order = W.partitionBy("item_id").orderBy("df", "h")
     ranked = each.join(common, "h").withColumn("k", F.row_number().over(order))
+    # a document of a size partition needs at least as many distinct shingles as the partition's smallest item needs
     part = F.floor(F.log2("n_item")).cast("int")
-    # a document of this partition needs at least as many distinct shingles as its smallest item needs
-    least = F.min("need").over(W.partitionBy(part))
-    return ranked.withColumn("least", least).filter(F.col("k") <= F.col("n_item") - F.col("need") + 1).select("h", "item_id", "least")
+    sizes = items.groupBy(part.alias("part")).agg(F.min("need").alias("least"))
+    short = ranked.filter(F.col("k") <= F.col("n_item") - F.col("need") + 1).select("h", "item_id", part.alias("part"))
+    return short.join(F.broadcast(sizes), "part").select("h", "item_id", "least")
 
 
 def contaminated(
