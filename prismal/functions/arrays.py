@@ -34,7 +34,7 @@ def cosine(a: Column, b: Column, guard: float = 1e-30) -> Column:
 
 def standard_rows(v: Column, floor: float = 1e-12) -> Column:
     """A row's values less their mean, over their population deviation or the floor."""
-    n = F.size(v)
+    n = F.nullif(F.size(v), F.lit(0))  # an empty row has no mean and stays empty
 
     def of(s: Column) -> Column:
         sd = F.greatest(F.sqrt(F.aggregate(s["v"], F.lit(0.0), lambda a, x: a + (x - s["m"]) * (x - s["m"])) / n), F.lit(floor))
@@ -131,3 +131,8 @@ def invariants_from_activity(s: Column, rho: Column) -> Column:
 def scattering_factor(nu: Column, laser_nm: float = 785.0, kelvin: float = 298.15) -> Column:
     """(nu0 - nu)^4 / nu / (1 - exp(-c2 nu / T)), in wavenumbers; c2 is the second radiation constant."""
     return F.pow(F.lit(1e7 / laser_nm) - nu, 4) / nu / (1 - F.exp(-F.lit(1.4387769) * nu / kelvin))
+
+
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Pearson's r of an aggregation, null where a side does not vary (the built-in one divides by zero there)."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))

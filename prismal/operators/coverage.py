@@ -128,12 +128,12 @@ def consensus(rows: DataFrame, vector: str, id_col: str, min_corr: float = 0.9)
     """
     long = V.explode_vector(rows, vector, [id_col])
     mid = long.groupBy("k").agg(F.percentile("v", F.lit(0.5)).alias("m"))
-    r = long.join(mid, "k").groupBy(id_col).agg(F.corr("v", "m").alias("r"))
+    r = long.join(mid, "k").groupBy(id_col).agg(A.correlation("v", "m").alias("r"))
     n = rows.select(id_col).distinct().agg(F.count("*").alias("n_all"))
     kept = r.crossJoin(F.broadcast(n)).filter((F.col("n_all") < 3) | (F.col("r") >= min_corr))
-    good = long.join(kept.select(id_col, "n_all"), id_col)
-    per = good.groupBy("k").agg(F.avg("v").alias("mean"), F.percentile("v", F.lit(0.9)).alias("p90"), F.countDistinct(id_col).alias("n"), F.max("n_all").alias("n_all"))
-    every = per.agg(F.array_sort(F.collect_list(F.struct("k", "mean", "p90"))).alias("_p"), F.max("n").alias("n"), F.max("n_all").alias("n_all"))
+    good = long.join(kept.select(id_col), id_col)
+    per = good.groupBy("k").agg(F.avg("v").alias("mean"), F.percentile("v", F.lit(0.9)).alias("p90"), F.countDistinct(id_col).alias("n"))
+    every = per.agg(F.array_sort(F.collect_list(F.struct("k", "mean", "p90"))).alias("_p"), F.coalesce(F.max("n"), F.lit(0)).alias("n")).crossJoin(n)
     out = every.select(F.transform("_p", lambda s: s["mean"]).alias("mean"), F.transform("_p", lambda s: s["p90"]).alias("p90"), "n", "n_all")
     few = (F.col("n_all") >= 3) & (F.col("n") < F.greatest(F.lit(3.0), F.col("n_all") * 0.5))
     return out.filter(F.when(few, F.raise_error(F.lit("too few rows agree with the median")).cast("boolean")).otherwise(True))

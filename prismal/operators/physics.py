@@ -147,5 +147,5 @@ def rank_correlation(df: DataFrame, a: str, b: str, by=None) -> DataFrame:
         return F.rank().over(w) + (F.count("*").over(W.partitionBy(*by, c)) - 1) / 2
 
     r = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("_a", averaged(a)).withColumn("_b", averaged(b))
-    agg = (F.corr("_a", "_b").alias("rho"), F.count("*").alias("n"))
+    agg = (A.correlation("_a", "_b").alias("rho"), F.count("*").alias("n"))
     return r.groupBy(*by).agg(*agg) if by else r.agg(*agg)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from prismal.functions import arrays as A
 from prismal.operators import estimators as E
 from prismal.operators import metrics as M
 from prismal.operators import resample as R
@@ -120,8 +121,6 @@ def leave_pair_out_task(rows: DataFrame, analyte: str, label: str, model: str, c
 
     A pair is one fit; pairs are a stated set over analytes, which are few.
     """
-    from prismal.functions import arrays as A  # noqa: F401
-
     pairs = R.leave_pair_out(rows, analyte, label).orderBy("pos", "neg").collect()
     parts = []
     for p in pairs[:max_pairs]:
@@ -168,7 +167,7 @@ def signatures(df: DataFrame, vector: str, analyte: str, strain: str) -> DataFra
     other = sums.select(F.col(analyte).alias("other"), "k", "t", "n")
     both = sig.join(other, "k").join(sig.select(strain, F.col(analyte).alias("other"), "k", F.col("s").alias("own")), [strain, "other", "k"], "left")
     rest = F.try_divide(F.col("t") - F.coalesce("own", F.lit(0.0)), F.col("n") - F.when(F.col("own").isNotNull(), 1).otherwise(0))
-    r = both.withColumn("rest", rest).groupBy(analyte, strain, "other").agg(F.corr("s", "rest").alias("r"))
+    r = both.withColumn("rest", rest).groupBy(analyte, strain, "other").agg(A.correlation("s", "rest").alias("r"))
     ranked = r.withColumn("match_rank", F.rank().over(W.partitionBy(analyte, strain).orderBy(F.desc_nulls_last(F.round("r", 9)))))
     return ranked.filter(F.col("other") == F.col(analyte)).select(analyte, strain, F.col("r").alias("correlation"), "match_rank")
 

@@ -271,7 +271,7 @@ def source_confound(spark, sf_dir):
 @query(f"""
 WITH d AS {_LABELLED}, r AS (SELECT lang, rank() OVER a + (count(*) OVER (PARTITION BY lang, score) - 1) / 2.0 AS a, rank() OVER b + (count(*) OVER (PARTITION BY lang, quality) - 1) / 2.0 AS b
   FROM d WINDOW a AS (PARTITION BY lang ORDER BY score), b AS (PARTITION BY lang ORDER BY quality))
-SELECT lang, round(corr(a, b), 6) AS rho, count(*) AS n FROM r GROUP BY lang""")
+SELECT lang, round(covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0), 6) AS rho, count(*) AS n FROM r GROUP BY lang""")
 def rank_correlation(spark, sf_dir):
     return P.rank_correlation(_labelled(spark, sf_dir), "score", "quality", "lang").select("lang", r6(F.col("rho"), "rho"), "n")
 

@@ -45,7 +45,7 @@ def two_columns(spark: SparkSession, path: str, pattern: str = "*.txt", comments
 
 def sticks(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """Lines from stick files in their order: ``id, freq, inten`` arrays; rows that are not two numbers are skipped."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("wholetext", "true").text(path).select("value", F.col(_PATH).alias("path"))
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True).select("value", F.col(_PATH).alias("path"))
     parts = lambda row: F.split(F.trim(F.regexp_replace(row, "[,\\s]+", " ")), " ")
     num = lambda row, i: F.get(parts(row), F.lit(i)).try_cast("double")
     rows = F.filter(F.transform(F.split("value", "\n"), lambda r: F.struct(num(r, 0).alias("f"), num(r, 1).alias("i"))), lambda s: s["f"].isNotNull() & s["i"].isNotNull())
