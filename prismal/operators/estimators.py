@@ -148,6 +148,8 @@ def fit_plsda(train: DataFrame, vector: str, label: str, k: int = 10, max_rows:
 
 
 def fit_centroid(train: DataFrame, vector: str, label: str, **_) -> Fitted:
+    """Class means after the training mean is taken off; the largest cosine wins, ties to the smallest class."""
+    classes = _classes(train, label)
     means = V.mean_vectors(train, vector, label).select(F.col(label).alias("pred"), "mean")
     centre = V.mean_vectors(train, vector, []).select(F.col("mean").alias("_c"))
 
@@ -156,10 +158,13 @@ def fit_centroid(train: DataFrame, vector: str, label: str, **_) -> Fitted:
         each = means.crossJoin(centre).agg(F.array_sort(F.collect_list(F.struct("pred", unit(F.col("mean")).alias("m")))).alias("_all"))
         rows = df.crossJoin(F.broadcast(centre)).crossJoin(F.broadcast(each)).withColumn("_u", unit(A.doubles(F.col(vector))))
         sims = F.transform("_all", lambda s: F.struct((-F.round(A.dot(F.col("_u"), s["m"]), 12)).alias("d"), s["pred"].alias("pred")))
-        best = F.array_min(sims)
-        return rows.withColumn("_b", best).withColumn("pred", F.col("_b.pred")).withColumn("score", -F.col("_b.d")).drop("_c", "_all", "_u", "_b")
+        rows = rows.withColumn("_s", sims).withColumn("_b", F.array_min("_s"))
+        of = lambda k: F.get(F.filter("_s", lambda s: s["pred"] == k), F.lit(0))["d"]
+        # for 0/1 labels the score ranks by class 1, else it is the winner's similarity
+        score = of(0) - of(1) if classes == [0, 1] else -F.col("_b.d")
+        return rows.withColumn("pred", F.col("_b.pred")).withColumn("score", score).drop("_c", "_all", "_u", "_b", "_s")
 
-    return Fitted(apply, _classes(train, label))
+    return Fitted(apply, classes)
 
 
 def fit_knn(train: DataFrame, vector: str, label: str, k: int = 5, **_) -> Fitted:
