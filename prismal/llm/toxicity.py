@@ -182,16 +182,18 @@ def score_toxicity(docs: DataFrame, model: MilModel, threshold: float = 0.3, id_
 
 
 def drop_toxic(docs: DataFrame, model: MilModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """Documents that the model scores below ``threshold``; one pass over the rows, columns stay as they are."""
+    """Documents that the model scores below ``threshold``; columns stay as they are.
+
+    Only texts go to Python and only scores come back.
+    """
     ship(docs.sparkSession)
-    known, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    known = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        for batch in batches:
-            keep = [known.value.score(t.as_py())[0] < threshold for t in batch.column(place)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array([known.value.score(t.as_py())[0] for t in texts], pa.float64())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(score(F.col(text_col)) < threshold)
 
 
 def remainder(id_col: str, mod: int):
