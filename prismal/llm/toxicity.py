@@ -20,8 +20,8 @@ from prismal.llm.common import map_rows, ship, written
 
 #: Labelled documents the model is fitted on at most, taken in hash order of their ids.
 FIT_ROWS = 16_000
-#: Features of the model at most, taken by their chi-square against the label.
-FEATURES = 4096
+#: Features of the model at most, taken by their chi-square against the label; no more than labelled documents, but LEAST_FEATURES.
+FEATURES, LEAST_FEATURES = 4096, 256
 MIN_DOCS = 4
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
@@ -65,7 +65,7 @@ class MilModel:
         return float(-np.expm1(-np.logaddexp(0, logits).sum())), found
 
 
-def fit_noisy_or(bags: list[list[list[int]]], labels: np.ndarray, n_features: int, rounds: int = 250, prior: float = 1.0) -> tuple[np.ndarray, float]:
+def fit_noisy_or(bags: list[list[list[int]]], labels: np.ndarray, n_features: int, rounds: int = 250, prior: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights and bias by full-batch Adam on the exact noisy-or likelihood, with a normal prior of variance 1 / ``prior``."""
     doc, rows, cols, n_doc = [], [], [], len(bags)
     plain = np.zeros(n_doc)
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features:
     freq = freq.groupBy("feature").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).filter(F.col("neg") + F.col("pos") >= MIN_DOCS)
     gap = F.col("pos") / pos - F.col("neg") / (n - pos)
     rate = (F.col("pos") + F.col("neg") + 0.5) / n
-    best = freq.orderBy((gap * gap / rate).desc(), "feature").limit(features).collect()
+    best = freq.orderBy((gap * gap / rate).desc(), "feature").limit(min(features, max(LEAST_FEATURES, n))).collect()
     place = {r.feature: i for i, r in enumerate(best)}
     known = spark.sparkContext.broadcast(place)
 
