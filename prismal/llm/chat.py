@@ -74,6 +74,19 @@ def rotate_perspectives(
     )
 
 
+def render_dialogues(rows: DataFrame) -> DataFrame:
+    """Whole renderings, for conversations that fit a row: ``conv_id, perspective, n_turns, text, masks``.
+
+    ``rows`` as ``rotate_perspectives`` gives them; ``masks`` lists (start, end)
+    of the characters to learn from, in order.  A rendering is one value, so
+    keep this to conversations of bounded length.
+    """
+    turn = F.struct("seq", "segment", "mask_start", "mask_end")
+    each = rows.groupBy("conv_id", "perspective").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    spans = F.transform(F.filter("t", lambda x: x["mask_start"].isNotNull()), lambda x: F.struct(x["mask_start"].alias("start"), x["mask_end"].alias("end")))
+    return each.select("conv_id", "perspective", F.size("t").alias("n_turns"), F.array_join(F.transform("t", lambda x: x["segment"]), "").alias("text"), spans.alias("masks"))
+
+
 def perspectives_sql() -> str:
     """The rotation of table ``conversations`` as DuckDB SQL."""
     return f"""

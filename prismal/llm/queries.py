@@ -76,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_warc_zip": warc_zip.round_trip_sql(),
+    "op7_suffix_dedup": suffix_dedup.repeated_spans_sql(),
     "op5_perspectives": chat.perspectives_sql(),
     "op10_decontamination": decontam.contaminated_sql(),
 }

@@ -421,3 +421,20 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return table.set_column(text_at, table.schema.field(text_at), pa.array(kept, table.schema.field(text_at).type))
 
     return _dedup(docs, id_col, text_col, finish, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), size)
+
+
+def repeated_spans_sql(size: int = SIZE) -> str:
+    """The same for table ``documents`` as DuckDB SQL, over the hex digits of the bytes; ids are distinct there."""
+    return f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, substr(x, CAST(2 * i + 1 AS BIGINT), {2 * size}) AS s FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - {size - 1})) AS i FROM d WHERE length(x) >= {2 * size})),
+m AS (SELECT s, min(doc_id) AS f FROM w GROUP BY s),
+g AS (SELECT doc_id, i FROM w JOIN m USING (s) WHERE f < doc_id),
+r AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {size} THEN 0 ELSE 1 END AS n FROM g),
+k AS (SELECT doc_id, i, sum(n) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM r),
+sp AS (SELECT doc_id, min(i) AS a, max(i) + {size} AS b FROM k GROUP BY doc_id, run),
+e AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS s, a AS e FROM sp UNION ALL SELECT doc_id, max(b), NULL FROM sp GROUP BY doc_id),
+kept AS (SELECT e.doc_id, string_agg(CASE WHEN e.e IS NULL THEN substr(x, 2 * s + 1) ELSE substr(x, 2 * s + 1, 2 * (e.e - s)) END, '' ORDER BY s) AS kx FROM e JOIN d USING (doc_id) GROUP BY e.doc_id),
+t AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM sp GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kx, x))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN kept USING (doc_id)"""

@@ -265,3 +265,15 @@ def archive_round_trip(spark: SparkSession, pages: DataFrame, min_bytes: int = 0
     n = max(1, listed.count())
     records = read_packages(listed.repartition(min(n, 4096)), payloads=False)
     return records.drop("payload")
+
+
+def round_trip_sql() -> str:
+    """The round trip of table ``pages`` as DuckDB SQL; each five hex digits of the SHA-1 give four base32 signs."""
+    sign = lambda shift: f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> {shift}) & 31) + 1, 1)"
+    base32 = f"""array_to_string(list_transform(list_transform(range(0, 8), lambda i: CAST('0x' || substr(x, CAST(5 * i + 1 AS INTEGER), 5) AS INTEGER)),
+         lambda v: {" || ".join(sign(k) for k in (15, 10, 5, 0))}), '')"""
+    return f"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages), d AS (SELECT *, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, {base32} AS payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to, url
+FROM d"""

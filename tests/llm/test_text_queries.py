@@ -73,6 +73,8 @@ def test_rotation_by_hand(spark, monkeypatch):
             "<|im_start|>user name=bob\n<|im_end|>\n" + "<|im_start|>assistant\nünï<|im_end|>\n" * 2)
         assert [text[r.mask_start : r.mask_end] for r in sorted(ann, key=lambda r: r.seq) if r.mask] == ["hi<|im_end|>", "ünï<|im_end|>", "ünï<|im_end|>"]
         assert all(text[r.start :].startswith(r.segment) for r in ann) and sorted(r.seq for r in ann) == list(range(6))
+        whole = {(r.conv_id, r.perspective): r for r in chat.render_dialogues(chat.rotate_perspectives(turns(spark, rows))).collect()}
+        assert whole[1, "ann"].text == text and [text[m.start : m.end] for m in whole[1, "ann"].masks] == ["hi<|im_end|>", "ünï<|im_end|>", "ünï<|im_end|>"]
         assert [r.role for r in sorted(by[1, "bob"], key=lambda r: r.seq)] == ["user", "system", "user", "assistant", "user", "user"]
 
 
