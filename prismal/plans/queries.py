@@ -506,6 +506,56 @@ def nearest_sets(spark, sf_dir):
     return C.nearest_by_jaccard(p, n, "items", "id").select("id", "nearest", r6(F.col("sim"), "sim"), "n_over")
 
 
+@query(f"""
+WITH d AS {_LABELLED}, r AS (SELECT *, CASE WHEN score > 2000 THEN 1 ELSE 0 END AS pred, rank() OVER (PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / 2.0 AS rk FROM d),
+l AS (SELECT lang, score, count_if(quality = 1) AS p, count_if(quality = 0) AS n FROM d GROUP BY 1, 2),
+c AS (SELECT lang, p, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM l WINDOW w AS (PARTITION BY lang ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+ap AS (SELECT lang, sum(p * tp / (tp + fp)) / sum(p) AS auprc FROM c GROUP BY lang),
+a AS (SELECT lang, (sum(CASE WHEN quality = 1 THEN rk ELSE 0 END) - count_if(quality = 1) * (count_if(quality = 1) + 1) / 2.0) / (count_if(quality = 1) * count_if(quality = 0)) AS auroc,
+      (avg(CASE WHEN quality = 1 THEN pred END) + avg(CASE WHEN quality = 0 THEN 1 - pred END)) / 2 AS ba FROM r GROUP BY lang)
+SELECT lang, round(auroc, 6) AS auroc, round(auprc, 6) AS auprc, round(ba, 6) AS balanced_accuracy FROM a JOIN ap USING (lang)""")
+def binary_report(spark, sf_dir):
+    d = _labelled(spark, sf_dir).withColumn("pred", (F.col("score") > 2000).cast("int"))
+    return M.binary_report(d, "quality", "score", "pred", "lang").select("lang", *(r6(F.col(c), c) for c in ("auroc", "auprc", "balanced_accuracy")))
+
+
+@query(f"""
+WITH d AS (SELECT lang AS label, CASE WHEN score > 4000 THEN 'en' WHEN score > 2000 THEN 'de' ELSE 'fr' END AS pred FROM {_LABELLED}), c AS (SELECT unnest(['de', 'en', 'es', 'fr']) AS l)
+SELECT a.l AS label, b.l AS pred, count(d.label) AS n FROM c a CROSS JOIN c b LEFT JOIN d ON d.label = a.l AND d.pred = b.l GROUP BY 1, 2""")
+def square_confusion(spark, sf_dir):
+    s = F.col("score")
+    d = _labelled(spark, sf_dir).withColumn("pred", F.when(s > 4000, "en").when(s > 2000, "de").otherwise("fr"))
+    return M.confusion(d, "lang", "pred", ["de", "en", "es", "fr"])
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_retailprice AS nu, p_size * 2.0 AS s, p_size / 60.0 AS rho FROM part WHERE p_retailprice > 1), i AS (SELECT *, s * rho / (3 * (1 + rho)) AS g2 FROM p)
+SELECT p_partkey, round(power(1e7 / 785.0 - nu, 4) / nu / (1 - exp(-1.4387769 * nu / 298.15)) / 1e12, 6) AS factor, round(greatest((s - 7 * g2) / 45, 0), 6) AS a2, round(greatest(g2, 0), 6) AS g2 FROM i""")
+def line_factors(spark, sf_dir):
+    p = table(spark, sf_dir, "part").filter("p_retailprice > 1")
+    i = A.invariants_from_activity(F.col("p_size") * 2.0, F.col("p_size") / 60.0)
+    return p.select("p_partkey", r6(A.scattering_factor(F.col("p_retailprice")) / 1e12, "factor"), r6(i["a2"], "a2"), r6(i["g2"], "g2"))
+
+
+@query("""
+WITH s AS (SELECT l_orderkey, l_linenumber, l_extendedprice, l_discount, l_tax, l_shipdate FROM lineitem), c AS (SELECT o_orderkey, o_custkey FROM orders),
+j AS (SELECT o_custkey, l_extendedprice * (1 - l_discount) AS v FROM s JOIN c ON l_orderkey = o_orderkey), m AS (SELECT o_custkey, avg(v) AS score, count(*) AS n FROM j GROUP BY 1)
+SELECT c_nationkey, round(avg(score), 4) AS mean_of_means, count(*) AS n_groups FROM m JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
+def mean_of_group_means(spark, sf_dir):
+    li, o, c = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
+    per = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(F.avg(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("score"))
+    return per.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.round(F.avg("score"), 4).alias("mean_of_means"), F.count("*").alias("n_groups"))
+
+
+@query("""
+SELECT conv_id, turn, CASE role WHEN 'user' THEN 'F1' WHEN 'assistant' THEN 'F1.snv' ELSE 'F10' END AS feature, role <> 'system' AS in_family,
+       'kind: ' || role || '; text: ' || CASE WHEN substr(text, 1, 10) = '' OR text IS NULL THEN 'NA' ELSE substr(text, 1, 10) END AS tagged
+FROM conversations""")
+def tagged_turns(spark, sf_dir):
+    f = F.when(F.col("role") == "user", "F1").when(F.col("role") == "assistant", "F1.snv").otherwise("F10")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", f.alias("feature"), I.family(f, "F1").alias("in_family"), X.tagged_text({"kind": F.col("role"), "text": F.substring("text", 1, 10)}).alias("tagged"))
+
+
 # ---------------------------------------------------------------- without a SQL twin
 
 @query()
