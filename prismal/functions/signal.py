@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismal.functions import kernels as K
+from prismal.session import ship
 
 PEAKS = "array<struct<position:double,intensity:double,width:double>>"
 
 
 def per_row(fn: Callable[..., object], returns: str) -> Callable[..., Column]:
     """A pandas UDF that gives each row's arrays to ``fn`` as float arrays; a null input gives null."""
+    ship()
 
     @F.pandas_udf(returns)
     def run(*cols: pd.Series) -> pd.Series:
@@ -68,6 +70,8 @@ def find_peaks(y: Column, cfg: dict, top: Column | None = None, mask: list[float
     """Peaks of a gridded signal after smoothing and scaling by ``top`` (a null top: the maximum)."""
     g = K.grid(*cfg["window"], cfg["grid_step"])
 
+    ship()
+
     @F.pandas_udf(PEAKS)
     def run(ys: pd.Series, tops: pd.Series) -> pd.Series:
         return pd.Series([None if v is None else K.scale_and_pick(g, np.asarray(v, float), cfg, mask, None if pd.isna(t) else float(t))[0] for v, t in zip(ys, tops)])
@@ -80,6 +84,8 @@ def reference(y: Column, cfg: dict) -> Column:
     r, s = cfg["substrate"]["reference_norm"], cfg["smooth"]
     g = K.grid(*cfg["window"], cfg["grid_step"])
 
+    ship()
+
     @F.pandas_udf("struct<height:double,position:double>")
     def run(ys: pd.Series) -> pd.DataFrame:
         found = [(None, None) if v is None else K.reference_height(g, K.smooth(np.asarray(v, float), s["window_cm"], s["polyorder"], cfg["grid_step"]), r["ref_cm"], r["ref_tol"], r["ref_min_rel_prominence"]) for v in ys]
@@ -110,6 +116,8 @@ def subtract_reference(y: Column, ref: Column, cfg: dict) -> Column:
         rest, scale, shift = K.subtract(v, r, g, cfg)
         return {"rest": rest.tolist(), "scale": scale, "shift": shift}
 
+    ship()
+
     @F.pandas_udf("struct<rest:array<double>,scale:double,shift:double>")
     def run(ys: pd.Series, refs: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([one(np.asarray(a, float), np.asarray(b, float)) if a is not None and b is not None else {"rest": None, "scale": None, "shift": None} for a, b in zip(ys, refs)])
@@ -120,6 +128,8 @@ def subtract_reference(y: Column, ref: Column, cfg: dict) -> Column:
 def match_peaks(a: Column, b: Column, tol: float = 20.0) -> Column:
     """Greedy one-to-one matches ``array<struct<a,b>>`` of two peak lists, strongest of the first first."""
 
+    ship()
+
     @F.pandas_udf("array<struct<a:double,b:double>>")
     def run(xs: pd.Series, ys: pd.Series) -> pd.Series:
         pos = lambda v: [(p["position"], p["intensity"]) for p in v]

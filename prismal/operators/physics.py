@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from prismal.functions import arrays as A
 from prismal.functions import kernels as K
+from prismal.session import ship
 
 #: Component orders in which six polarisability derivatives may be printed.
 ORDERS = (("xx", "yy", "zz", "xy", "xz", "yz"), ("xx", "xy", "yy", "xz", "yz", "zz"), ("xx", "yy", "zz", "xy", "yz", "xz"))
@@ -82,6 +83,7 @@ def fit_orientation(modes: DataFrame, target_x: np.ndarray, target_y: np.ndarray
     Columns ``name, fit_half, best, fit_cos, heldout_cos, heldout_isotropic,
     heldout_median, heldout_percentile``.  A name's modes are few and go to one call.
     """
+    ship(modes.sparkSession)
     g = K.grid(window[0], window[1], 1.0)
     want, a = np.interp(g, target_x, target_y), axes(n, seed)
     low = g < sum(window) / 2
@@ -113,6 +115,7 @@ def calibrate_scale(pairs: DataFrame, scales: list[float] | None = None, tol: fl
     ``pairs`` has ``name, freq, inten, peaks`` (reference peaks); returns one
     row ``scale, median_error, n_bands``.  Scales are a stated set.
     """
+    ship(pairs.sparkSession)
     scales = scales or [round(0.94 + 0.001 * i, 3) for i in range(71)]
     kind = "array<struct<scale:double,error:double>>"
 

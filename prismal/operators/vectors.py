@@ -111,6 +111,9 @@ def cosine_neighbours(queries: DataFrame, base: DataFrame, vector: str, id_col:
     import numpy as np
     import pyarrow as pa
 
+    from prismal.session import ship
+
+    ship(base.sparkSession)
     carry = carry or []
     q = queries.select(F.col(id_col).cast("long").alias("query_id"), A.doubles(F.col(vector)).alias("q")).toArrow()
     qid = q["query_id"].to_numpy()

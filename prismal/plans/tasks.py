@@ -171,7 +171,9 @@ def detectability(df: DataFrame, vector: str, analyte: str, strain: str, axis: l
     import pandas as pd
 
     from prismal.functions import kernels as K
+    from prismal.session import ship
 
+    ship(df.sparkSession)
     sig = X.signatures(df, vector, analyte, strain).groupBy(analyte).agg(F.avg("correlation").alias("correlation"), F.avg("match_rank").alias("match_rank"))
     long = V.explode_vector(df, vector, [analyte, strain])
     cell = long.groupBy(analyte, strain, "k").agg(F.avg("v").alias("m"), F.coalesce(F.stddev_pop("v"), F.lit(0.0)).alias("s"))

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import os
+import tempfile
+import weakref
+import zipfile
+
 from pyspark.sql import SparkSession
 
 #: Settings to apply when building a session; a cluster sets sizes of its own.
@@ -22,3 +28,27 @@ def build(app: str = "prismal", master: str | None = None, **conf: str) -> Spark
     for k, v in (DEFAULTS | {k.replace("__", "."): v for k, v in conf.items()}).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+_shipped: weakref.WeakSet = weakref.WeakSet()
+
+
+def ship(spark: SparkSession | None = None) -> None:
+    """Make this package importable in Python workers, once per SparkContext; without an argument for the active session."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(root)
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for top, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(top, f)
+                    z.write(full, os.path.join(name, os.path.relpath(full, root)))
+    out = os.path.join(tempfile.mkdtemp(prefix=f"{name}-"), f"{name}_code.zip")
+    with open(out, "wb") as fh:
+        fh.write(buf.getvalue())
+    spark.sparkContext.addPyFile(out)
+    _shipped.add(spark.sparkContext)
