@@ -79,7 +79,8 @@ TOKEN = r"\d|[A-Za-z]+|\s+|[^\sA-Za-z\d]"
 
 def estimate_tokens(text: Column) -> Column:
     """Tokens of a digit-splitting tokenizer, on the safe side: a digit, a run of blanks or another sign is one, letters count by threes."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({TOKEN})"), F.lit(1))
+    # Unicode classes: any digit, any blank
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?U)({TOKEN})"), F.lit(1))
     size = lambda t: F.when(t.rlike("^[A-Za-z]"), F.ceil(F.length(t) / 3)).otherwise(F.lit(1)).cast("int")
     return F.aggregate(found, F.lit(0), lambda n, t: n + size(t))
 

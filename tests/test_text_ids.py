@@ -58,6 +58,7 @@ def test_raster_edges(spark):
 def test_token_estimate(spark):
     assert one(spark, X.estimate_tokens, "abcd 12, x") == 2 + 1 + 2 + 1 + 1 + 1
     assert one(spark, X.estimate_tokens, None) == 0
+    assert one(spark, X.estimate_tokens, "a\u00a0\u2003b\u0663é") == 5
 
 
 def test_terms_need_non_letters_around(spark):
