@@ -1,11 +1,14 @@
 """Tie-aware ranking and classification metrics as aggregations.
 
-Ranking metrics aggregate to one row per distinct score first, so that the
-ordered windows run over distinct scores and within the given keys.
+Ranking metrics aggregate to one row per distinct score first.  Running sums
+over scores are taken within stretches between score quantiles, and over the
+stretches' totals, so that no task orders all scores of a key.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -23,49 +26,73 @@ def _levels(df: DataFrame, by: list[str], label: str, score: str, weight: str |
     return rows.groupBy(*by, F.col(score).alias("_s")).agg(F.sum(F.when(y, w).otherwise(0.0)).alias("p"), F.sum(F.when(y, 0.0).otherwise(w)).alias("n"))
 
 
+#: Stretches that the scores are cut into.
+STRETCHES = 64
+
+
+def _running(levels: DataFrame, by: list[str], sums: dict[str, str], descending: bool = False, before: bool = False) -> DataFrame:
+    """Add running sums in score order: ``sums`` maps a new column to the summed one.
+
+    Including the row's own level, or with ``before`` only those ahead of it.
+    """
+    cuts = levels.agg(F.percentile_approx("_s", F.array(*(F.lit(i / STRETCHES) for i in range(1, STRETCHES))), F.lit(1000)).alias("_q"))
+    lv = levels.crossJoin(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("_q", lambda q: q < F.col("_s")))).drop("_q")
+    order = (lambda c: F.desc(c)) if descending else F.asc
+    ahead = W.partitionBy(*by).orderBy(order("_b")).rowsBetween(W.unboundedPreceding, -1)
+    totals = lv.groupBy(*by, "_b").agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items()))
+    totals = totals.select(*(F.col(c).alias(f"_k_{c}") for c in [*by, "_b"]), *(F.coalesce(F.sum(f"_t_{n}").over(ahead), F.lit(0.0)).alias(f"_o_{n}") for n in sums))
+    inside = W.partitionBy(*by, "_b").orderBy(order("_s")).rowsBetween(W.unboundedPreceding, -1 if before else W.currentRow)
+    lv = lv.select("*", *(F.coalesce(F.sum(c).over(inside), F.lit(0.0)).alias(f"_i_{n}") for n, c in sums.items()))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*by, "_b"]])
+    return lv.join(totals, same).select(*by, "_s", "p", "n", *((F.col(f"_o_{n}") + F.col(f"_i_{n}")).alias(n) for n in sums))
+
+
+def _per(df: DataFrame, by: list[str], *aggs: Column) -> DataFrame:
+    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+
+
+def _with_totals(levels: DataFrame, by: list[str]) -> DataFrame:
+    """Add ``all_p`` and ``all_n``, the weights of both classes of a key."""
+    t = _per(levels, by, F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    if not by:
+        return levels.crossJoin(F.broadcast(t))
+    t = t.select(*(F.col(c).alias(f"_k_{c}") for c in by), "all_p", "all_n")
+    return levels.join(t, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by])).drop(*(f"_k_{c}" for c in by))
+
+
 def auroc(df: DataFrame, label: str, score: str, by=None, weight: str | None = None) -> DataFrame:
     """Mann-Whitney area with ties at half: ``*by, auroc, n_pos, n_neg``; null with one class only."""
     by = _by(by)
-    w = W.partitionBy(*by).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
-    lv = _levels(df, by, label, score, weight).withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0.0)))
-    agg = (F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"), F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("_u"))
-    return (lv.groupBy(*by).agg(*agg) if by else lv.agg(*agg)).select(*by, F.try_divide("_u", F.col("n_pos") * F.col("n_neg")).alias("auroc"), "n_pos", "n_neg")
+    lv = _running(_levels(df, by, label, score, weight), by, {"below": "n"}, before=True)
+    out = _per(lv, by, F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"), F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("_u"))
+    return out.select(*by, F.try_divide("_u", F.col("n_pos") * F.col("n_neg")).alias("auroc"), "n_pos", "n_neg")
 
 
 def average_precision(df: DataFrame, label: str, score: str, by=None) -> DataFrame:
     """Sum of precision times gained recall over distinct scores: ``*by, auprc``; null without positives."""
     by = _by(by)
-    w = W.partitionBy(*by).orderBy(F.desc("_s")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    lv = _levels(df, by, label, score, None).withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum("n").over(w))
-    agg = (F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("_a"), F.sum("p").alias("_p"))
-    return (lv.groupBy(*by).agg(*agg) if by else lv.agg(*agg)).select(*by, F.try_divide("_a", "_p").alias("auprc"))
+    lv = _running(_levels(df, by, label, score, None), by, {"tp": "p", "fp": "n"}, descending=True)
+    out = _per(lv, by, F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("_a"), F.sum("p").alias("_p"))
+    return out.select(*by, F.try_divide("_a", "_p").alias("auprc"))
 
 
 def tpr_at_fpr(df: DataFrame, label: str, score: str, fpr: float = 0.01, by=None) -> DataFrame:
     """Largest true-positive rate at a false-positive rate of at most ``fpr``: ``*by, tpr``."""
     by = _by(by)
-    w = W.partitionBy(*by).orderBy(F.desc("_s")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    everything = W.partitionBy(*by)
-    lv = _levels(df, by, label, score, None)
-    lv = lv.select(*by, F.try_divide(F.sum("p").over(w), F.sum("p").over(everything)).alias("t"), F.try_divide(F.sum("n").over(w), F.sum("n").over(everything)).alias("f"))
-    agg = F.coalesce(F.max(F.when(F.col("f") <= fpr, F.col("t"))), F.lit(0.0)).alias("tpr")
-    return lv.groupBy(*by).agg(agg) if by else lv.agg(agg)
+    lv = _with_totals(_running(_levels(df, by, label, score, None), by, {"tp": "p", "fp": "n"}, descending=True), by)
+    ok = F.try_divide("fp", "all_n") <= fpr
+    return _per(lv, by, F.coalesce(F.max(F.when(ok, F.try_divide("tp", "all_p"))), F.lit(0.0)).alias("tpr"))
 
 
 def best_threshold(df: DataFrame, label: str, score: str, by=None) -> DataFrame:
     """Smallest of the scores and 0.5 with the best balanced accuracy of ``score >= t``: ``*by, threshold, balanced_accuracy``."""
     by = _by(by)
-    lv = _levels(df, by, label, score, None)
-    half = (lv.select(*by).distinct() if by else lv.limit(1).select(F.lit(1).alias("_one"))).select(*by, F.lit(0.5).alias("_s"), F.lit(0.0).alias("p"), F.lit(0.0).alias("n"))
-    lv = lv.select(*by, F.col("_s").cast("double").alias("_s"), "p", "n").unionByName(half)
-    lv = lv.groupBy(*by, "_s").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    w = W.partitionBy(*by).orderBy(F.desc("_s")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    everything = W.partitionBy(*by)
-    tpr = F.sum("p").over(w) / F.sum("p").over(everything)
-    tnr = 1 - F.sum("n").over(w) / F.sum("n").over(everything)
-    lv = lv.withColumn("ba", F.when((F.sum("p").over(everything) > 0) & (F.sum("n").over(everything) > 0), (tpr + tnr) / 2))
-    agg = F.max(F.struct(F.round("ba", 12).alias("ba"), (-F.col("_s")).alias("t"))).alias("_b")
-    out = lv.groupBy(*by).agg(agg) if by else lv.agg(agg)
+    lv = _levels(df, by, label, score, None).select(*by, F.col("_s").cast("double").alias("_s"), "p", "n")
+    half = (lv.select(*by).distinct() if by else lv.limit(1)).select(*by, F.lit(0.5).alias("_s"), F.lit(0.0).alias("p"), F.lit(0.0).alias("n"))
+    lv = lv.unionByName(half).groupBy(*by, "_s").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    lv = _with_totals(_running(lv, by, {"tp": "p", "fp": "n"}, descending=True), by)
+    ba = F.round((F.try_divide("tp", "all_p") + 1 - F.try_divide("fp", "all_n")) / 2, 12)
+    out = _per(lv, by, F.max(F.struct(ba.alias("ba"), (-F.col("_s")).alias("t"))).alias("_b"))
     return out.select(*by, (-F.col("_b.t")).alias("threshold"), F.col("_b.ba").alias("balanced_accuracy"))
 
 

@@ -28,7 +28,11 @@ def replicates(groups: DataFrame, group: str, n_boot: int, seed: int = 0) -> Dat
     """
     g = groups.select(group).distinct()
     n = g.count()
-    place = g.withColumn("_at", F.row_number().over(W.orderBy(group)) - 1) if n else g.withColumn("_at", F.lit(0))
+    # places run within hash cells and over the cells' sizes, so no task orders all groups
+    g = g.withColumn("_c", F.pmod(F.xxhash64(group), F.lit(256)))
+    sizes = g.groupBy("_c").agg(F.count("*").alias("_n"))
+    first = sizes.select("_c", F.coalesce(F.sum("_n").over(W.orderBy("_c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    place = g.withColumn("_r", F.row_number().over(W.partitionBy("_c").orderBy(group))).join(F.broadcast(first), "_c").select(group, (F.col("_first") + F.col("_r") - 1).cast("int").alias("_at"))
     reps = g.sparkSession.range(n_boot).select(F.col("id").cast("int").alias("rep"))
     draws = reps.crossJoin(g.sparkSession.range(max(1, n)).withColumnRenamed("id", "_draw"))
     picked = draws.withColumn("_at", F.floor(draw("rep", "_draw", seed=seed) * n).cast("int")).groupBy("rep", "_at").agg(F.count("*").alias("mult"))
