@@ -35,12 +35,14 @@ def _running(levels: DataFrame, by: list[str], sums: dict[str, str], descending:
 
     Including the row's own level, or with ``before`` only those ahead of it.
     """
-    cuts = levels.agg(F.percentile_approx("_s", F.array(*(F.lit(i / STRETCHES) for i in range(1, STRETCHES))), F.lit(1000)).alias("_q"))
+    # every branch takes all columns of the levels, so that Spark computes and exchanges them once
+    cuts = levels.agg(F.percentile_approx("_s", F.array(*(F.lit(i / STRETCHES) for i in range(1, STRETCHES))), F.lit(1000)).alias("_q"), F.sum(F.col("p") + F.col("n")).alias("_all"))
+    cuts = cuts.select(F.when(F.col("_all").isNotNull(), F.col("_q")).alias("_q"))
     lv = levels.crossJoin(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("_q", lambda q: q < F.col("_s")))).drop("_q")
     order = (lambda c: F.desc(c)) if descending else F.asc
     ahead = W.partitionBy(*by).orderBy(order("_b")).rowsBetween(W.unboundedPreceding, -1)
-    totals = lv.groupBy(*by, "_b").agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items()))
-    totals = totals.select(*(F.col(c).alias(f"_k_{c}") for c in [*by, "_b"]), *(F.coalesce(F.sum(f"_t_{n}").over(ahead), F.lit(0.0)).alias(f"_o_{n}") for n in sums))
+    totals = lv.groupBy(*by, "_b").agg(F.sum("p").alias("_t_p"), F.sum("n").alias("_t_n")).filter(F.col("_t_p") + F.col("_t_n") >= 0)
+    totals = totals.select(*(F.col(c).alias(f"_k_{c}") for c in [*by, "_b"]), *(F.coalesce(F.sum(f"_t_{c}").over(ahead), F.lit(0.0)).alias(f"_o_{n}") for n, c in sums.items()))
     inside = W.partitionBy(*by, "_b").orderBy(order("_s")).rowsBetween(W.unboundedPreceding, -1 if before else W.currentRow)
     lv = lv.select("*", *(F.coalesce(F.sum(c).over(inside), F.lit(0.0)).alias(f"_i_{n}") for n, c in sums.items()))
     same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*by, "_b"]])
