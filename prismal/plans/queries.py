@@ -511,7 +511,7 @@ WITH d AS {_LABELLED}, r AS (SELECT *, CASE WHEN score > 2000 THEN 1 ELSE 0 END
 l AS (SELECT lang, score, count_if(quality = 1) AS p, count_if(quality = 0) AS n FROM d GROUP BY 1, 2),
 c AS (SELECT lang, p, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM l WINDOW w AS (PARTITION BY lang ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
 ap AS (SELECT lang, sum(p * tp / (tp + fp)) / sum(p) AS auprc FROM c GROUP BY lang),
-a AS (SELECT lang, (sum(CASE WHEN quality = 1 THEN rk ELSE 0 END) - count_if(quality = 1) * (count_if(quality = 1) + 1) / 2.0) / (count_if(quality = 1) * count_if(quality = 0)) AS auroc,
+a AS (SELECT lang, (sum(CASE WHEN quality = 1 THEN rk ELSE 0 END) - count_if(quality = 1) * (count_if(quality = 1) + 1) / 2.0) / nullif(count_if(quality = 1) * count_if(quality = 0), 0) AS auroc,
       (avg(CASE WHEN quality = 1 THEN pred END) + avg(CASE WHEN quality = 0 THEN 1 - pred END)) / 2 AS ba FROM r GROUP BY lang)
 SELECT lang, round(auroc, 6) AS auroc, round(auprc, 6) AS auprc, round(ba, 6) AS balanced_accuracy FROM a JOIN ap USING (lang)""")
 def binary_report(spark, sf_dir):
