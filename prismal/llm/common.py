@@ -2,40 +2,33 @@
 
 from __future__ import annotations
 
-import io
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
 import weakref
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_shipped: weakref.WeakSet = weakref.WeakSet()
+from prismal import session
+
+_paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+#: Bytes of an Arrow batch at most: Spark's default of 64 MB stands in memory in several copies.
+BATCH_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once per SparkContext."""
-    sc = spark.sparkContext
-    if sc in _shipped:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    name = os.path.basename(root)
-    buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
-        for top, _, files in os.walk(root):
-            for f in sorted(files):
-                if f.endswith(".py"):
-                    full = os.path.join(top, f)
-                    z.write(full, os.path.join(name, os.path.relpath(full, root)))
-    out = os.path.join(tempfile.mkdtemp(prefix=f"{name}-"), f"{name}_code.zip")
-    with open(out, "wb") as fh:
-        fh.write(buf.getvalue())
-    sc.addPyFile(out)
-    _shipped.add(sc)
+    """Make this package importable in Python workers, once per SparkContext, and bound the session's Arrow batches."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int("".join(c for c in spark.conf.get(key) if c.isdigit()))
+    if now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    session.ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,7 +43,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _paths.setdefault(spark.sparkContext, []).append(path)
+    return path
+
+
+def discard_scratch(spark: SparkSession) -> int:
+    """Delete what this session has written to the shared folder, once its results are stored; returns the number of paths."""
+    hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    paths = _paths.pop(spark.sparkContext, [])
+    for p in paths:
+        where = jvm.org.apache.hadoop.fs.Path(p)
+        where.getFileSystem(hadoop).delete(where, True)
+    return len(paths)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -63,6 +68,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Ids up to which a set of them is broadcast (8 bytes each); beyond, the rows are shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def without_ids(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows whose id is not among ``ids`` (one column of the same name); rows with a null id stay.
+
+    The ids are written first, so their number is known before the join is
+    planned: rows with whole texts move only where the ids are too many to send.
+    """
+    ids = written(ids.select(id_col).distinct(), "ids")
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return rows.join(side, id_col, "left_anti").select(rows.columns)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -72,11 +92,13 @@ def map_rows(
     fn: Callable[[list[list]], dict[str, list]],
     schema: str,
     max_bytes: int = 8 << 20,
+    done: Callable[[], None] | None = None,
 ) -> DataFrame:
     """Apply ``fn`` to column lists of consecutive rows, at most ``max_bytes`` of Arrow data at once.
 
     ``fn`` gets one list per column of ``df`` and returns a dict of output
-    columns.  One row larger than the bound is passed alone, whole.
+    columns.  One row larger than the bound is passed alone, whole.  ``done``
+    is called at a task's end, to let go of what the worker keeps.
     """
     ship(df.sparkSession)
     out_schema = _arrow_schema(df.sparkSession, schema)
@@ -86,10 +108,20 @@ def map_rows(
             for part in slices(batch, max_bytes):
                 out = fn([c.to_pylist() for c in part.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in out_schema], schema=out_schema)
+        if done:
+            done()
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give freed memory of this Python worker back to the system: workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch of at most ``max_bytes`` each, or one row."""
     n = batch.num_rows

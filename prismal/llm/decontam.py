@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from prismal.llm.common import written
+from prismal.llm.common import without_ids, written
 
 #: Sketch rows up to which the sketch table is broadcast (16 bytes each); above, both sides are shuffled.
 BROADCAST_ROWS = 500_000
@@ -108,8 +108,7 @@ def contaminated(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """Documents that hold no benchmark item; rows with a null id stay, columns stay as they are."""
-    bad = contaminated(docs, benchmark, id_col=id_col, **how).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti").select(docs.columns)
+    return without_ids(docs, contaminated(docs, benchmark, id_col=id_col, **how).select(F.col("doc_id").alias(id_col)), id_col)
 
 
 def contaminated_sql(share: float = 0.8, size: int = 5) -> str:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismal.llm.common import connected_components, map_rows, ship, written
+from prismal.llm.common import connected_components, map_rows, ship, without_ids, written
 
 SEED = 42
 #: Fingerprints the driver may hold while it places vantage points.
@@ -280,8 +280,8 @@ def keep_first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     nothing names them.
     """
     groups = written(simhash_groups(docs, id_col, text_col).select("doc_id", "component_id"), "groups")
-    gone = groups.filter(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
+    gone = groups.filter(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias(id_col))
+    kept = without_ids(docs, gone, id_col)
     repeated = groups.filter("doc_id is not null").groupBy("doc_id").count().filter(F.col("count") > 1)
     if repeated.limit(1).count():
         named, unnamed = kept.filter(F.col(id_col).isNotNull()), kept.filter(F.col(id_col).isNull())

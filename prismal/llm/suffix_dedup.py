@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismal.llm.common import ship, slices
+from prismal.llm.common import release, ship, slices
 
 SIZE = 50
 KMER = 8
@@ -255,6 +255,7 @@ def removed_ranges(docs: DataFrame, id_col: str, text_col: str, shards: int, buc
                         rows["data"] += [squeeze(r) for r in k["ranges"].to_pylist()]
                         rows["places"] += [b""] * k.num_rows
                 yield pa.RecordBatch.from_pydict(rows, _RUNS)
+        release()
 
     def settle(table: pa.Table) -> pa.Table:
         import zstandard
@@ -287,6 +288,8 @@ def removed_ranges(docs: DataFrame, id_col: str, text_col: str, shards: int, buc
         rank = np.unique(owner, return_inverse=True)[1].astype(np.int32)
         gone = earlier_windows(data, starts, rank[run], size)
         hit, which = starts[gone], run[gone]
+        del starts, run, tail, data
+        release()
         if not len(hit):
             return _RANGES.empty_table()
         new = np.concatenate([[True], (np.diff(hit) != 1) | (np.diff(which) != 0)])
@@ -338,6 +341,7 @@ def _dedup(docs: DataFrame, id_col: str, text_col: str, finish, schema: str, siz
                     rows["bucket"].append(b)
                     rows["rows"].append(sink.getvalue().to_pybytes())
                 yield pa.RecordBatch.from_pydict(rows, out)
+        release()
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         import zstandard

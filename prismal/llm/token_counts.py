@@ -77,6 +77,11 @@ class Counter:
             out[i] = len(ids)
         return out
 
+    def forget(self) -> None:
+        for known, base in zip((self.spaced, self.bare), self.base):
+            known.clear()
+            known.update(base)
+
     def _learn(self, words: set[str], known: dict[str, int], before: str) -> None:
         new = [w for w in words if w and w not in known]
         if len(known) + len(new) > CACHE + self.proved:
@@ -107,4 +112,4 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
         n = counter(model_file).count(texts)
         return {"doc_id": cols[0], "n_bytes": [len(t.encode("utf-8")) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
 
-    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", done=lambda: counter(model_file).forget())

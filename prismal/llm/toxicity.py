@@ -9,14 +9,14 @@ the sentence model, which then locates the offending sentences.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismal.llm.common import map_rows, ship, written
+from prismal.llm.common import map_rows, release, ship, written
 
 #: Labelled documents the model is fitted on at most, taken in hash order of their ids.
 FIT_ROWS = 16_000
@@ -43,6 +43,9 @@ class MilModel:
     def __getstate__(self):
         return {"weights": self.weights, "bias": self.bias, "_words": {}}
 
+    def forget(self) -> None:
+        self._words.clear()
+
     def word(self, w: str) -> float:
         x = self._words.get(w)
         if x is None:
@@ -178,7 +181,7 @@ def score_toxicity(docs: DataFrame, model: MilModel, threshold: float = 0.3, id_
         return {"doc_id": cols[0]} | out
 
     schema = "doc_id long, score double, predicted int, n_sentences int, offending array<struct<start:int,end:int,p:double>>"
-    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, schema)
+    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, schema, done=lambda: known.value.forget())
 
 
 def drop_toxic(docs: DataFrame, model: MilModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -190,8 +193,11 @@ def drop_toxic(docs: DataFrame, model: MilModel, threshold: float = 0.3, text_co
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
-    def score(texts: pa.Array) -> pa.Array:
-        return pa.array([known.value.score(t.as_py())[0] for t in texts], pa.float64())
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([known.value.score(t.as_py())[0] for t in texts], pa.float64())
+        known.value.forget()
+        release()
 
     return docs.filter(score(F.col(text_col)) < threshold)
 

@@ -96,3 +96,21 @@ def test_components_of_chains_stars_and_cycles(spark):
     want = {i: 1 for i in range(1, 41)} | {i: 100 for i in range(100, 130)} | {i: 200 for i in (200, 201, 202)}
     assert got == want
     assert common.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_scratch_lies_in_the_named_folder_and_can_be_discarded(spark):
+    import os
+
+    common.discard_scratch(spark)
+    df = common.written(spark.range(3), "t")
+    path = common._paths[spark.sparkContext][0]
+    assert path.startswith(spark.conf.get("spark.checkpoint.dir")) and df.count() == 3
+    assert common.discard_scratch(spark) == 1 and not os.path.exists(path.removeprefix("file://")) and common.discard_scratch(spark) == 0
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_rows_without_ids_either_way(spark, monkeypatch, limit):
+    monkeypatch.setattr(common, "BROADCAST_IDS", limit)
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (None, "c")], "k long, ids string")
+    out = common.without_ids(rows, spark.createDataFrame([(2,), (2,), (None,)], "k long"), "k")
+    assert sorted(map(str, ((r.k, r.ids) for r in out.collect()))) == ["(1, 'a')", "(None, 'c')"] and out.columns == rows.columns
