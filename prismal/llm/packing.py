@@ -26,7 +26,9 @@ CAPACITY = 2048
 PARTITION_PIECES = 60_000
 ROUNDS = 2
 #: Pre-tokens a worker keeps in each of two generations.
-CACHE = 700_000
+CACHE = 600_000
+#: Recurring ones from which it stops adding to those kept between tasks.
+CORE = 150_000
 
 
 class WordEncoder:
@@ -52,6 +54,7 @@ class WordEncoder:
         self.split = re.compile(r"[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d|\d|(?:[^\s\w]|_)+")
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.core: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
@@ -70,10 +73,16 @@ class WordEncoder:
             out[i] = array("I", self.tok.encode(texts[i], add_special_tokens=False).ids).tobytes()
         return out
 
+    def forget(self) -> None:
+        """Keep only pre-tokens that came in several batches."""
+        self.known, self.older = dict(self.core), {}
+
     def _learn(self, words: set[str]) -> None:
         # two generations: what was used since the last turn survives it, rare words do not
         if len(self.known) > CACHE:
             self.older, self.known = self.known, {}
+        if len(self.core) < CORE:
+            self.core.update((w, self.known[w]) for w in words.intersection(self.known))
         new = words.difference(self.known)
         again = new.intersection(self.older)
         self.known.update(zip(again, map(self.older.__getitem__, again)))
@@ -111,7 +120,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
                     out[name].append(v)
         return out
 
-    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, piece int, start long, length long, ids_crc32 long", done=lambda: encoder(tokenizer).forget())
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
