@@ -24,8 +24,8 @@ from prismal.operators import resample as R
 class Context:
     """Settings of a run; the number of permutations is an argument, never a matter of time left."""
 
-    n_boot: int = 200
-    n_perm: int = 20
+    n_boot: int = 1000
+    n_perm: int = 1000
     seed: int = 0
     features: tuple[str, ...] = ("F1",)
     models: tuple[str, ...] = ("majority", "centroid")

@@ -561,13 +561,13 @@ def tagged_turns(spark, sf_dir):
 @query()
 def bootstrap_interval(spark, sf_dir):
     d = _labelled(spark, sf_dir)
-    return R.bootstrap_ci(d, "source", lambda x, by, w: M.auroc(x, "quality", "score", by, w), "auroc", 100, 7)
+    return R.bootstrap_ci(d, "source", lambda x, by, w: M.auroc(x, "quality", "score", by, w), "auroc", 1000, 7)
 
 
 @query()
 def permutation_test(spark, sf_dir):
     d = _labelled(spark, sf_dir).withColumn("grp", F.col("doc_id").cast("string"))
-    perm = R.permutations(d, "grp", "quality", 20, None, 3).withColumnRenamed("quality", "_y")
+    perm = R.permutations(d, "grp", "quality", 1000, None, 3).withColumnRenamed("quality", "_y")
     null = M.auroc(d.join(perm, "grp"), "_y", "score", "perm")
     real = M.auroc(d, "quality", "score").first().auroc
     return R.p_value(null, "auroc", real)

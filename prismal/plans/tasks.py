@@ -80,7 +80,7 @@ def substrate_only(train: DataFrame, blanks: DataFrame, model: str, label: str)
     return Q.blank_control(fitted.apply(blanks), label, "pred", 1 / max(1, classes))
 
 
-def leave_pair_out(records: DataFrame, features: DataFrame, labels: list[str], ctx: X.Context, model: str = "logistic", n_boot: int = 200) -> DataFrame:
+def leave_pair_out(records: DataFrame, features: DataFrame, labels: list[str], ctx: X.Context, model: str = "logistic", n_boot: int = 1000) -> DataFrame:
     """T2: mean win rate of every testable label with its interval: ``label, value, lo, hi, n_pairs``."""
     import numpy as np
 
@@ -158,7 +158,7 @@ def twin_agreement(scores: DataFrame, first: str, second: str, least: int = 4) -
     return P.rank_correlation(a.join(b, ["label", "analyte"]), "a", "b", "label").filter(F.col("n") >= least).agg(F.avg("rho").alias("rho"), F.count("rho").alias("n_labels"))
 
 
-def mean_area_ci(scores: DataFrame, n_boot: int = 200, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+def mean_area_ci(scores: DataFrame, n_boot: int = 1000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """Mean area over labels with the same analytes drawn for all of them: ``mean, lo, hi, n_ok`` of ``label, analyte, y, score``."""
     mean = lambda d, by, w: M.auroc(d, "y", "score", ["label", *by], w).groupBy(*by).agg(F.avg("auroc").alias("mean"))
     here = M.auroc(scores, "y", "score", "label").agg(F.avg("auroc").alias("mean"))
