@@ -556,6 +556,15 @@ def tagged_turns(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", f.alias("feature"), I.family(f, "F1").alias("in_family"), X.tagged_text({"kind": F.col("role"), "text": F.substring("text", 1, 10)}).alias("tagged"))
 
 
+@query("""
+SELECT conv_id, turn, CASE role WHEN 'user' THEN 'F1' WHEN 'assistant' THEN 'F1.snv' ELSE 'F10' END AS feature, role <> 'system' AS in_family,
+       'kind: ' || role || '; text: ' || CASE WHEN text = '' OR text IS NULL THEN 'NA' ELSE text END AS tagged
+FROM conversations""")
+def tagged_whole_turns(spark, sf_dir):
+    f = F.when(F.col("role") == "user", "F1").when(F.col("role") == "assistant", "F1.snv").otherwise("F10")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", f.alias("feature"), I.family(f, "F1").alias("in_family"), X.tagged_text({"kind": F.col("role"), "text": F.col("text")}).alias("tagged"))
+
+
 # ---------------------------------------------------------------- without a SQL twin
 
 @query()
