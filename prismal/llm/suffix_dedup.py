@@ -1,74 +1,151 @@
 """Exact repeated-substring removal through suffix order and longest-previous-factor arrays.
 
 A byte goes if a string of ``size`` bytes that covers it also starts in a
-document with a smaller id.  Texts are cut into runs of windows that share
-their smallest hashed ``KMER``-gram, and each run goes to the shard of that
-hash, so equal windows meet in one shard.  A shard brings the windows with a
-partner into suffix order, takes the common prefixes of neighbours, finds for
-each the previous and next suffix of a smaller document, and so the longest
-factor that occurs earlier, up to ``size`` bytes.  Ranges go back to their documents.
+document with a smaller id.  Texts are cut into runs of windows that share their
+smallest hashed ``kmer``; equal windows share it, so they meet wherever it is sent.
+
+1. Documents are dealt to buckets by id and text, which three steps read again.
+2. Buckets send the hashes of their runs; the hash shards reply which ones occur
+   in several documents and which are frequent.
+3. Buckets send the runs that may have a partner, equal runs once, under the
+   smallest id.  Windows of a frequent hash go one by one, dealt by their bytes,
+   so that no shard holds all that surrounds a passage which is everywhere.
+4. A shard folds what it is sent into distinct runs, sorts the suffixes that
+   begin at their windows, each up to its run's end, takes common prefixes of
+   neighbours and finds, by the previous and next suffix of a smaller document,
+   the longest previous factor at every window; ``LPF`` bytes go where it is
+   ``size`` or more.  Ranges return to the buckets.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismal.llm.common import release, ship, slices
+from prismal.llm.common import BATCH_BYTES, _arrow_schema, release, ship, slices
 
 SIZE = 50
-KMER = 8
-#: Bytes of runs that a shard should hold, of text that a map step takes at once, and of text in a final bucket.
-SHARD_BYTES, CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20, 8 << 20
-#: Bytes of runs for a byte of text: a run of about 21 windows and the 49 bytes behind it, at 2 runs in 44 bytes.
-BLOW_UP = 3.2
+#: Bytes hashed at each position: long ones are rarely shared by texts that share nothing longer.
+KMER = 24
+#: Windows of a run at most; only periodic text has longer ones.
+LONGEST = 32
+#: Bytes of text in a bucket, and of text for a shard of runs and of hashes.
+BUCKET_BYTES, SHARD_BYTES, HASH_SHARD_BYTES = 8 << 20, 4 << 20, 8 << 20
+#: Bytes cut into runs at once, and of runs whose suffixes are sorted at once.
+STRETCH, SORT_BYTES = 1 << 18, 1 << 20
+#: Runs of one hash beyond which its windows are dealt by their bytes; never a change of result.
+FREQUENT = 20_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+_LOW = np.uint64(0xFFFFFFFF)
 _NO_ID = np.iinfo(np.int64).max
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x ^= x >> np.uint64(31)
-    x *= _B
-    x ^= x >> np.uint64(29)
-    return x
-
-
 def _words(data: bytes) -> np.ndarray:
     """The eight bytes from every position as little-endian integers."""
     return np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
 
 
-def runs(data: bytes, lengths: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, document, first window, windows) of every run in the concatenated texts ``data``."""
-    none = np.zeros(0, np.int64)
-    if len(data) < size:
-        return none.view(np.uint64), none, none, none
-    h = _mix(_words(data) * _A)
-    span, wide = 1, size - KMER + 1
+def kmer_of(size: int) -> int:
+    """Bytes hashed at a position for windows of ``size`` bytes."""
+    if size < 8:
+        raise ValueError(f"size is {size}; strings of 8 bytes or more can be searched")
+    return min(KMER, max(8, size // 2))
+
+
+def window_hashes(data: bytes, size: int) -> np.ndarray:
+    """The smallest hash of the ``kmer_of(size)``-grams in every window of ``size`` bytes."""
+    k = kmer_of(size)
+    places = [*range(0, k - 7, 8), *([k - 8] if k % 8 else [])]
+    words, n = _words(data), len(data) - k + 1
+    h = words[:n] * _A
+    for i, p in enumerate(places[1:], 1):
+        h = (h << np.uint64(7)) ^ (h >> np.uint64(57)) ^ (words[p : p + n] * (_B if i % 2 else _C))
+        h *= _A
+    h ^= h >> np.uint64(32)
+    h *= _C
+    h ^= h >> np.uint64(29)
+    span, wide = 1, size - k + 1
     while span * 2 <= wide:
         h, span = np.minimum(h[:-span], h[span:]), span * 2
-    if span < wide:
-        h = np.minimum(h[: len(h) - (wide - span)], h[wide - span :])
-    ends = np.cumsum(lengths)
-    first = ends - lengths
-    # windows that begin in a document's last size - 1 bytes run into the next one
-    edge = np.zeros(len(h) + 1, bool)
-    edge[0] = edge[-1] = True
-    edge[1:-1] = h[1:] != h[:-1]
-    edge[first[first < len(h)]] = True
+    return np.minimum(h[: len(h) - (wide - span)], h[wide - span :]) if span < wide else h
+
+
+def runs(data: bytes, ends: np.ndarray, size: int = SIZE, stretch: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, document, first window, windows) of every run in the concatenated texts ``data`` that stop at ``ends``.
+
+    Stretches of text are cut one after another, so a long text takes no more memory than short ones.
+    """
+    step = stretch or STRETCH
+    first = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     stops = np.maximum(ends - size + 1, first)
-    edge[stops[stops < len(h)]] = True
-    at = np.flatnonzero(edge)
-    begin, count = at[:-1], np.diff(at)
-    doc = np.searchsorted(ends, begin, side="right")
-    good = begin < stops[doc]
-    begin, count, doc = begin[good], count[good], doc[good]
-    return h[begin], doc, begin, count
+    none = np.zeros(0, np.int64)
+    out = [(none.view(np.uint64), none, none, none)]
+    for a in range(0, len(data) - size + 1, step):
+        h = window_hashes(data[a : a + step + size - 1], size)
+        n = len(h)
+        edge = np.zeros(n + 1, bool)
+        edge[0] = edge[-1] = True
+        edge[1:-1] = h[1:] != h[:-1]
+        for marks in (first, stops):
+            lo, hi = np.searchsorted(marks, [a, a + n])
+            edge[marks[lo:hi] - a] = True
+        at = np.flatnonzero(edge)
+        long = np.flatnonzero(np.diff(at) > LONGEST)
+        if len(long):
+            more = [np.arange(at[i] + LONGEST, at[i + 1], LONGEST) for i in long.tolist()]
+            at = np.sort(np.concatenate([at, *more]))
+        begin, count = at[:-1] + a, np.diff(at)
+        doc = np.searchsorted(ends, begin, side="right")
+        # windows that begin in a document's last size - 1 bytes run into the next one
+        good = begin < stops[doc]
+        out.append((h[at[:-1][good]], doc[good], begin[good], count[good]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def sorted_suffixes(data: bytes, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes ``data[start : start + length]``, and what each has in common with the one before it.
+
+    Words of eight bytes are compared one after another, each only where suffixes are still tied.
+    """
+    n = len(starts)
+    words, one = _words(data + bytes(8)), np.uint64(1)
+
+    def word(k: int, which: np.ndarray) -> np.ndarray:
+        left = lengths[which] - 8 * k
+        w = words[np.where(left > 0, starts[which] + 8 * k, 0)].byteswap()
+        # bytes behind a suffix's end read as zero
+        return np.where(left >= 8, w, np.where(left > 0, w & ~((one << (np.uint64(8) * (8 - np.clip(left, 1, 8)).astype(np.uint64))) - one), np.uint64(0)))
+
+    def shared(x: np.ndarray) -> np.ndarray:
+        # zero bytes before the highest one set
+        high = (x >> np.uint64(32)) != 0
+        half = np.where(high, x >> np.uint64(32), x & _LOW)
+        return (np.where(high, 32, 64) - np.frexp(half.astype(np.float64))[1]) // 8
+
+    order = np.arange(n)
+    common, apart = np.zeros(n, np.int64), np.zeros(n, bool)
+    apart[:1] = True
+    tied = np.arange(n)
+    for k in range(-(-int(lengths.max(initial=0)) // 8)):
+        group = np.cumsum(apart)[tied]
+        w = word(k, order[tied])
+        by = np.lexsort((w, group))
+        order[tied], w = order[tied][by], w[by]
+        differ = np.flatnonzero((w[1:] != w[:-1]) & (group[1:] == group[:-1])) + 1
+        common[tied[differ]] = 8 * k + shared(w[differ] ^ w[differ - 1])
+        apart[tied[differ]] = True
+        both = ~apart
+        tied = np.flatnonzero(both | np.concatenate([both[1:], [False]]))
+        if not len(tied):
+            break
+    least = np.minimum(lengths[order[1:]], lengths[order[:-1]])
+    common[1:] = np.minimum(np.where(apart[1:], common[1:], least), least)
+    return order, common
 
 
 def previous_smaller(order_doc: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarray:
@@ -93,79 +170,32 @@ def previous_smaller(order_doc: np.ndarray, lcp: np.ndarray, least: int) -> np.n
     return out
 
 
-def suffix_order(words: np.ndarray) -> np.ndarray:
-    """Order of byte strings given as rows of big-endian words."""
-    order = np.argsort(words[:, 0], kind="stable")
-    w = words[order, 0]
-    new = np.concatenate([[True], w[1:] != w[:-1]])
-    group = np.cumsum(new)
-    tied = np.flatnonzero(~new | np.concatenate([~new[1:], [False]]))
-    if len(tied):
-        sub = order[tied]
-        keys = [words[sub, k] for k in range(words.shape[1] - 1, 0, -1)]
-        order[tied] = sub[np.lexsort((*keys, group[tied]))]
-    return order
-
-
-def common_prefix(a: np.ndarray, b: np.ndarray, places: list[int], size: int) -> np.ndarray:
-    """Bytes that rows of big-endian words at ``places`` share from the start, at most ``size``."""
-    out = np.full(len(a), size, np.int16)
-    for k in range(len(places) - 1, -1, -1):
-        x = a[:, k] ^ b[:, k]
-        bits = np.frexp(np.maximum(x >> np.uint64(32), 1).astype(np.float64))[1]
-        high = (x >> np.uint64(32)) != 0
-        low = np.frexp(np.maximum(x & np.uint64(0xFFFFFFFF), 1).astype(np.float64))[1]
-        zero = np.where(high, 32 - bits, 64 - low) // 8
-        out = np.where(x != 0, places[k] + zero, out).astype(np.int16)
-    return np.minimum(out, size)
+def previous_factors(data: bytes, starts: np.ndarray, lengths: np.ndarray, docs: np.ndarray, least: int) -> np.ndarray:
+    """Longest prefix of each suffix that also begins a suffix of a smaller document; 0 where it is under ``least``."""
+    order, common = sorted_suffixes(data, starts, lengths)
+    d = docs[order]
+    back = previous_smaller(d, common, least)
+    # the next smaller is the previous smaller of the order read backwards
+    ahead = previous_smaller(d[::-1], np.concatenate([common[:1] * 0, common[:0:-1]]), least)[::-1]
+    out = np.zeros(len(starts), np.int64)
+    out[order] = np.maximum(back, ahead)
+    return out
 
 
-def earlier_windows(data: bytes, starts: np.ndarray, docs: np.ndarray, size: int = SIZE) -> np.ndarray:
-    """Which windows ``data[start : start + size]`` also occur under a smaller document number: LPF of ``size`` or more."""
-    n = len(starts)
-    gone = np.zeros(n, bool)
-    if n < 2:
-        return gone
-    # Names of 8, 16 and 32 bytes by doubling, as in suffix sorting; windows whose name occurs once have no partner.
-    name = _mix(_words(data) * _A)
-    for step in (8, 16):
-        name = _mix(name[:-step] * _C + name[step:])
-    name = (name[: len(name) - (size - 32)] * _C + name[size - 32 :])[starts]
-    by_name = np.argsort(name)
-    sorted_name = name[by_name]
-    same = sorted_name[1:] == sorted_name[:-1]
-    paired = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    some = by_name[paired]
-    if not len(some):
-        return gone
-    run = np.cumsum(np.concatenate([[True], sorted_name[paired][1:] != sorted_name[paired][:-1]])) - 1
-    head = np.flatnonzero(np.diff(run, prepend=-1))
-    places = [*range(0, size - 7, 8), *([size - 8] if size % 8 else [])]
-    view, at = _words(data), starts[some]
-    if any((view[at + p] != view[at[head] + p][run]).any() for p in places):
-        # two strings under one name: every window is then a suffix of its own
-        head, run = np.arange(len(some)), np.arange(len(some))
-    # one suffix of each name is sorted; its equals follow by document
-    words = np.stack([view[at[head] + p] for p in places], axis=1).byteswap()
-    by_text = suffix_order(words)
-    between = np.zeros(len(head), np.int16)
-    between[1:] = common_prefix(words[by_text[:-1]], words[by_text[1:]], places, size)
-    # windows that share a text without a name also share a place
-    place = np.empty(len(head), np.int64)
-    place[by_text] = np.cumsum(between < size) - 1
-    between = between[(between < size)]
-    key = place[run] * (int(docs.max()) + 1) + docs[some]
-    order = np.argsort(key)
-    d, spot = docs[some][order], place[run][order]
-    lcp = between[spot]
-    lcp[1:][spot[1:] == spot[:-1]] = size
-    lcp[0] = 0
-    back = previous_smaller(d, lcp, size)
-    # the next smaller is the previous smaller of the order read backwards
-    ahead = previous_smaller(d[::-1], np.concatenate([[0], lcp[:0:-1]]).astype(np.int16), size)[::-1]
-    factor = np.maximum(back, ahead)
-    gone[some[order]] = factor >= size
-    return gone
+def earlier_ranges(data: bytes, ends: np.ndarray, docs: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, begin, end) of what earlier documents' runs hold of the concatenated runs ``data``, counted from a run's start."""
+    first = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    windows = np.maximum(ends - first - size + 1, 0)
+    which = np.repeat(np.arange(len(ends)), windows)
+    starts = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows) + first[which]
+    factor = previous_factors(data, starts, ends[which] - starts, docs[which], size)
+    hit = np.flatnonzero(factor >= size)
+    if not len(hit):
+        return hit, hit, hit
+    new = np.concatenate([[True], (np.diff(starts[hit]) != 1) | (np.diff(which[hit]) != 0)])
+    lo = np.flatnonzero(new)
+    run = which[hit[lo]]
+    return run, starts[hit[lo]] - first[run], np.maximum.reduceat(starts[hit] + factor[hit], lo) - first[run]
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -178,132 +208,245 @@ def _unpack(raw: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(wide, -1).T).view(kind).ravel()
 
 
-def _bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
-    return (_mix(ids.astype(np.int64).view(np.uint64) * _A) % np.uint64(buckets)).astype(np.int32)
-
+def _parts(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """(key, slice) of equal neighbours."""
+    stops = np.flatnonzero(np.diff(keys)) + 1
+    for a, b in zip([0, *stops.tolist()], [*stops.tolist(), len(keys)]):
+        if b > a:
+            yield int(keys[a]), slice(a, b)
 
-def _text_keys(texts: list[bytes], keyed: bool) -> np.ndarray:
-    import xxhash
 
-    return np.array([xxhash.xxh64_intdigest(t) for t in texts] if keyed else [0] * len(texts), np.uint64)
+class Bucket:
+    """The rows of a bucket: distinct pairs of id and text, by id, then text, are its documents.
 
+    Only what the rows hold decides their order, so every step counts them alike.
+    """
 
-_RUNS = pa.schema([("shard", pa.int32()), ("data", pa.binary()), ("places", pa.binary())])
-_RANGES = pa.schema([("bucket", pa.int32()), ("ranges", pa.binary())])
-
+    def __init__(self, blobs: list[bytes], text_at: int):
+        tables = [pa.ipc.open_stream(b).read_all() for b in blobs]
+        self.table = pa.concat_tables(tables) if tables else None
+        texts = [t.encode("utf-8") if t else b"" for t in self.table.column(text_at).to_pylist()] if tables else []
+        named = [_NO_ID if i is None else i for i in self.table.column(self.table.num_columns - 1).to_pylist()] if tables else []
+        order = sorted(range(len(texts)), key=lambda r: (named[r], texts[r]))
+        self.texts, self.place = texts, np.zeros(len(texts), np.int64)
+        ids, distinct = [], []
+        for r in order:
+            if not ids or ids[-1] != named[r] or distinct[-1] != texts[r]:
+                ids.append(named[r])
+                distinct.append(texts[r])
+            self.place[r] = len(ids) - 1
+        self.ids = np.array(ids, np.int64)
+        self.ends = np.cumsum([len(t) for t in distinct], dtype=np.int64) if distinct else np.zeros(0, np.int64)
+        self.data = b"".join(distinct)
+
+
+def hash_keys(h: np.ndarray, shards: int) -> np.ndarray:
+    """Hash shard and the 32 bits that stand for a hash there; two hashes under one key are only sent in vain."""
+    return ((h >> np.uint64(32)) % np.uint64(shards)) << np.uint64(32) | (h & _LOW)
+
+
+_HASHES, _REPLIES = "shard int, bucket int, hashes binary", "bucket int, shard int, known binary"
+_RUNS, _RANGES = "shard int, bucket int, data binary, places binary", "bucket int, ranges binary"
+
+
+def _ranges(buckets: np.ndarray, doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Table:
+    """A row for each bucket: documents, begins and ends."""
+    by = np.argsort(buckets, kind="stable")
+    rows: dict[str, list] = {"bucket": [], "ranges": []}
+    for bucket, at in _parts(buckets[by]):
+        rows["bucket"].append(bucket)
+        rows["ranges"].append(np.stack([x[by[at]] for x in (doc, begin, end)]).astype(np.uint32).tobytes())
+    return pa.table(rows, schema=pa.schema([("bucket", pa.int32()), ("ranges", pa.binary())]))
+
+
+def removed_ranges(dealt: DataFrame, text_at: int, total: int, size: int) -> DataFrame:
+    """``bucket, ranges`` of what goes, over the dealt documents of ``total`` bytes."""
+    hash_shards, shards = max(1, round(total / HASH_SHARD_BYTES)), max(1, round(total / SHARD_BYTES))
+    frequent, sort_bytes = FREQUENT, SORT_BYTES
+    spark = dealt.sparkSession
+    hash_schema, reply_schema, run_schema = (_arrow_schema(spark, s) for s in (_HASHES, _REPLIES, _RUNS))
+
+    def send_hashes(table: pa.Table) -> pa.Table:
+        import zstandard
 
-def _emit_ranges(ids, keys, begin, end, buckets: int) -> Iterator[pa.RecordBatch]:
-    bucket = _bucket(ids, buckets)
-    order = np.argsort(bucket, kind="stable")
-    stops = np.flatnonzero(np.diff(bucket[order], append=-1)) + 1
-    first, rows = 0, {"bucket": [], "ranges": []}
-    for stop in stops.tolist():
-        part = order[first:stop]
-        rows["bucket"].append(int(bucket[part[0]]))
-        rows["ranges"].append(np.stack([ids[part], keys[part].view(np.int64), begin[part], end[part]]).astype(np.int64).tobytes())
-        first = stop
-    yield pa.RecordBatch.from_pydict(rows, _RANGES)
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        bucket = Bucket(table["rows"].to_pylist(), text_at)
+        h, doc, _, _ = runs(bucket.data, bucket.ends, size)
+        key, owner = hash_keys(h, hash_shards), bucket.ids[doc]
+        by = np.argsort(key, kind="stable")
+        key, owner = key[by], owner[by]
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else by
+        rows: dict[str, list] = {"shard": [], "bucket": [], "hashes": []}
+        if len(at):
+            several = np.minimum.reduceat(owner, at) < np.maximum.reduceat(owner, at)
+            count = np.minimum(np.diff(np.append(at, len(key))), 127).astype(np.uint8) | (several.astype(np.uint8) << 7)
+            key = key[at]
+            for shard, part in _parts((key >> np.uint64(32)).astype(np.int64)):
+                rows["shard"].append(shard)
+                rows["bucket"].append(table["bucket"][0].as_py())
+                rows["hashes"].append(squeeze(_pack(np.diff((key[part] & _LOW).astype(np.uint32), prepend=np.uint32(0))) + count[part].tobytes()))
+        release()
+        return pa.table(rows, schema=hash_schema)
 
+    def reply(table: pa.Table) -> pa.Table:
+        import zstandard
 
-def removed_ranges(docs: DataFrame, id_col: str, text_col: str, shards: int, buckets: int, keyed: bool, size: int = SIZE) -> DataFrame:
-    """Ranges to remove, as ``bucket, ranges`` (compressed arrays of id, text key, begin, end)."""
+        grow, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
+        keys, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint8)]
+        for raw in map(grow, table["hashes"].to_pylist()):
+            n = len(raw) // 5
+            keys.append(np.cumsum(_unpack(raw[: 4 * n], np.uint32), dtype=np.uint32))
+            counts.append(np.frombuffer(raw, np.uint8)[4 * n :])
+        sizes = [len(k) for k in keys[1:]]
+        key, count = np.concatenate(keys), np.concatenate(counts)
+        _, spot, buckets = np.unique(key, return_inverse=True, return_counts=True)
+        repeated = (buckets > 1) | (np.bincount(spot, count >> 7, len(buckets)) > 0)
+        often = repeated & (np.bincount(spot, count & 127, len(buckets)) > frequent)
+        rows: dict[str, list] = {"bucket": [], "shard": [], "known": []}
+        at = 0
+        for bucket, n in zip(table["bucket"].to_pylist(), sizes):
+            mine = spot[at : at + n]
+            at += n
+            if repeated[mine].any():
+                rows["bucket"].append(bucket)
+                rows["shard"].append(table["shard"][0].as_py())
+                rows["known"].append(squeeze(np.packbits(repeated[mine]).tobytes() + (np.packbits(often[mine]).tobytes() if often[mine].any() else b"")))
+        release()
+        return pa.table(rows, schema=reply_schema)
 
-    def cut(batches) -> Iterator[pa.RecordBatch]:
+    def send_runs(left: pa.Table, right: pa.Table) -> pa.Table:
+        import xxhash
         import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            for part in slices(batch, CHUNK_BYTES):
-                ids = np.array([_NO_ID if x is None else x for x in part.column(0).to_pylist()], np.int64)
-                order = np.argsort(ids, kind="stable")
-                ids = ids[order]
-                raw = [(x or "").encode("utf-8") for x in part.column(1).take(pa.array(order)).to_pylist()]
-                keys, data = _text_keys(raw, keyed), b"".join(raw)
-                lengths = np.array([len(x) for x in raw], np.int64)
-                first = np.cumsum(lengths) - lengths
-                h, doc, begin, count = runs(data, lengths, size)
-                end = begin + count + size - 1
-                # of equal runs in this chunk the smallest document's speaks for all: later ones are decided here
-                seen: dict[bytes, int] = {}
-                stay, late, text = [], [], []
-                for i, (a, b, key) in enumerate(zip(begin.tolist(), end.tolist(), ids[doc].tolist())):
-                    piece = data[a:b]
-                    if seen.setdefault(piece, key) < key:
-                        late.append(i)
-                    else:
-                        stay.append(i)
-                        text.append(piece)
-                shard = (h[stay] % np.uint64(shards)).astype(np.int32)
-                late = np.array(late, np.int64)
-                by = np.argsort(shard, kind="stable")
-                stay = np.array(stay, np.int64)[by]
-                local = begin[stay] - first[doc[stay]]
-                stops = np.flatnonzero(np.diff(shard[by], append=-1)) + 1
-                at, rows = 0, {"shard": [], "data": [], "places": []}
-                owner, key_of, by = ids[doc[stay]], keys[doc[stay]], by.tolist()
-                for stop in stops.tolist():
-                    sel = slice(at, stop)
-                    rows["shard"].append(int(shard[by[at]]))
-                    rows["data"].append(squeeze(b"".join([text[i] for i in by[sel]])))
-                    meta = _pack(np.diff(owner[sel], prepend=0)) + _pack(local[sel].astype(np.uint32)) + _pack(count[stay[sel]].astype(np.uint32)) + (_pack(key_of[sel]) if keyed else b"")
-                    rows["places"].append(squeeze(meta))
-                    at = stop
-                if len(late):
-                    for k in _emit_ranges(ids[doc[late]], keys[doc[late]], begin[late] - first[doc[late]], end[late] - first[doc[late]], buckets):
-                        # decided ranges travel along under negative shards
-                        rows["shard"] += [-1 - b for b in k["bucket"].to_pylist()]
-                        rows["data"] += [squeeze(r) for r in k["ranges"].to_pylist()]
-                        rows["places"] += [b""] * k.num_rows
-                yield pa.RecordBatch.from_pydict(rows, _RUNS)
+        if not left.num_rows or not right.num_rows:
+            return run_schema.empty_table()
+        grow, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
+        number = left["bucket"][0].as_py()
+        bucket = Bucket(left["rows"].to_pylist(), text_at)
+        h, doc, begin, count = runs(bucket.data, bucket.ends, size)
+        key, spot = np.unique(hash_keys(h, hash_shards), return_inverse=True)
+        repeated, often = np.zeros(len(key), bool), np.zeros(len(key), bool)
+        for shard, raw in zip(right["shard"].to_pylist(), right["known"].to_pylist()):
+            a, b = np.searchsorted(key, np.array([shard, shard + 1], np.uint64) << np.uint64(32))
+            known = np.frombuffer(grow(raw), np.uint8)
+            wide = -(-(b - a) // 8)
+            if len(known) not in (wide, 2 * wide):
+                raise RuntimeError("a bucket's documents changed between two steps")
+            repeated[a:b] = np.unpackbits(known[:wide])[: b - a]
+            if len(known) > wide:
+                often[a:b] = np.unpackbits(known[wide:])[: b - a]
+        sent, often = repeated[spot], often[spot]
+        alone = np.flatnonzero(sent & often)
+        sent = np.flatnonzero(sent & ~often)
+        # windows of frequent hashes are runs of their own
+        more = np.repeat(alone, count[alone])
+        step = np.arange(len(more)) - np.repeat(np.cumsum(count[alone]) - count[alone], count[alone])
+        begin, end = np.concatenate([begin[sent], begin[more] + step]), np.concatenate([(begin + count)[sent] + size - 1, begin[more] + step + size])
+        doc, h = np.concatenate([doc[sent], doc[more]]), np.concatenate([h[sent], h[more]])
+        by = np.argsort(begin, kind="stable")
+        single = np.arange(len(begin)) >= len(sent)
+        # documents stand by id: the first of equal runs has the smallest one, and speaks for those of larger ids
+        data, seen = bucket.data, {}
+        stay, late, shard = [], [], []
+        for i, a, b, owner, one, x in zip(by.tolist(), begin[by].tolist(), end[by].tolist(), bucket.ids[doc[by]].tolist(), single[by].tolist(), (h[by] % np.uint64(shards)).tolist()):
+            piece = data[a:b]
+            if seen.setdefault(piece, owner) < owner:
+                late.append(i)
+            else:
+                stay.append(i)
+                shard.append(xxhash.xxh64_intdigest(piece) % shards if one else x)
+        first = np.concatenate([[0], bucket.ends[:-1]])
+        rows: dict[str, list] = {"shard": [], "bucket": [], "data": [], "places": []}
+        if late:
+            # what is decided travels along under negative shards
+            d = doc[late]
+            rows["shard"].append(-1 - number % shards)
+            rows["bucket"].append(number)
+            rows["data"].append(squeeze(np.stack([d, begin[late] - first[d], end[late] - first[d]]).astype(np.uint32).tobytes()))
+            rows["places"].append(b"")
+        shard, stay = np.array(shard, np.int64), np.array(stay, np.int64)
+        by = np.argsort(shard, kind="stable")
+        stay = stay[by]
+        for at, part in _parts(shard[by]):
+            mine = stay[part]
+            a, b, d = begin[mine], end[mine], doc[mine]
+            rows["shard"].append(at)
+            rows["bucket"].append(number)
+            rows["data"].append(squeeze(b"".join([data[x:y] for x, y in zip(a.tolist(), b.tolist())])))
+            rows["places"].append(squeeze(_pack(np.diff(bucket.ids[d], prepend=0)) + _pack(d.astype(np.uint32)) + _pack((a - first[d]).astype(np.uint32)) + (b - a).astype(np.uint8).tobytes()))
         release()
+        return pa.table(rows, schema=run_schema)
 
-    def settle(table: pa.Table) -> pa.Table:
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         grow = zstandard.ZstdDecompressor().decompress
-        shard = table["shard"][0].as_py()
-        if shard < 0:
-            return pa.table({"bucket": pa.array([-1 - shard] * table.num_rows, pa.int32()), "ranges": table["data"].cast(pa.binary())})
-        parts = [np.frombuffer(grow(x), np.uint8) for x in table["places"].to_pylist()]
-        wide = 24 if keyed else 16
-        owner, local, count, key = [], [], [], []
-        for p in parts:
-            n = len(p) // wide
-            raw = p.tobytes()
-            owner.append(np.cumsum(_unpack(raw[: 8 * n], np.int64)))
-            local.append(_unpack(raw[8 * n : 12 * n], np.uint32))
-            count.append(_unpack(raw[12 * n : 16 * n], np.uint32))
-            key.append(_unpack(raw[16 * n :], np.uint64) if keyed else np.zeros(n, np.uint64))
-        owner, key = np.concatenate(owner), np.concatenate(key)
-        local, count = np.concatenate(local).astype(np.int64), np.concatenate(count).astype(np.int64)
-        data = b"".join(grow(x) for x in table["data"].to_pylist())
-        stop = np.cumsum(count + size - 1)
-        first = stop - count - size + 1
-        tail = np.zeros(len(data) + 1, np.int8)
-        tail[stop - size + 1] += 1
-        tail[stop] -= 1
-        starts = np.flatnonzero(np.cumsum(tail[:-1], dtype=np.int8) == 0)
-        run = np.repeat(np.arange(len(count), dtype=np.int32), count)
-        # ids as ranks: only their order matters, and equal ids must stay equal
-        rank = np.unique(owner, return_inverse=True)[1].astype(np.int32)
-        gone = earlier_windows(data, starts, rank[run], size)
-        hit, which = starts[gone], run[gone]
-        del starts, run, tail, data
+        seen: dict[bytes, int] = {}
+        held: list[tuple[bytes, int, int, int, int]] = []
+        for batch in batches:
+            gone: list[tuple[int, int, int, int]] = []
+            for shard, bucket, data, places in zip(*(c.to_pylist() for c in batch.columns)):
+                if shard < 0:
+                    yield from pa.table({"bucket": pa.array([bucket], pa.int32()), "ranges": pa.array([grow(data)], pa.binary())}).to_batches()
+                    continue
+                data, raw = grow(data), grow(places)
+                n = len(raw) // 17
+                owners = np.cumsum(_unpack(raw[: 8 * n], np.int64)).tolist()
+                docs, local = (_unpack(raw[a * n : (a + 4) * n], np.uint32).tolist() for a in (8, 12))
+                at = 0
+                for owner, doc, begin, wide in zip(owners, docs, local, raw[16 * n :]):
+                    piece = data[at : at + wide]
+                    at += wide
+                    i = seen.get(piece)
+                    if i is None or held[i][1] == owner:
+                        seen.setdefault(piece, len(held))
+                        held.append((piece, owner, bucket, doc, begin))
+                    elif held[i][1] < owner:
+                        gone.append((bucket, doc, begin, begin + wide))
+                    else:
+                        _, _, b, d, x = held[i]
+                        gone.append((b, d, x, x + wide))
+                        held[i] = (piece, owner, bucket, doc, begin)
+            if gone:
+                yield from _ranges(*np.array(gone, np.int64).T).to_batches()
+        seen.clear()
+        yield from settle_distinct(held)
+        held.clear()
         release()
-        if not len(hit):
-            return _RANGES.empty_table()
-        new = np.concatenate([[True], (np.diff(hit) != 1) | (np.diff(which) != 0)])
-        lo = np.flatnonzero(new)
-        hi = np.append(lo[1:], len(hit)) - 1
-        r = which[lo]
-        begin = hit[lo] - first[r] + local[r]
-        end = hit[hi] - first[r] + local[r] + size
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        out = pa.Table.from_batches(_emit_ranges(owner[r], key[r], begin, end, buckets))
-        return out.set_column(1, "ranges", pa.array([squeeze(x) for x in out["ranges"].to_pylist()], pa.binary()))
-
-    pairs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return pairs.mapInArrow(cut, "shard int, data binary, places binary").groupBy("shard").applyInArrow(settle, "bucket int, ranges binary")
+
+    def settle_distinct(held: list[tuple[bytes, int, int, int, int]]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        ends = np.cumsum([len(x[0]) for x in held], dtype=np.int64)
+        owner, bucket, doc, begin = (np.array([x[k] for x in held], np.int64) for k in range(1, 5))
+        # a run's first window has the hash of all
+        data = b"".join(x[0] for x in held)
+        h, of, _, _ = runs(data, ends, size)
+        h = h[np.flatnonzero(np.diff(of, prepend=-1))]
+        by = np.lexsort((owner, h))
+        new = np.concatenate([[True], h[by][1:] != h[by][:-1]])
+        group, at = np.cumsum(new) - 1, np.flatnonzero(new)
+        some = owner[by][at] != owner[by][np.append(at[1:], len(by)) - 1]
+        by, group = by[some[group]], group[some[group]]
+        # whole groups of one hash are sorted together
+        load = np.cumsum([len(held[i][0]) for i in by.tolist()], dtype=np.int64)
+        whole = np.flatnonzero(np.diff(group, append=-1)) + 1
+        cuts, last = [0], 0
+        for stop, size_then in zip(whole.tolist(), load[whole - 1].tolist()):
+            if size_then - last >= sort_bytes or stop == len(by):
+                cuts.append(stop)
+                last = size_then
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            mine = by[a:b]
+            pieces = [held[i][0] for i in mine.tolist()]
+            run, lo, hi = earlier_ranges(b"".join(pieces), np.cumsum([len(p) for p in pieces], dtype=np.int64), owner[mine], size)
+            if len(run):
+                r = mine[run]
+                yield from _ranges(bucket[r], doc[r], begin[r] + lo, begin[r] + hi).to_batches()
+
+    replies = dealt.groupBy("bucket").applyInArrow(send_hashes, _HASHES).groupBy("shard").applyInArrow(reply, _REPLIES)
+    sent = dealt.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(send_runs, _RUNS)
+    return sent.groupBy("shard").applyInArrow(settle, _RANGES)
 
 
 def merge(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -315,61 +458,56 @@ def merge(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return b[new], e[last]
 
 
-def _dedup(docs: DataFrame, id_col: str, text_col: str, finish, schema: str, size: int) -> DataFrame:
-    """Cogroup documents with their ranges and let ``finish(table, spans)`` make the output."""
+def _dedup(docs: DataFrame, id_col: str, text_col: str, finish: Callable, schema: str, size: int) -> DataFrame:
+    """Cogroup documents with their ranges and let ``finish(table, texts, spans)`` make the output."""
+    kmer_of(size)
     spark = docs.sparkSession
     ship(spark)
     total = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first().n or 0
-    keyed = bool(docs.groupBy(F.col(id_col).cast("long")).count().filter(F.col("count") > 1).limit(1).count())
-    shards, buckets = max(1, round(total * BLOW_UP / SHARD_BYTES)), max(1, round(total / BUCKET_BYTES))
-    ranges = removed_ranges(docs, id_col, text_col, shards, buckets, keyed, size)
-    names = docs.columns
-    id_at, text_at = names.index(id_col), names.index(text_col)
-
-    def deal(batches) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("bucket", pa.int32()), ("rows", pa.binary())])
+    buckets = max(1, round(total / BUCKET_BYTES))
+    text_at = docs.columns.index(text_col)
+    own_id, number = F.col(id_col).cast("long"), F.pmod(F.xxhash64(F.col(id_col).cast("long"), text_col), F.lit(buckets)).cast("int")
+    # new columns stand last and go by place: their names may clash
+    placed = docs.select("*", own_id.alias("_id"), number.alias("_bucket"))
+    schema_out = _arrow_schema(spark, schema)
+    dealt_to = pa.schema([("bucket", pa.int32()), ("rows", pa.binary())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
-            for part in slices(batch, CHUNK_BYTES):
-                ids = np.array([_NO_ID if x is None else x for x in part.column(id_at).to_pylist()], np.int64)
-                bucket = _bucket(ids, buckets)
+            for part in slices(batch, BATCH_BYTES):
+                bucket = part.column(part.num_columns - 1).to_numpy()
+                part = part.select(list(range(part.num_columns - 1)))
+                by = np.argsort(bucket, kind="stable")
                 rows: dict[str, list] = {"bucket": [], "rows": []}
-                for b in np.unique(bucket).tolist():
+                for b, at in _parts(bucket[by]):
                     sink = pa.BufferOutputStream()
                     with pa.ipc.new_stream(sink, part.schema, options=options) as w:
-                        w.write_batch(part.take(pa.array(np.flatnonzero(bucket == b))))
+                        w.write_batch(part.take(pa.array(by[at])))
                     rows["bucket"].append(b)
                     rows["rows"].append(sink.getvalue().to_pybytes())
-                yield pa.RecordBatch.from_pydict(rows, out)
+                yield pa.RecordBatch.from_pydict(rows, dealt_to)
         release()
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        import zstandard
+        if not left.num_rows:
+            return schema_out.empty_table()
+        bucket = Bucket(left["rows"].to_pylist(), text_at)
+        found = [np.frombuffer(x, np.uint32).reshape(3, -1).astype(np.int64) for x in right["ranges"].to_pylist()]
+        doc, begin, end = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+        by = np.argsort(doc, kind="stable")
+        doc, begin, end = doc[by], begin[by], end[by]
+        spans = []
+        for a, b in zip(np.searchsorted(doc, bucket.place).tolist(), np.searchsorted(doc, bucket.place, side="right").tolist()):
+            spans.append(merge(begin[a:b], end[a:b]) if a < b else (begin[:0], end[:0]))
+        table = finish(bucket.table.select(list(range(bucket.table.num_columns - 1))), bucket.texts, spans)
+        del bucket
+        release()
+        return table
 
-        grow = zstandard.ZstdDecompressor().decompress
-        found = [np.frombuffer(grow(x), np.int64).reshape(4, -1) for x in (right["ranges"].to_pylist() if right.num_rows else [])]
-        ids, keys, begin, end = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
-        order = np.lexsort((keys, ids))
-        ids, keys, begin, end = ids[order], keys[order], begin[order], end[order]
-        done = []
-        for blob in left["rows"].to_pylist() if left.num_rows else []:
-            with pa.ipc.open_stream(blob) as reader:
-                table = reader.read_all()
-            spans = []
-            texts = [(t or "").encode("utf-8") for t in table.column(text_at).to_pylist()]
-            for key, t, name in zip(_text_keys(texts, keyed).view(np.int64).tolist(), texts, table.column(id_at).to_pylist()):
-                a, b = np.searchsorted(ids, [_NO_ID if name is None else name] * 2, side="left")[0], np.searchsorted(ids, _NO_ID if name is None else name, side="right")
-                if keyed and a < b:
-                    a, b = a + np.searchsorted(keys[a:b], key, side="left"), a + np.searchsorted(keys[a:b], key, side="right")
-                spans.append(merge(begin[a:b], end[a:b]) if a < b else (begin[:0], end[:0]))
-            done.append(finish(table, texts, spans))
-        return pa.concat_tables(done) if done else None
-
-    dealt = docs.mapInArrow(deal, "bucket int, rows binary").groupBy("bucket")
-    from prismal.llm.common import _arrow_schema
-
-    empty = _arrow_schema(spark, schema).empty_table()
-    return dealt.cogroup(ranges.groupBy("bucket")).applyInArrow(lambda a, b: empty if (t := join(a, b)) is None else t, schema)
+    dealt = placed.mapInArrow(deal, "bucket int, rows binary")
+    ranges = removed_ranges(dealt, text_at, total, size)
+    return dealt.groupBy("bucket").cogroup(ranges.groupBy("bucket")).applyInArrow(join, schema)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:

@@ -140,23 +140,54 @@ def test_whole_small_table(spark):
     assert spans(docs) == brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
 
 
-def test_colliding_names_fall_back_to_full_order(monkeypatch):
-    rng = np.random.default_rng(0)
-    data = rng.integers(97, 99, 400).astype(np.uint8).tobytes()
-    starts, docs = np.arange(351), np.sort(rng.integers(0, 9, 351)).astype(np.int32)
-    first = {}
-    for s, d in zip(starts, docs):
-        first.setdefault(data[s : s + 50], d)
-    text = data + data[:200]
-    both = np.concatenate([starts, np.arange(400, 551)])
-    owner = np.concatenate([docs, np.full(151, 20, np.int32)])
-    want = S.earlier_windows(text, both, owner)
-    monkeypatch.setattr(S, "_mix", lambda x: x & np.uint64(0))
-    monkeypatch.setattr(S, "_C", np.uint64(0))
-    assert (S.earlier_windows(text, both, owner) == want).all() and want.sum() == 151
-
-
-def test_previous_smaller_and_prefixes():
+@pytest.mark.parametrize("letters", [b"ab", b"ab\0", b"abcdefgh"])
+@pytest.mark.parametrize("size", [8, 10, 20, 50])
+def test_runs_cover_all_windows_and_factors_equal_brute_force(size, letters):
+    rng = random.Random(size)
+    for _ in range(12):
+        texts = [bytes(rng.choice(letters) for _ in range(rng.randint(0, 130))) for _ in range(rng.randint(1, 7))]
+        texts += [texts[0][:60] + texts[-1][-70:]]
+        data, ends = b"".join(texts), np.cumsum([len(t) for t in texts], dtype=np.int64)
+        h, doc, begin, count = S.runs(data, ends, size, stretch=rng.choice([7, 64, 1000]))
+        windows = sorted((int(d), int(b) + i, int(x)) for x, d, b, c in zip(h, doc, begin, count) for i in range(c))
+        assert [w[:2] for w in windows] == [(d, int(ends[d]) - len(t) + i) for d, t in enumerate(texts) for i in range(len(t) - size + 1)] and max(count, default=0) <= S.LONGEST
+        by_text = {}
+        for d, s, x in windows:
+            assert by_text.setdefault(data[s : s + size], x) == x
+        if not windows:
+            continue
+        at, of = np.array([w[1] for w in windows]), np.array([w[0] for w in windows])
+        owner = np.array([rng.randint(0, 4) for _ in texts])[of]
+        lengths = ends[of] - at
+        got = S.previous_factors(data, at, lengths, owner, 1)
+        suffixes = [data[s : s + n] for s, n in zip(at.tolist(), lengths.tolist())]
+        want = [max((len(os.path.commonprefix([a, b])) for b, e in zip(suffixes, owner) if e < d), default=0) for a, d in zip(suffixes, owner)]
+        # where zero bytes stand in for a suffix's end, a factor may be found shorter, never longer
+        assert got.tolist() == want if 0 not in letters else (got <= want).all()
+
+
+def test_factors_are_longer_than_the_window(monkeypatch):
+    text = bytes(range(65, 125)) * 2
+    run, begin, end = S.earlier_ranges(text + text[5:], np.array([120, 235]), np.array([3, 7]), 50)
+    assert (run.tolist(), begin.tolist(), end.tolist()) == ([1], [0], [115])
+
+
+def test_frequent_hashes_long_texts_and_other_sizes(spark, monkeypatch):
+    rng = random.Random(11)
+    notice = "".join(rng.choice("abcdefghijklmnop ") for _ in range(130))
+    rows = [(i, "".join(rng.choice("rstuvwxyz ") for _ in range(rng.randint(0, 90))) + notice + "".join(rng.choice("rstuvwxyz ") for _ in range(40))) for i in range(60)]
+    rows += [(70, None), (71, ""), (72, notice * 300), (72, "q" * 5000 + notice), (None, notice), (None, notice), (None, "x" + notice)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for name, value in (("FREQUENT", 3), ("STRETCH", 999), ("SHARD_BYTES", 3000), ("HASH_SHARD_BYTES", 5000), ("BUCKET_BYTES", 9000), ("SORT_BYTES", 2000)):
+        monkeypatch.setattr(S, name, value)
+    assert spans(df) == brute(rows)
+    for size in (9, 20):
+        assert sorted(map(tuple, S.repeated_spans(df, size=size).collect()), key=str) == brute(rows, size)
+    with pytest.raises(ValueError, match="8 bytes"):
+        S.repeated_spans(df, size=7)
+
+
+def test_previous_smaller():
     rng = np.random.default_rng(1)
     for _ in range(40):
         d, lcp = rng.integers(0, 5, 60), rng.integers(0, 60, 60).astype(np.int16)
@@ -170,9 +201,6 @@ def test_previous_smaller_and_prefixes():
                     break
             want = best if j >= 0 and best >= 20 else 0
             assert got[i] == want
-    a = np.frombuffer(b"abcdefghijklmnopqr", ">u8", 2).astype(np.uint64)[None, :]
-    b = np.frombuffer(b"abcdefghijkXmnopqr", ">u8", 2).astype(np.uint64)[None, :]
-    assert S.common_prefix(a, b, [0, 8], 16)[0] == 11 and S.common_prefix(a, a, [0, 8], 16)[0] == 16
 
 
 def test_cut_texts_keep_rows_columns_and_characters(spark):
