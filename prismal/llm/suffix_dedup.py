@@ -467,8 +467,9 @@ def _dedup(docs: DataFrame, id_col: str, text_col: str, finish: Callable, schema
     buckets = max(1, round(total / BUCKET_BYTES))
     text_at = docs.columns.index(text_col)
     own_id, number = F.col(id_col).cast("long"), F.pmod(F.xxhash64(F.col(id_col).cast("long"), text_col), F.lit(buckets)).cast("int")
-    # new columns stand last and go by place: their names may clash
-    placed = docs.select("*", own_id.alias("_id"), number.alias("_bucket"))
+    # the new columns stand last, under names that no other column has
+    longest = "_" * max(len(c) for c in docs.columns)
+    placed = docs.select("*", own_id.alias(f"{longest}id"), number.alias(f"{longest}bucket"))
     schema_out = _arrow_schema(spark, schema)
     dealt_to = pa.schema([("bucket", pa.int32()), ("rows", pa.binary())])
 

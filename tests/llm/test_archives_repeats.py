@@ -209,3 +209,6 @@ def test_cut_texts_keep_rows_columns_and_characters(spark):
     out = {r.doc_id: r for r in S.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, rows string, n_chars long")).collect()}
     assert len(out) == 5 and out[1].text == rows[0][1] and out[2].text == "zz" and out[3].text is None and out[4].text == "" and out[5].text == "short" and out[2].n_chars == 2
     assert S.repeated_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    clash = spark.createDataFrame([(1, p, 1, "a", 2, None), (2, "x" + p, 2, "b", None, 3)], "doc_id int, text string, _id int, bucket string, _bucket int, rows int")
+    less = S.without_repeats(clash)
+    assert less.schema == clash.schema and sorted(map(tuple, less.collect())) == [(1, p, 1, "a", 2, None), (2, "x", 2, "b", None, 3)]
