@@ -27,22 +27,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismal.llm.common import BATCH_BYTES, _arrow_schema, release, ship, slices
+from prismal.llm import buckets
+from prismal.llm.buckets import Bucket
+from prismal.llm.common import _arrow_schema, release
 
 SIZE = 50
 #: Bytes hashed at each position: long ones are rarely shared by texts that share nothing longer.
 KMER = 24
 #: Windows of a run at most; only periodic text has longer ones.
 LONGEST = 32
-#: Bytes of text in a bucket, and of text for a shard of runs and of hashes.
-BUCKET_BYTES, SHARD_BYTES, HASH_SHARD_BYTES = 8 << 20, 4 << 20, 8 << 20
+#: Bytes of text in a bucket, and of text for a shard of runs.
+BUCKET_BYTES, SHARD_BYTES = 4 << 20, 4 << 20
 #: Bytes cut into runs at once, and of runs whose suffixes are sorted at once.
-STRETCH, SORT_BYTES = 1 << 18, 1 << 20
-#: Runs of one hash beyond which its windows are dealt by their bytes; never a change of result.
-FREQUENT = 20_000
+STRETCH, SORT_BYTES = 1 << 18, 1 << 19
+#: Class of hashes beyond which windows are dealt by their bytes (2^14 runs or more); never a change of result.
+FREQUENT = 14
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _LOW = np.uint64(0xFFFFFFFF)
-_NO_ID = np.iinfo(np.int64).max
 
 
 def _words(data: bytes) -> np.ndarray:
@@ -198,62 +199,14 @@ def earlier_ranges(data: bytes, ends: np.ndarray, docs: np.ndarray, size: int =
     return run, starts[hit[lo]] - first[run], np.maximum.reduceat(starts[hit] + factor[hit], lo) - first[run]
 
 
-def _pack(a: np.ndarray) -> bytes:
-    """Bytes of an array, plane by plane, which compresses better."""
-    return a.view(np.uint8).reshape(len(a), -1).T.tobytes()
-
-
-def _unpack(raw: bytes, kind) -> np.ndarray:
-    wide = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(wide, -1).T).view(kind).ravel()
-
-
-def _parts(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
-    """(key, slice) of equal neighbours."""
-    stops = np.flatnonzero(np.diff(keys)) + 1
-    for a, b in zip([0, *stops.tolist()], [*stops.tolist(), len(keys)]):
-        if b > a:
-            yield int(keys[a]), slice(a, b)
-
-
-class Bucket:
-    """The rows of a bucket: distinct pairs of id and text, by id, then text, are its documents.
-
-    Only what the rows hold decides their order, so every step counts them alike.
-    """
-
-    def __init__(self, blobs: list[bytes], text_at: int):
-        tables = [pa.ipc.open_stream(b).read_all() for b in blobs]
-        self.table = pa.concat_tables(tables) if tables else None
-        texts = [t.encode("utf-8") if t else b"" for t in self.table.column(text_at).to_pylist()] if tables else []
-        named = [_NO_ID if i is None else i for i in self.table.column(self.table.num_columns - 1).to_pylist()] if tables else []
-        order = sorted(range(len(texts)), key=lambda r: (named[r], texts[r]))
-        self.texts, self.place = texts, np.zeros(len(texts), np.int64)
-        ids, distinct = [], []
-        for r in order:
-            if not ids or ids[-1] != named[r] or distinct[-1] != texts[r]:
-                ids.append(named[r])
-                distinct.append(texts[r])
-            self.place[r] = len(ids) - 1
-        self.ids = np.array(ids, np.int64)
-        self.ends = np.cumsum([len(t) for t in distinct], dtype=np.int64) if distinct else np.zeros(0, np.int64)
-        self.data = b"".join(distinct)
-
-
-def hash_keys(h: np.ndarray, shards: int) -> np.ndarray:
-    """Hash shard and the 32 bits that stand for a hash there; two hashes under one key are only sent in vain."""
-    return ((h >> np.uint64(32)) % np.uint64(shards)) << np.uint64(32) | (h & _LOW)
-
-
-_HASHES, _REPLIES = "shard int, bucket int, hashes binary", "bucket int, shard int, known binary"
 _RUNS, _RANGES = "shard int, bucket int, data binary, places binary", "bucket int, ranges binary"
 
 
-def _ranges(buckets: np.ndarray, doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Table:
+def _ranges(number: np.ndarray, doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Table:
     """A row for each bucket: documents, begins and ends."""
-    by = np.argsort(buckets, kind="stable")
+    by = np.argsort(number, kind="stable")
     rows: dict[str, list] = {"bucket": [], "ranges": []}
-    for bucket, at in _parts(buckets[by]):
+    for bucket, at in buckets.parts(number[by]):
         rows["bucket"].append(bucket)
         rows["ranges"].append(np.stack([x[by[at]] for x in (doc, begin, end)]).astype(np.uint32).tobytes())
     return pa.table(rows, schema=pa.schema([("bucket", pa.int32()), ("ranges", pa.binary())]))
@@ -261,58 +214,17 @@ def _ranges(buckets: np.ndarray, doc: np.ndarray, begin: np.ndarray, end: np.nda
 
 def removed_ranges(dealt: DataFrame, text_at: int, total: int, size: int) -> DataFrame:
     """``bucket, ranges`` of what goes, over the dealt documents of ``total`` bytes."""
-    hash_shards, shards = max(1, round(total / HASH_SHARD_BYTES)), max(1, round(total / SHARD_BYTES))
+    hash_shards, shards = buckets.hash_shards(total), max(1, round(total / SHARD_BYTES))
     frequent, sort_bytes = FREQUENT, SORT_BYTES
-    spark = dealt.sparkSession
-    hash_schema, reply_schema, run_schema = (_arrow_schema(spark, s) for s in (_HASHES, _REPLIES, _RUNS))
+    run_schema = _arrow_schema(dealt.sparkSession, _RUNS)
 
     def send_hashes(table: pa.Table) -> pa.Table:
-        import zstandard
-
-        squeeze = zstandard.ZstdCompressor(level=3).compress
         bucket = Bucket(table["rows"].to_pylist(), text_at)
         h, doc, _, _ = runs(bucket.data, bucket.ends, size)
-        key, owner = hash_keys(h, hash_shards), bucket.ids[doc]
-        by = np.argsort(key, kind="stable")
-        key, owner = key[by], owner[by]
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else by
-        rows: dict[str, list] = {"shard": [], "bucket": [], "hashes": []}
-        if len(at):
-            several = np.minimum.reduceat(owner, at) < np.maximum.reduceat(owner, at)
-            count = np.minimum(np.diff(np.append(at, len(key))), 127).astype(np.uint8) | (several.astype(np.uint8) << 7)
-            key = key[at]
-            for shard, part in _parts((key >> np.uint64(32)).astype(np.int64)):
-                rows["shard"].append(shard)
-                rows["bucket"].append(table["bucket"][0].as_py())
-                rows["hashes"].append(squeeze(_pack(np.diff((key[part] & _LOW).astype(np.uint32), prepend=np.uint32(0))) + count[part].tobytes()))
+        out = buckets.ask(table["bucket"][0].as_py(), buckets.hash_keys(h, hash_shards), bucket.ids[doc])
+        del bucket, h, doc
         release()
-        return pa.table(rows, schema=hash_schema)
-
-    def reply(table: pa.Table) -> pa.Table:
-        import zstandard
-
-        grow, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
-        keys, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint8)]
-        for raw in map(grow, table["hashes"].to_pylist()):
-            n = len(raw) // 5
-            keys.append(np.cumsum(_unpack(raw[: 4 * n], np.uint32), dtype=np.uint32))
-            counts.append(np.frombuffer(raw, np.uint8)[4 * n :])
-        sizes = [len(k) for k in keys[1:]]
-        key, count = np.concatenate(keys), np.concatenate(counts)
-        _, spot, buckets = np.unique(key, return_inverse=True, return_counts=True)
-        repeated = (buckets > 1) | (np.bincount(spot, count >> 7, len(buckets)) > 0)
-        often = repeated & (np.bincount(spot, count & 127, len(buckets)) > frequent)
-        rows: dict[str, list] = {"bucket": [], "shard": [], "known": []}
-        at = 0
-        for bucket, n in zip(table["bucket"].to_pylist(), sizes):
-            mine = spot[at : at + n]
-            at += n
-            if repeated[mine].any():
-                rows["bucket"].append(bucket)
-                rows["shard"].append(table["shard"][0].as_py())
-                rows["known"].append(squeeze(np.packbits(repeated[mine]).tobytes() + (np.packbits(often[mine]).tobytes() if often[mine].any() else b"")))
-        release()
-        return pa.table(rows, schema=reply_schema)
+        return out
 
     def send_runs(left: pa.Table, right: pa.Table) -> pa.Table:
         import xxhash
@@ -320,22 +232,13 @@ def removed_ranges(dealt: DataFrame, text_at: int, total: int, size: int) -> Dat
 
         if not left.num_rows or not right.num_rows:
             return run_schema.empty_table()
-        grow, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         number = left["bucket"][0].as_py()
         bucket = Bucket(left["rows"].to_pylist(), text_at)
         h, doc, begin, count = runs(bucket.data, bucket.ends, size)
-        key, spot = np.unique(hash_keys(h, hash_shards), return_inverse=True)
-        repeated, often = np.zeros(len(key), bool), np.zeros(len(key), bool)
-        for shard, raw in zip(right["shard"].to_pylist(), right["known"].to_pylist()):
-            a, b = np.searchsorted(key, np.array([shard, shard + 1], np.uint64) << np.uint64(32))
-            known = np.frombuffer(grow(raw), np.uint8)
-            wide = -(-(b - a) // 8)
-            if len(known) not in (wide, 2 * wide):
-                raise RuntimeError("a bucket's documents changed between two steps")
-            repeated[a:b] = np.unpackbits(known[:wide])[: b - a]
-            if len(known) > wide:
-                often[a:b] = np.unpackbits(known[wide:])[: b - a]
-        sent, often = repeated[spot], often[spot]
+        key, spot = np.unique(buckets.hash_keys(h, hash_shards), return_inverse=True)
+        known = buckets.classes(key, right)[spot]
+        sent, often = known > 0, known > frequent
         alone = np.flatnonzero(sent & often)
         sent = np.flatnonzero(sent & ~often)
         # windows of frequent hashes are runs of their own
@@ -367,13 +270,13 @@ def removed_ranges(dealt: DataFrame, text_at: int, total: int, size: int) -> Dat
         shard, stay = np.array(shard, np.int64), np.array(stay, np.int64)
         by = np.argsort(shard, kind="stable")
         stay = stay[by]
-        for at, part in _parts(shard[by]):
+        for at, part in buckets.parts(shard[by]):
             mine = stay[part]
             a, b, d = begin[mine], end[mine], doc[mine]
             rows["shard"].append(at)
             rows["bucket"].append(number)
             rows["data"].append(squeeze(b"".join([data[x:y] for x, y in zip(a.tolist(), b.tolist())])))
-            rows["places"].append(squeeze(_pack(np.diff(bucket.ids[d], prepend=0)) + _pack(d.astype(np.uint32)) + _pack((a - first[d]).astype(np.uint32)) + (b - a).astype(np.uint8).tobytes()))
+            rows["places"].append(squeeze(buckets.pack(np.diff(bucket.ids[d], prepend=0)) + buckets.pack(d.astype(np.uint32)) + buckets.pack((a - first[d]).astype(np.uint32)) + (b - a).astype(np.uint8).tobytes()))
         release()
         return pa.table(rows, schema=run_schema)
 
@@ -391,8 +294,8 @@ def removed_ranges(dealt: DataFrame, text_at: int, total: int, size: int) -> Dat
                     continue
                 data, raw = grow(data), grow(places)
                 n = len(raw) // 17
-                owners = np.cumsum(_unpack(raw[: 8 * n], np.int64)).tolist()
-                docs, local = (_unpack(raw[a * n : (a + 4) * n], np.uint32).tolist() for a in (8, 12))
+                owners = np.cumsum(buckets.unpack(raw[: 8 * n], np.int64)).tolist()
+                docs, local = (buckets.unpack(raw[a * n : (a + 4) * n], np.uint32).tolist() for a in (8, 12))
                 at = 0
                 for owner, doc, begin, wide in zip(owners, docs, local, raw[16 * n :]):
                     piece = data[at : at + wide]
@@ -444,7 +347,7 @@ def removed_ranges(dealt: DataFrame, text_at: int, total: int, size: int) -> Dat
                 r = mine[run]
                 yield from _ranges(bucket[r], doc[r], begin[r] + lo, begin[r] + hi).to_batches()
 
-    replies = dealt.groupBy("bucket").applyInArrow(send_hashes, _HASHES).groupBy("shard").applyInArrow(reply, _REPLIES)
+    replies = buckets.answers(dealt.groupBy("bucket").applyInArrow(send_hashes, buckets.ASKED))
     sent = dealt.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(send_runs, _RUNS)
     return sent.groupBy("shard").applyInArrow(settle, _RANGES)
 
@@ -461,34 +364,8 @@ def merge(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _dedup(docs: DataFrame, id_col: str, text_col: str, finish: Callable, schema: str, size: int) -> DataFrame:
     """Cogroup documents with their ranges and let ``finish(table, texts, spans)`` make the output."""
     kmer_of(size)
-    spark = docs.sparkSession
-    ship(spark)
-    total = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first().n or 0
-    buckets = max(1, round(total / BUCKET_BYTES))
-    text_at = docs.columns.index(text_col)
-    own_id, number = F.col(id_col).cast("long"), F.pmod(F.xxhash64(F.col(id_col).cast("long"), text_col), F.lit(buckets)).cast("int")
-    # the new columns stand last, under names that no other column has
-    longest = "_" * max(len(c) for c in docs.columns)
-    placed = docs.select("*", own_id.alias(f"{longest}id"), number.alias(f"{longest}bucket"))
-    schema_out = _arrow_schema(spark, schema)
-    dealt_to = pa.schema([("bucket", pa.int32()), ("rows", pa.binary())])
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
-        for batch in batches:
-            for part in slices(batch, BATCH_BYTES):
-                bucket = part.column(part.num_columns - 1).to_numpy()
-                part = part.select(list(range(part.num_columns - 1)))
-                by = np.argsort(bucket, kind="stable")
-                rows: dict[str, list] = {"bucket": [], "rows": []}
-                for b, at in _parts(bucket[by]):
-                    sink = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, part.schema, options=options) as w:
-                        w.write_batch(part.take(pa.array(by[at])))
-                    rows["bucket"].append(b)
-                    rows["rows"].append(sink.getvalue().to_pybytes())
-                yield pa.RecordBatch.from_pydict(rows, dealt_to)
-        release()
+    dealt, text_at, total = buckets.deal(docs, id_col, text_col, BUCKET_BYTES)
+    schema_out = _arrow_schema(docs.sparkSession, schema)
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -506,7 +383,6 @@ def _dedup(docs: DataFrame, id_col: str, text_col: str, finish: Callable, schema
         release()
         return table
 
-    dealt = placed.mapInArrow(deal, "bucket int, rows binary")
     ranges = removed_ranges(dealt, text_at, total, size)
     return dealt.groupBy("bucket").cogroup(ranges.groupBy("bucket")).applyInArrow(join, schema)
 

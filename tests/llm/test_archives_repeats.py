@@ -7,6 +7,7 @@ import zipfile
 import numpy as np
 import pytest
 
+from prismal.llm import buckets
 from prismal.llm import suffix_dedup as S
 from prismal.llm import warc_zip as Z
 
@@ -178,8 +179,9 @@ def test_frequent_hashes_long_texts_and_other_sizes(spark, monkeypatch):
     rows = [(i, "".join(rng.choice("rstuvwxyz ") for _ in range(rng.randint(0, 90))) + notice + "".join(rng.choice("rstuvwxyz ") for _ in range(40))) for i in range(60)]
     rows += [(70, None), (71, ""), (72, notice * 300), (72, "q" * 5000 + notice), (None, notice), (None, notice), (None, "x" + notice)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    for name, value in (("FREQUENT", 3), ("STRETCH", 999), ("SHARD_BYTES", 3000), ("HASH_SHARD_BYTES", 5000), ("BUCKET_BYTES", 9000), ("SORT_BYTES", 2000)):
+    for name, value in (("FREQUENT", 3), ("STRETCH", 999), ("SHARD_BYTES", 3000), ("BUCKET_BYTES", 9000), ("SORT_BYTES", 2000)):
         monkeypatch.setattr(S, name, value)
+    monkeypatch.setattr(buckets, "HASH_SHARD_BYTES", 5000)
     assert spans(df) == brute(rows)
     for size in (9, 20):
         assert sorted(map(tuple, S.repeated_spans(df, size=size).collect()), key=str) == brute(rows, size)
