@@ -153,8 +153,10 @@ def test_stages_keep_what_they_should(spark):
 
     one = stage["simhash"](spark, cut, SF).cache()
     rows = cut.select("doc_id", "text").orderBy("doc_id").collect()
-    f = np.array([simhash.simhash(r.text) for r in rows], np.uint64)
-    near = np.bitwise_count(f[:, None] ^ f[None, :]) <= 3
+    # the stage's rule: 5-word shingles of Jaccard similarity 0.8 or more
+    words = [(r.text or "").encode().lower().split() for r in rows]
+    sets = [{b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    near = np.array([[len(p & q) * 10 >= 8 * len(p | q) for q in sets] for p in sets])
     low = np.arange(len(rows))
     while True:
         new = np.array([low[near[i]].min() for i in range(len(rows))])
