@@ -1,21 +1,22 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
 An item is in a document when at least ``share`` of its distinct word shingles
-are.  Of an item with n shingles at most n - ceil(share * n) may be missing, so
-one of any n - ceil(share * n) + 1 of them must occur: those with the smallest
-hashes, rarest in the benchmark first, are the item's sketch.  Items are
-partitioned by size; a partition says how long its sketches are and how many
-shingles a document needs at least.  Every candidate is then verified by exact
-containment of the shingle texts.  Only DataFrame functions are used.
+are.  Items are partitioned by the binary logarithm of their size.  A partition
+sets, from the most shingles M that one of its items may miss, the length 2 M + 1
+of its items' MinHash sketches (the smallest hashes of an item) and the least
+number of sketch hashes, all but M, that a document must have: a document that
+holds the item misses at most M of any of its hashes, so recall is 1.  Of a
+document only hashes up to the largest one in any sketch are looked up.  Every
+candidate is then verified by exact containment of the shingle texts.  Only
+DataFrame functions are used.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from prismal.llm.common import without_ids, written
+from prismal.llm.common import BROADCAST_IDS, written
 
 #: Sketch rows up to which the sketch table is broadcast (16 bytes each); above, both sides are shuffled.
 BROADCAST_ROWS = 500_000
@@ -63,17 +64,49 @@ def item_table(benchmark: DataFrame, share: float, size: int, id_col: str, text_
     return items.withColumn("n_item", n).withColumn("need", F.ceil(n * F.lit(share) - 1e-9).cast("int"))
 
 
+def partitions(items: DataFrame) -> DataFrame:
+    """``part, misses, length, least`` of every size partition: shingles an item may miss, hashes of a sketch, shingles a document needs."""
+    sizes = items.groupBy(F.floor(F.log2("n_item")).cast("int").alias("part")).agg(F.max(F.col("n_item") - F.col("need")).alias("misses"), F.min("need").alias("least"))
+    return sizes.withColumn("length", 2 * F.col("misses") + 1)
+
+
 def sketches(items: DataFrame) -> DataFrame:
-    """``h, item_id, least``: the n - need + 1 hashes of every item, rare ones first, then smallest."""
-    each = items.select("item_id", "n_item", "need", F.explode("hashes").alias("h"))
-    common = each.groupBy("h").agg(F.count("*").alias("df"))
-    order = W.partitionBy("item_id").orderBy("df", "h")
-    ranked = each.join(common, "h").withColumn("k", F.row_number().over(order))
-    # a document of a size partition needs at least as many distinct shingles as the partition's smallest item needs
-    part = F.floor(F.log2("n_item")).cast("int")
-    sizes = items.groupBy(part.alias("part")).agg(F.min("need").alias("least"))
-    short = ranked.filter(F.col("k") <= F.col("n_item") - F.col("need") + 1).select("h", "item_id", part.alias("part"))
-    return short.join(F.broadcast(sizes), "part").select("h", "item_id", "least")
+    """``h, item_id, hits, least``: the MinHash sketch of every item and the number of its hashes that a document must have."""
+    each = items.withColumn("part", F.floor(F.log2("n_item")).cast("int")).join(F.broadcast(partitions(items)), "part")
+    smallest = F.slice(F.array_sort("hashes"), F.lit(1), F.col("length"))
+    hits = F.greatest(F.lit(1), F.least("length", F.size("hashes")) - F.col("misses"))
+    return each.select(F.explode(smallest).alias("h"), "item_id", hits.alias("hits"), "least")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``i, t, text``: what names a row (its id as text, empty for none, and its text's hash) and its text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")).alias("i"), F.xxhash64(text).alias("t"), text.alias("text"))
+
+
+def candidates(docs: DataFrame, sketch: DataFrame, size: int) -> DataFrame:
+    """``i, t, item_id`` of documents (``i, t, text``) that have as many of an item's sketch hashes as its partition asks for."""
+    found = sketch.agg(F.max("h").alias("top"), F.count("*").alias("n")).first()
+    side = F.broadcast(sketch) if found.n <= BROADCAST_ROWS else sketch
+    hashes = docs.select("i", "t", F.array_distinct(shingle_hashes(F.col("text"), size)).alias("hs"))
+    low = F.filter("hs", lambda h: h <= F.lit(found.top if found.n else 0))
+    probe = hashes.select("i", "t", F.size("hs").alias("n_doc"), F.explode(low).alias("h"))
+    met = probe.join(side, "h").filter(F.col("n_doc") >= F.col("least")).select("i", "t", "item_id", "hits", "h").distinct()
+    return met.groupBy("i", "t", "item_id", "hits").agg(F.count("*").alias("n")).filter("n >= hits").select("i", "t", "item_id")
+
+
+def _verified(docs: DataFrame, benchmark: DataFrame, share: float, size: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """``i, t, item_id, n_item, n_shared`` of every row that holds an item."""
+    items = written(item_table(benchmark, share, size, item_col, item_text_col), "items")
+    rows = _rows(docs, id_col, text_col)
+    pairs = written(candidates(rows, written(sketches(items), "sketches"), size), "candidates")
+    named = pairs.select("i", "t").distinct()
+    few = pairs.count() <= BROADCAST_IDS
+    texts = rows.join(F.broadcast(named) if few else named, ["i", "t"], "left_semi").dropDuplicates(["i", "t"])
+    grams = texts.select("i", "t", F.array_distinct(shingles(F.col("text"), size)).alias("doc_grams"))
+    both = pairs.join(items.select("item_id", "grams", "n_item", "need"), "item_id").join(grams, ["i", "t"])
+    shared = both.select("i", "t", "item_id", "n_item", "need", F.size(F.array_intersect("grams", "doc_grams")).alias("n_shared"))
+    return shared.filter(F.col("n_shared") >= F.col("need")).drop("need")
 
 
 def contaminated(
@@ -88,27 +121,30 @@ def contaminated(
     and digit runs; a text of fewer words is one shingle.  Null and empty texts
     hold nothing and are held by nothing.  Rows with a null document id are left
     out, as nothing names them; repeated rows count once; differing texts under one
-    id are each compared and the best is returned.
+    id are each compared and the best is returned.  Other columns are ignored,
+    whatever their names.
     """
-    items = written(item_table(benchmark, share, size, item_col, item_text_col), "items")
-    sketch = written(sketches(items), "sketches")
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    hashes = found.select("doc_id", F.array_distinct(shingle_hashes(F.col("text"), size)).alias("hs"))
-    probe = hashes.select("doc_id", F.size("hs").alias("n_doc"), F.explode("hs").alias("h"))
-    side = F.broadcast(sketch) if sketch.count() <= BROADCAST_ROWS else sketch
-    pairs = probe.join(side, "h").filter(F.col("n_doc") >= F.col("least")).select("doc_id", "item_id").distinct()
-    pairs = written(pairs, "candidates")
-    texts = found.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
-    grams = texts.select("doc_id", F.array_distinct(shingles(F.col("text"), size)).alias("doc_grams"))
-    both = pairs.join(items.select("item_id", "grams", "n_item", "need"), "item_id").join(grams, "doc_id")
-    shared = both.select("doc_id", "item_id", "n_item", "need", F.size(F.array_intersect("grams", "doc_grams")).alias("n_shared"))
-    best = shared.filter(F.col("n_shared") >= F.col("need")).groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_shared").alias("n_shared"))
+    held = _verified(docs, benchmark, share, size, id_col, text_col, item_col, item_text_col).filter("i <> ''")
+    best = held.groupBy(F.col("i").cast("long").alias("doc_id"), "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_shared").alias("n_shared"))
     return best.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """Documents that hold no benchmark item; rows with a null id stay, columns stay as they are."""
-    return without_ids(docs, contaminated(docs, benchmark, id_col=id_col, **how).select(F.col("doc_id").alias(id_col)), id_col)
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, share: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text",
+    item_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
+    """Rows that hold no benchmark item, as ``contaminated`` finds them; columns stay as they are.
+
+    Rows are decided one by one: those without an id go for their text too, and
+    of differing texts under one id only those that hold an item go.
+    """
+    held = _verified(docs, benchmark, share, size, id_col, text_col, item_col, item_text_col)
+    longest = "_" * max(len(c) for c in docs.columns)
+    i, t = f"{longest}i", f"{longest}t"
+    gone = written(held.select(F.col("i").alias(i), F.col("t").alias(t)).distinct(), "held")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    own = F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit(""))
+    return docs.join(side, (own == F.col(i)) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(t)), "left_anti")
 
 
 def contaminated_sql(share: float = 0.8, size: int = 5) -> str:

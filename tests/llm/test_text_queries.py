@@ -125,15 +125,36 @@ def test_containment_equals_brute_force(spark, monkeypatch):
         assert {(r.doc_id, r.item_id): r.n_shared for r in out} == want and len(out) == len(want)
     assert {(1, 1), (9, 8), (10, 3), (4, 4), (11, 2)} <= set(want) and {(6, 2), (2, 1)} <= set(want) and (5, 4) not in want
     kept = decontam.decontaminate(d, b)
-    assert kept.columns == d.columns and sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, [i for i, _ in docs if i not in {k for k, _ in want}]))
+    # rows are decided one by one, those without an id too
+    clean = [(i, t) for i, t in docs if not brute_leaks([(0, t)], items)]
+    assert kept.columns == d.columns and sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, clean)) and (1, "clean") in clean
     assert decontam.contaminated(d.limit(0), b).count() == 0 and decontam.contaminated(d, b.limit(0)).count() == 0
 
 
-def test_short_sketches_are_the_pigeonhole_number(spark):
-    b = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(34)))], "item_id long, text string")
+def test_size_partitions_set_sketches_and_thresholds(spark):
+    b = spark.createDataFrame([(n, " ".join(f"w{n}.{i}" for i in range(n + 4)).replace(".", "x")) for n in (1, 2, 17, 30, 40)], "item_id long, text string")
     items = decontam.item_table(b, 0.8, 5, "item_id", "text")
-    r = items.first()
-    assert (r.n_item, r.need) == (30, 24) and decontam.sketches(items).count() == 7
+    assert {(r.part, r.misses, r.length, r.least) for r in decontam.partitions(items).collect()} == {(0, 0, 1, 1), (1, 0, 1, 2), (4, 6, 13, 14), (5, 8, 17, 32)}
+    got = {r.item_id: (r.n, r.hits, r.top) for r in decontam.sketches(items).groupBy("item_id").agg(F.count("*").alias("n"), F.max("hits").alias("hits"), F.max("h").alias("top")).collect()}
+    assert {i: g[:2] for i, g in got.items()} == {1: (1, 1), 2: (1, 1), 17: (13, 7), 30: (13, 7), 40: (17, 9)}
+    assert all(sorted(r.hashes)[got[r.item_id][0] - 1] == got[r.item_id][2] for r in items.collect())
+
+
+def test_candidates_hold_all_documents_at_the_threshold(spark):
+    rng = np.random.default_rng(5)
+    items = [(n, [f"i{n}x{k}" for k in range(n + 4)]) for n in (5, 9, 16, 31, 33, 70)]
+    docs = []
+    for n, w in items:
+        for _ in range(20):
+            kept = list(w)
+            # words at the end take one shingle each, words inside up to five
+            for _ in range(rng.integers(0, 3)):
+                kept[rng.integers(0, len(kept))] = "other"
+            docs.append((len(docs), " ".join(["noise"] * int(rng.integers(0, 30)) + kept[: len(kept) - int(rng.integers(0, n // 4 + 1))])))
+    texts = [(i, " ".join(w)) for i, w in items]
+    want = brute_leaks(docs, texts)
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(texts, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.n_shared for r in got} == want and 30 < len(want) < len(docs)
 
 
 # ---- pipeline
