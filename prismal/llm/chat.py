@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 
 #: Speakers that give context and are never the assistant. Fixed values.
 CONTEXT = ("system",)
+#: Marks that begin and end a turn; inside texts and names they are written with blanks.
+MARKS = r"<\|(im_start|im_end)\|>"
 #: Turn numbers that one window covers; longer conversations are summed by such stretches first.
 STRETCH = 512
 
@@ -49,19 +51,24 @@ def rotate_perspectives(
     text and end mark of the assistant's turns; else null) and ``mask``.
 
     Turns are ordered by number, then speaker, then text; equal rows stay as
-    often as they come.  A null text is empty.  A null or blank speaker is the user
-    ``unknown`` and no perspective.  Conversations without a participant (only
+    often as they come.  A null text is empty.  A null or blank speaker is shown as the
+    user ``unknown`` and is no perspective; somebody of that name is one.  Names of
+    context speakers count in any case.  Marks inside texts and names are written with
+    blanks (``<| im_end |>``) and line ends in names as blanks, so no text
+    forges a turn.  Conversations without a participant (only
     context speakers) give no row; a null conversation id is a conversation of
     its own.  Other columns are ignored; an empty table gives an empty result.
+    Turns of one conversation that share a number, or have none, are put in order by one task.
     """
-    name = F.trim(F.coalesce(F.col(speaker_col), F.lit("")))
+    plain = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), MARKS, "<| $1 |>")
+    name = F.trim(F.regexp_replace(plain(F.col(speaker_col)), r"[\r\n]", " "))
     said = turns.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"),
-        F.when(name == "", "unknown").otherwise(name).alias("speaker"), F.coalesce(F.col(text_col), F.lit("")).alias("body"),
+        F.when(name == "", "unknown").otherwise(name).alias("speaker"), plain(F.col(text_col)).alias("body"), (name != "").alias("named"),
     )
-    cast = said.filter(~F.col("speaker").isin(*CONTEXT, "unknown")).select("conv_id", F.col("speaker").alias("perspective")).distinct()
+    cast = said.filter(F.col("named") & ~F.lower("speaker").isin(*CONTEXT)).select("conv_id", F.col("speaker").alias("perspective")).distinct()
     both = said.join(cast, said["conv_id"].eqNullSafe(cast["conv_id"])).select(said["*"], cast["perspective"])
-    role = F.when(F.col("speaker").isin(*CONTEXT), "system").when(F.col("speaker") == F.col("perspective"), "assistant").otherwise("user")
+    role = F.when(F.lower("speaker").isin(*CONTEXT), "system").when(F.col("named") & (F.col("speaker") == F.col("perspective")), "assistant").otherwise("user")
     both = both.withColumn("role", role)
     head = F.concat(F.lit("<|im_start|>"), F.col("role"), F.when(F.col("role") == "user", F.concat(F.lit(" name="), F.col("speaker"))).otherwise(""), F.lit("\n"))
     segment = F.concat(head, F.col("body"), F.lit("<|im_end|>\n"))
@@ -91,13 +98,13 @@ def perspectives_sql() -> str:
     """The rotation of table ``conversations`` as DuckDB SQL."""
     return f"""
 WITH said AS (
-  SELECT conv_id, CAST(turn AS BIGINT) AS turn,
-         CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE trim(role) END AS speaker, coalesce(text, '') AS body
-  FROM conversations),
-parts AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker NOT IN ({", ".join(f"'{x}'" for x in (*CONTEXT, "unknown"))})),
+  SELECT conv_id, CAST(turn AS BIGINT) AS turn, CASE WHEN name = '' THEN 'unknown' ELSE name END AS speaker, name <> '' AS named,
+         regexp_replace(coalesce(text, ''), '{MARKS}', '<| \\1 |>', 'g') AS body
+  FROM (SELECT *, trim(regexp_replace(regexp_replace(coalesce(role, ''), '{MARKS}', '<| \\1 |>', 'g'), '[\\r\\n]', ' ', 'g')) AS name FROM conversations)),
+parts AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE named AND lower(speaker) NOT IN ({", ".join(f"'{x}'" for x in CONTEXT)})),
 both_ AS (
   SELECT s.*, p.perspective,
-         CASE WHEN s.speaker IN ({", ".join(f"'{x}'" for x in CONTEXT)}) THEN 'system' WHEN s.speaker = p.perspective THEN 'assistant' ELSE 'user' END AS role
+         CASE WHEN lower(s.speaker) IN ({", ".join(f"'{x}'" for x in CONTEXT)}) THEN 'system' WHEN s.named AND s.speaker = p.perspective THEN 'assistant' ELSE 'user' END AS role
   FROM said s JOIN parts p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
 headed AS (
   SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM both_),

@@ -32,10 +32,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; only where none is named, a local one."""
+    """The cluster's shared scratch folder; where none is named, a local one, in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = os.path.join(tempfile.gettempdir(), "prismal-shared")
     os.makedirs(own, exist_ok=True)
     return f"file://{own}"
@@ -83,6 +85,23 @@ def without_ids(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     return rows.join(side, id_col, "left_anti").select(rows.columns)
 
 
+#: Rows of one key beyond which they are joined without a shuffle.
+HOT_ROWS = 100_000
+
+
+def join_split(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """Inner join with ``side``, one row a key with the key's number of ``rows`` as ``n``; ``n`` is dropped.
+
+    Keys of more than ``HOT_ROWS`` rows are broadcast, one for each so many rows
+    at most, so no task gathers them; ``side`` should be a written table.
+    """
+    hot = side.filter(F.col("n") > HOT_ROWS).drop("n")
+    if not hot.limit(1).count():
+        return rows.join(side.drop("n"), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(side.drop("n"), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismal.llm.common import map_rows, ship, written
@@ -24,7 +24,6 @@ from prismal.llm.common import map_rows, ship, written
 CAPACITY = 2048
 #: Pieces that one partition packs, about.
 PARTITION_PIECES = 60_000
-ROUNDS = 2
 #: Pre-tokens a worker keeps in each of two generations.
 CACHE = 600_000
 #: Recurring ones from which it stops adding to those kept between tasks.
@@ -168,10 +167,13 @@ _PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 
 
 def _pack_parts(items: DataFrame, capacity: int, seed: int) -> DataFrame:
-    """Deal pieces to partitions by hash and pack each; every row says its partition's count and bound."""
+    """Deal pieces to partitions by hash and pack each; every row says its partition's count and bound.
+
+    ``items`` is a written table: a row's number there keeps repeated rows apart.
+    """
     n = items.count()
     parts = max(1, -(-n // PARTITION_PIECES))
-    dealt = items.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(seed)), F.lit(parts)))
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id(), F.lit(seed)), F.lit(parts)))
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in ("doc_id", "piece", "start", "ids_crc32")])
@@ -186,36 +188,40 @@ def _pack_parts(items: DataFrame, capacity: int, seed: int) -> DataFrame:
     return written(dealt.groupBy("part").applyInArrow(pack, _PACKED), "packed")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack every document into sequences of at most ``capacity`` tokens.
 
     Returns a row per piece: ``doc_id, piece, start, length, ids_crc32,
     sequence_id, offset, certified``; the last says whether the count of the
-    partition that packed the piece equals its lower bound.  Null and empty
+    partition that packed the piece equals its lower bound.  Partitions with a gap
+    exchange their unfilled sequences, dealt anew, until none has one or two
+    exchanges in turn save nothing; at last the unfilled sequences of all
+    partitions are packed together.  Null and empty
     texts are one token, the end mark.  Null and repeated ids are packed row by
     row like others; other columns are ignored; an empty table gives an empty
     result.
     """
     spark = docs.sparkSession
     ship(spark)
-    current = _pack_parts(written(pieces(docs, tokenizer, capacity, id_col, text_col), "pieces"), capacity, 0)
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    done = None
-    for turn in range(1, rounds + 1):
-        stats = current.filter("bins > bound").agg(F.countDistinct("part").alias("gaps"), F.countDistinct(F.when(F.col("fill") < capacity, F.struct("part", "bin"))).alias("open")).first()
-        # one partition alone has nobody to exchange with
-        if stats.gaps < 2:
-            break
-        released = F.expr(f"bins > bound AND fill < {capacity}")
-        again = _pack_parts(current.filter(released).select(names), capacity, turn)
-        if again.select("part", "bin").distinct().count() >= stats.open:
-            break
-        kept = current.filter(~released).withColumn("round", F.lit(turn - 1))
-        done = kept if done is None else done.unionByName(kept)
-        current = again
-    else:
-        turn = rounds + 1
-    current = current.withColumn("round", F.lit(turn - 1))
-    everything = current if done is None else done.unionByName(current)
+    names, gap = ["doc_id", "piece", "start", "length", "ids_crc32"], F.col("bins") > F.col("bound")
+    held = _pack_parts(written(pieces(docs, tokenizer, capacity, id_col, text_col), "pieces"), capacity, 0).withColumn("round", F.lit(0))
+    turn, unfilled = 0, F.col("fill") < capacity
+
+    def exchange(rows: DataFrame, released: Column) -> DataFrame | None:
+        """``rows`` with the released sequences packed anew, or None where that saves none."""
+        free = written(rows.filter(released), "released")
+        again = _pack_parts(free.select(names), capacity, turn).withColumn("round", F.lit(turn))
+        if again.select("part", "bin").distinct().count() >= free.select("round", "part", "bin").distinct().count():
+            return None
+        return rows.filter(~released).unionByName(again)
+
+    vain = 0
+    while vain < 2 and held.filter(gap & unfilled).select("round", "part").distinct().limit(2).count() == 2:
+        turn += 1
+        better = exchange(held, gap & unfilled)
+        held, vain = (held, vain + 1) if better is None else (better, 0)
+    if held.select("round", "part").distinct().limit(2).count() == 2:
+        turn += 1
+        held = exchange(held, unfilled) or held
     sequence = F.col("round") * F.lit(1 << 56) + F.col("part") * F.lit(1 << 24) + F.col("bin")
-    return everything.select(*names, sequence.alias("sequence_id"), "offset", (F.col("bins") == F.col("bound")).alias("certified"))
+    return held.select(*names, sequence.alias("sequence_id"), "offset", (~gap).alias("certified"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismal.llm.common import connected_components, map_rows, ship, without_ids, written
+from prismal.llm.common import BROADCAST_IDS, connected_components, join_split, map_rows, ship, written
 
 SEED = 42
 #: Fingerprints the driver may hold while it places vantage points.
@@ -60,13 +60,14 @@ def simhash(text: str | None, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """Columns ``doc_id`` and ``fp`` (the fingerprint's bits as a signed long) for every row."""
+    """Columns ``doc_id``, ``t`` (the text's XXH64) and ``fp`` (the fingerprint's bits as a signed long) for every row."""
 
     def run(cols: list[list]) -> dict[str, list]:
-        ids, texts = cols
-        return {"doc_id": ids, "fp": np.array([simhash(t, size) for t in texts], np.uint64).view(np.int64)}
+        ids, texts, t = cols
+        return {"doc_id": ids, "t": t, "fp": np.array([simhash(x, size) for x in texts], np.uint64).view(np.int64)}
 
-    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, fp long")
+    text = F.col(text_col)
+    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("t")), run, "doc_id long, t long, fp long")
 
 
 def hamming(a: np.ndarray, b) -> np.ndarray:
@@ -263,27 +264,35 @@ def simhash_groups(
     ignored; an empty table gives an empty result.
     """
     prints = written(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    heads = written(prints.groupBy("fp").agg(F.min("doc_id").alias("head")), "heads")
+    heads = written(prints.groupBy("fp").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")), "heads")
     comp = connected_components(near_links(heads.select("fp"), reach))
     joined = heads.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = joined.groupBy("root").agg(F.min("head").alias("component_id"))
-    by_print = joined.join(least, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select(
+    by_print = written(joined.join(least, "root").select("fp", "component_id", "n"), "by_print")
+    return join_split(prints, by_print, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def keep_first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents without those whose group has a smaller id; columns stay as they are.
+def keep_first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, reach: int = 3) -> DataFrame:
+    """One row of each group: that with the smallest id; columns stay as they are.
 
-    Of repeated rows of one id one stays.  Rows with a null id all stay, as
-    nothing names them.
+    Rows are decided by id and text: of differing texts under one id each stands
+    in its own group, rows equal in both become one.  Rows without an id all
+    stay, as nothing names them.  A null text is an empty one.
     """
-    groups = written(simhash_groups(docs, id_col, text_col).select("doc_id", "component_id"), "groups")
-    gone = groups.filter(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias(id_col))
-    kept = without_ids(docs, gone, id_col)
-    repeated = groups.filter("doc_id is not null").groupBy("doc_id").count().filter(F.col("count") > 1)
-    if repeated.limit(1).count():
-        named, unnamed = kept.filter(F.col(id_col).isNotNull()), kept.filter(F.col(id_col).isNull())
-        kept = named.dropDuplicates([id_col]).unionByName(unnamed)
-    return kept
+    longest = "_" * max(len(c) for c in docs.columns)
+    own, text, c_id, c_t = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")), f"{longest}id", f"{longest}t"
+    prints = written(fingerprints(docs.select(own.alias("doc_id"), text.alias("text")).filter("doc_id is not null"), size=size), "fingerprints")
+    comp = written(connected_components(near_links(prints.select("fp").distinct(), reach)).withColumnRenamed("node", "fp"), "components")
+    rows = written(prints.groupBy("doc_id", "t", "fp").agg(F.count("*").alias("n")).join(comp, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rows")
+    order = F.struct("doc_id", "t")
+    first = rows.groupBy("root").agg(F.min(order).alias("first"))
+    gone = rows.join(first, "root").filter(order != F.col("first")).select(F.col("doc_id").alias(f"{c_id}_gone"), F.col("t").alias(f"{c_t}_gone"))
+    gone = written(gone, "gone")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    tagged = docs.withColumns({c_id: own, c_t: F.xxhash64(text)})
+    kept = tagged.join(side, (F.col(c_id) == F.col(f"{c_id}_gone")) & (F.col(c_t) == F.col(f"{c_t}_gone")), "left_anti")
+    if rows.filter("n > 1").limit(1).count():
+        kept = kept.filter(F.col(c_id).isNotNull()).dropDuplicates([c_id, c_t]).unionByName(kept.filter(F.col(c_id).isNull()))
+    return kept.select(docs.columns)

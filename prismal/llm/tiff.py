@@ -22,6 +22,7 @@ from prismal.llm.common import map_rows
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PREDICTOR = 273, 277, 278, 279, 317
 PLANAR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 284, 322, 323, 324, 325
+FILL_ORDER, SAMPLE_FORMAT = 266, 339
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 
@@ -116,6 +117,8 @@ def lzw_decode(data: bytes, size: int) -> bytes:
         if code == 256:
             table, width, last = [bytes((i,)) for i in range(256)] + [b"", b""], 9, None
             continue
+        if not table or code > len(table):
+            raise ValueError("LZW data without a first clear code, or with a code not yet known")
         if last is None:
             entry = table[code]
         else:
@@ -169,6 +172,8 @@ def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: i
         tags |= {TILE_WIDTH: (4, [tile[1]]), TILE_LENGTH: (4, [tile[0]]), TILE_OFFSETS: (4, offsets), TILE_COUNTS: (4, counts)} if tile else {STRIP_OFFSETS: (4, offsets), ROWS_PER_STRIP: (4, [rows_per_strip]), STRIP_COUNTS: (4, counts)}
         if predictor != 1:
             tags[PREDICTOR] = (3, [predictor])
+        if len(out) >= 1 << 32:
+            raise ValueError("a TIFF holds less than 4 GB")
         entries = b""
         for tag, (kind, values) in sorted(tags.items()):
             raw = struct.pack(f"{order}{len(values)}{'H' if kind == 3 else 'I'}", *values)
@@ -212,6 +217,8 @@ def read_pages(data: bytes) -> Iterator[tuple[dict, np.ndarray]]:
         how, predictor, tiled = one(COMPRESSION, NONE), one(PREDICTOR, 1), TILE_OFFSETS in tags
         if bits not in (8, 16) or one(PLANAR, 1) != 1 and spp > 1:
             raise ValueError(f"TIFF with {bits} bits or separate planes is not supported")
+        if predictor not in (1, 2) or one(FILL_ORDER, 1) != 1 or one(SAMPLE_FORMAT, 1) != 1:
+            raise ValueError(f"TIFF with predictor {predictor}, reversed bits or samples that are no unsigned integers is not supported")
         kind = np.dtype(f"{order}u{bits // 8}")
         th, tw = (one(TILE_LENGTH), one(TILE_WIDTH)) if tiled else (min(one(ROWS_PER_STRIP, rows), rows), cols)
         page = np.zeros((rows, cols, spp), kind.newbyteorder("="))
@@ -221,7 +228,10 @@ def read_pages(data: bytes) -> Iterator[tuple[dict, np.ndarray]]:
             y, x = i // across * th, i % across * tw
             high = th if tiled else min(th, rows - y)
             want = high * tw * spp * kind.itemsize
-            block = np.frombuffer(unsqueeze(data[start : start + size], how, want)[:want], kind).reshape(high, tw, spp)
+            raw = unsqueeze(data[start : start + size], how, want)[:want]
+            if len(raw) < want:
+                raise ValueError(f"TIFF block {i} ends after {len(raw)} of {want} bytes")
+            block = np.frombuffer(raw, kind).reshape(high, tw, spp)
             if predictor == 2:
                 block = np.cumsum(block, axis=1, dtype=page.dtype)
             part = page[y : y + high, x : x + tw]
@@ -229,17 +239,31 @@ def read_pages(data: bytes) -> Iterator[tuple[dict, np.ndarray]]:
         yield {"rows": rows, "cols": cols, "samples": spp, "bits": bits, "compression": how, "predictor": predictor, "tiled": tiled}, page
 
 
-PAGES_SCHEMA = "media_id long, page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, pixels binary"
+PAGES_SCHEMA = "media_id long, page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, pixels binary, error string"
+#: What damaged or unknown files raise while they are read.
+_BAD = (ValueError, TypeError, KeyError, IndexError, ZeroDivisionError, MemoryError, OverflowError, struct.error, zlib.error)
 
 
 def explode_pages(media: DataFrame, id_col: str = "media_id", data_col: str = "media") -> DataFrame:
-    """One row per page of every TIFF in ``data_col``; a null or empty file has no page. Bytes that are no TIFF raise."""
+    """One row per page of every TIFF in ``data_col``; a null or empty file has no page.
+
+    Where a file cannot be read on, a row with null values says why in ``error``,
+    after the pages before; null elsewhere.  Null and repeated ids are kept.
+    """
+
+    def pages(data: bytes | None) -> Iterator[tuple[dict, np.ndarray | None]]:
+        try:
+            yield from read_pages(data) if data else ()
+        except _BAD as e:
+            yield {"error": f"{type(e).__name__}: {e}"}, None
 
     def run(cols: list[list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("media_id", "page", "width", "height", "samples", "bits", "compression", "predictor", "tiled", "pixels")}
+        same = ("samples", "bits", "compression", "predictor", "tiled", "error")
+        out: dict[str, list] = {k: [] for k in ("media_id", "page", "width", "height", "pixels", *same)}
         for key, data in zip(*cols):
-            for i, (d, page) in enumerate(read_pages(data) if data else ()):
-                for k, v in (("media_id", key), ("page", i), ("width", d["cols"]), ("height", d["rows"]), ("samples", d["samples"]), ("bits", d["bits"]), ("compression", d["compression"]), ("predictor", d["predictor"]), ("tiled", d["tiled"]), ("pixels", page.tobytes())):
+            for i, (d, page) in enumerate(pages(data)):
+                values = {"media_id": key, "page": i, "width": d.get("cols"), "height": d.get("rows"), "pixels": None if page is None else page.tobytes()}
+                for k, v in (values | {k: d.get(k) for k in same}).items():
                     out[k].append(v)
         return out
 

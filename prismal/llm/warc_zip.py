@@ -149,8 +149,12 @@ def parse_record(member: bytes) -> dict:
 
 
 def _file_system(uri: str):
+    """File system and path; the schemes by which Spark knows S3 are read as ``s3``."""
     from pyarrow.fs import FileSystem
 
+    scheme, mark, rest = uri.partition("://")
+    if mark and scheme in ("s3a", "s3n"):
+        uri = f"s3://{rest}"
     return FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace("file:", "file://", 1))
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -185,6 +186,19 @@ def test_sixteen_bit_samples_and_bad_files():
         list(T.read_pages(b"nope"))
 
 
+def test_files_that_cannot_be_read_are_rows(spark):
+    good = T.write_tiff([np.arange(12, dtype=np.uint8).reshape(3, 4)] * 2, T.LZW, 2)
+    tag = struct.pack("<HHI", T.PREDICTOR, 3, 1)
+    at = good.rindex(tag)
+    third = good[: at + 8] + b"\x03" + good[at + 9 :]
+    strip = next(T.directories(good))[1][T.STRIP_OFFSETS][0]
+    files = [good, b"nope", good[:-40], third, good[:strip] + bytes(4) + good[strip + 4 :], None, b"II*\0", T.write_tiff([np.zeros((9, 9), np.uint8)], T.NONE, 1)[:40]]
+    rows = T.explode_pages(spark.createDataFrame(list(enumerate(files)), "media_id long, media binary")).collect()
+    by = {i: sorted((r for r in rows if r.media_id == i), key=lambda r: r.page) for i in range(len(files))}
+    assert [(r.page, r.error, len(r.pixels)) for r in by[0]] == [(0, None, 12), (1, None, 12)] and not by[5]
+    assert all(by[i] and by[i][-1].error and by[i][-1].pixels is None for i in (1, 2, 3, 4, 6, 7)) and "predictor 3" in by[3][-1].error
+
+
 def test_text_media_rows(spark, monkeypatch):
     texts = [None, "", "a" * 64, "b" * 65, "é" * 100_000, "a" * 64]
     docs = spark.createDataFrame([(i if i else None, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, media string")

@@ -86,6 +86,16 @@ def test_groups_and_edge_rows(spark):
     assert ids.count(3) == 1 and 7 not in ids and 9 not in ids and 21 not in ids and None in ids and 20 in ids and 30 in ids
 
 
+def test_differing_texts_under_one_id_are_decided_each(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    a, other = " ".join(f"w{i}" for i in range(60)), "quite another text of some words"
+    rows = [(1, a), (5, a), (5, other), (6, a), (6, a), (7, other), (7, other)]
+    kept = S.keep_first_of_groups(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(map(tuple, kept)) == [(1, a), (5, other)]
+    out = S.simhash_groups(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in out) == [(1, 1), (5, 1), (5, 5), (6, 1), (6, 1), (7, 5), (7, 5)]
+
+
 def test_empty_table(spark):
     assert S.simhash_groups(spark.createDataFrame([], DOCS)).count() == 0
 
