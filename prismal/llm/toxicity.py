@@ -20,8 +20,8 @@ from prismal.llm.common import map_rows, release, ship, written
 
 #: Labelled documents the model is fitted on at most, taken in hash order of their ids.
 FIT_ROWS = 16_000
-#: Features of the model at most, taken by their chi-square against the label; no more than labelled documents, but LEAST_FEATURES.
-FEATURES, LEAST_FEATURES = 4096, 256
+#: Features of the model at most, taken by their chi-square against the label, and the least chi-square of one (chance exceeds it once in a hundred).
+FEATURES, LEAST_CHI_SQUARE = 4096, 6.635
 MIN_DOCS = 4
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
@@ -132,8 +132,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features:
     freq = map_rows(sample.select("text", "toxic"), frequencies, "feature string, neg long, pos long")
     freq = freq.groupBy("feature").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).filter(F.col("neg") + F.col("pos") >= MIN_DOCS)
     gap = F.col("pos") / pos - F.col("neg") / (n - pos)
-    rate = (F.col("pos") + F.col("neg") + 0.5) / n
-    best = freq.orderBy((gap * gap / rate).desc(), "feature").limit(min(features, max(LEAST_FEATURES, n))).collect()
+    rate = (F.col("pos") + F.col("neg") + 0.5) / (n + 1)
+    chi_square = gap * gap / (rate * (1 - rate)) * (pos * (n - pos) / n)
+    best = freq.withColumn("chi", chi_square).filter(F.col("chi") >= LEAST_CHI_SQUARE).orderBy(F.desc("chi"), "feature").limit(features).collect()
     place = {r.feature: i for i, r in enumerate(best)}
     known = spark.sparkContext.broadcast(place)
 
