@@ -123,7 +123,10 @@ def prompt(text: Column, template: str) -> Column:
 
 
 def truthy(v: Column) -> Column:
-    return F.coalesce(F.lower(F.trim(v.cast("string"))).isin("true", "correct", "1", "yes", "y", "right", "t", "✓"), F.lit(False))
+    """Whether a cell says yes, in any case and between any blanks."""
+    bare = F.regexp_replace(F.lower(v.cast("string")), r"(?U)^\s+|\s+$", "")
+    # fixed values: the accepted spellings
+    return F.coalesce(bare.isin("true", "correct", "1", "yes", "y", "right", "t", "✓", "✅"), F.lit(False))
 
 
 def bare_name(v: Column) -> Column:

@@ -71,10 +71,12 @@ def split_disjoint(records: DataFrame, id_col: str = "id", group_col: str = "grp
 
 def exact_duplicates(records: DataFrame, text_col: str = "text", label_col: str = "analyte", split_col: str = "split", id_col: str = "id") -> DataFrame:
     """FAIL for equal texts of one label in several splits, WARN for equal texts of different labels."""
-    g = records.filter(F.col(split_col).isNotNull()).groupBy(text_col).agg(
-        F.countDistinct(split_col).alias("splits"), F.countDistinct(label_col).alias("labels"), F.count("*").alias("n"), F.min(F.col(id_col).cast("string")).alias("id"))
-    across = g.filter("splits > 1")
-    n = across.agg(F.count_if(F.col("labels") <= 1).alias("same"), F.count_if(F.col("labels") > 1).alias("other"))
+    # digests stand for the texts, and several values are a least and a greatest that differ
+    several = lambda c: F.coalesce(F.min(c) < F.max(c), F.lit(False))
+    g = records.filter(F.col(split_col).isNotNull()).groupBy(F.sha2(F.col(text_col).cast("binary"), 256).alias("digest")).agg(
+        several(split_col).alias("splits"), several(label_col).alias("labels"), F.min(F.col(id_col).cast("string")).alias("id"))
+    across = g.filter("splits")
+    n = across.agg(F.count_if(~F.col("labels")).alias("same"), F.count_if("labels").alias("other"))
     status = F.when(F.col("same") > 0, "FAIL").when(F.col("other") > 0, "WARN").otherwise("PASS")
     return result("exact_duplicates", n, status, F.format_string("%d texts of one label and %d of several labels are in several splits", "same", "other"), across)
 
@@ -88,7 +90,9 @@ def near_duplicates(pairs: DataFrame, same_label: str = "same_label") -> DataFra
 def token_budget(records: DataFrame, limit: int, text_col: str = "text", id_col: str = "id", overhead: int = 0) -> DataFrame:
     """FAIL where a text's estimated tokens and the overhead exceed the limit."""
     t = X.estimate_tokens(F.col(text_col)) + overhead
-    n = records.agg(F.count("*").alias("n"), F.percentile(t, F.lit(0.5)).alias("mid"), F.max(t).alias("most"), F.count_if(t > limit).alias("over"))
+    # the median is over one row a distinct count
+    sizes = records.groupBy(t.alias("t")).agg(F.count("*").alias("k"))
+    n = sizes.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.percentile("t", F.lit(0.5), F.col("k")).alias("mid"), F.max("t").alias("most"), F.coalesce(F.sum(F.when(F.col("t") > limit, F.col("k"))), F.lit(0)).alias("over"))
     detail = F.format_string("median %.1f, most %d, %d over %d", "mid", "most", "over", F.lit(limit))
     return result("token_budget", n, F.when(F.col("over") > 0, "FAIL").otherwise("PASS"), detail, records.filter(t > limit), id_col)
 

@@ -37,8 +37,10 @@ def histogram_overlap(df: DataFrame, value: str, group: str, lo: float, width: f
 def spread(df: DataFrame, value: str, by, name: str | None = None) -> DataFrame:
     """Count, median, quartile range, 10th and 90th percentile, least and greatest of a value per key."""
     n, by = name or value, [by] if isinstance(by, str) else by
-    q = F.percentile(value, F.array(*(F.lit(x) for x in (0.1, 0.25, 0.5, 0.75, 0.9))))
-    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias(f"{n}_min"), F.max(value).alias(f"{n}_max"), q.alias("_q"))
+    # one row a distinct value, weighted by its repeats
+    levels = df.groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_k"))
+    q = F.percentile("_v", F.array(*(F.lit(x) for x in (0.1, 0.25, 0.5, 0.75, 0.9))), F.col("_k"))
+    out = levels.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_k"))), F.lit(0)).alias("n"), F.min("_v").alias(f"{n}_min"), F.max("_v").alias(f"{n}_max"), q.alias("_q"))
     return out.select(*by, "n", f"{n}_min", f"{n}_max", *(F.get("_q", F.lit(i)).alias(f"{n}_{k}") for i, k in ((0, "p10"), (2, "median"), (4, "p90"))), (F.get("_q", F.lit(3)) - F.get("_q", F.lit(1))).alias(f"{n}_iqr")).drop("_q")
 
 
@@ -58,13 +60,26 @@ def text_stats(df: DataFrame, peaks: str, by: str, low_share: float = 0.2, posit
 def gap_clusters(df: DataFrame, value: str, tol: float, by=None) -> DataFrame:
     """``*by, cluster, lo, hi, median, n``: sorted values cut where the gap to the last exceeds ``tol``.
 
-    Distinct values are clustered, so a key's window holds few rows; repeats count in ``n`` and the median.
+    Distinct values are clustered in cells of a thousand tolerances and the cells
+    are then put in order, so no task orders all values of a key; repeats count
+    in ``n`` and the median.
     """
     by = [by] if isinstance(by, str) else list(by or [])
     levels = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("k"))
-    w = W.partitionBy(*by).orderBy("v")
-    new = F.coalesce((F.col("v") - F.lag("v").over(w) > tol).cast("int"), F.lit(0))
-    c = levels.withColumn("_new", new).withColumn("cluster", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    levels = levels.withColumn("_cell", F.floor(F.col("v") / (1000 * tol)) if tol > 0 else F.col("v"))
+    w = W.partitionBy(*by, "_cell").orderBy("v")
+    gap = F.coalesce((F.col("v") - F.lag("v").over(w) > tol).cast("int"), F.lit(0))
+    rows = levels.withColumn("_new", gap).withColumn("_in", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    # a cell's first value may begin a cluster, too
+    cells = rows.groupBy(*by, "_cell").agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"), F.max("_in").alias("_more"))
+    in_order = W.partitionBy(*by).orderBy("_cell")
+    cells = cells.withColumn("_apart", F.coalesce((F.col("_lo") - F.lag("_hi").over(in_order) > tol).cast("int"), F.lit(0)))
+    cells = cells.withColumn("_base", F.sum(F.col("_apart") + F.col("_more")).over(in_order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_more"))
+    cells = cells.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), F.col("_cell").alias("_at"), "_base")
+    same = F.col("_cell") == F.col("_at")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    c = rows.join(cells, same).withColumn("cluster", F.col("_base") + F.col("_in"))
     return c.groupBy(*by, "cluster").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.percentile("v", F.lit(0.5), F.col("k")).alias("median"), F.sum("k").alias("n"))
 
 

@@ -66,22 +66,37 @@ def paired_difference_ci(df: DataFrame, group: str, metric, value: str, method:
     return here.crossJoin(ci)
 
 
+def numbered(df: DataFrame, by: list[str], order: Column, then: str, name: str) -> DataFrame:
+    """Add ``name``: each row's number from 1 within ``by``, in the order of a 64-bit hash, then of a column.
+
+    Rows are numbered in 256 cells of the hash's high bits and by the cells' sizes, so no task orders a whole key.
+    """
+    rows = df.withColumn("_h", order).withColumn("_cell", F.shiftright("_h", 56))
+    sizes = rows.groupBy(*by, "_cell").agg(F.count("*").alias("_n"))
+    before = W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), F.col("_cell").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rows = rows.withColumn("_in", F.row_number().over(W.partitionBy(*by, "_cell").orderBy("_h", then)))
+    same = F.col("_cell") == F.col("_at")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    return rows.join(sizes, same).select(*df.columns, (F.col("_before") + F.col("_in")).alias(name))
+
+
 def permutations(df: DataFrame, group: str, label: str, n_perm: int, strata: str | None = None, seed: int = 0) -> DataFrame:
     """``perm, <group>, <label>``: labels of whole groups shuffled within strata.
 
     A label that varies within a group raises when the result is read.  Groups
-    are ordered by a hash of the permutation and matched with the labels in the
-    groups' own order.
+    in the order of a hash of the permutation are matched with the labels in the
+    order of a hash of their own.
     """
     s = F.col(strata) if strata else F.lit(0)
     g = df.groupBy(group).agg(F.first(s).alias("_s"), F.min(label).alias("_l"), F.max(label).alias("_h"))
     same = F.when(F.col("_l").eqNullSafe(F.col("_h")), F.col("_l")).otherwise(F.raise_error(F.lit("a label varies within a group")).cast(df.schema[label].dataType))
     g = g.select(group, "_s", same.alias(label))
-    own = g.withColumn("_k", F.row_number().over(W.partitionBy("_s").orderBy(group)))
+    own = numbered(g, ["_s"], F.xxhash64(group, F.lit(seed)), group, "_k").select(F.col("_s").alias("_own"), F.col("_k").alias("_place"), label)
     perms = df.sparkSession.range(n_perm).select(F.col("id").cast("int").alias("perm"))
-    w = W.partitionBy("perm", "_s").orderBy(F.xxhash64(group, "perm", F.lit(seed)), group)
-    shuffled = perms.crossJoin(g.select(group, "_s")).withColumn("_k", F.row_number().over(w))
-    return shuffled.join(own.select("_s", "_k", label), ["_s", "_k"]).select("perm", group, label)
+    shuffled = numbered(perms.crossJoin(g.select(group, "_s")), ["perm", "_s"], F.xxhash64(group, "perm", F.lit(seed)), group, "_k")
+    return shuffled.join(own, F.col("_s").eqNullSafe(F.col("_own")) & (F.col("_k") == F.col("_place"))).select("perm", group, label)
 
 
 def p_value(null: DataFrame, value: str, real: float, by=None) -> DataFrame:
@@ -99,8 +114,8 @@ def group_folds(df: DataFrame, group: str, label: str, k: int = 5, seed: int = 0
     g = df.groupBy(group).agg(F.min(label).alias("_y"))
     sizes = g.groupBy("_y").count()
     least = sizes.agg(F.min("count").alias("m"), F.count("*").alias("c"))
-    w = W.partitionBy("_y").orderBy(F.xxhash64(group, F.lit(seed)), group)
-    dealt = g.withColumn("_r", F.row_number().over(w) - 1).crossJoin(F.broadcast(least)).filter((F.col("m") >= 2) & (F.col("c") >= 2))
+    placed = numbered(g, ["_y"], F.xxhash64(group, F.lit(seed)), group, "_r").withColumn("_r", F.col("_r") - 1)
+    dealt = placed.crossJoin(F.broadcast(least)).filter((F.col("m") >= 2) & (F.col("c") >= 2))
     return dealt.select(group, F.pmod(F.col("_r"), F.least(F.col("m"), F.lit(k))).cast("int").alias("fold"))
 
 
@@ -110,8 +125,8 @@ def group_split(df: DataFrame, group: str, label: str, test_share: float = 0.2,
     A null label is a stratum of its own; a group under two labels goes by its last in their order.
     """
     g = df.groupBy(group).agg(F.max(label).alias("_y"))
-    w = W.partitionBy("_y")
-    g = g.withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.xxhash64(group, F.lit(seed)), group)))
+    sizes = g.groupBy(F.col("_y").alias("_z")).agg(F.count("*").alias("_n"))
+    g = numbered(g, ["_y"], F.xxhash64(group, F.lit(seed)), group, "_r").join(sizes, F.col("_y").eqNullSafe(F.col("_z")))
     n_test = F.when(F.col("_n") < 2, 0).otherwise(F.least(F.greatest(F.rint(F.col("_n") * test_share), F.lit(1)), F.col("_n") - 1))
     return g.select(group, F.when(F.col("_r") <= n_test, "test").otherwise("train").alias("split"))
 
