@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismal.llm.common import scratch, ship, slices, written
+from prismal.llm.common import join_split, scratch, ship, slices, written
 
 #: Bytes of compressed records after which a package is closed.
 PACKAGE_BYTES = 16 << 20
@@ -251,9 +251,9 @@ def with_originals(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit(""))
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha2(html, 256).alias("_key"))
     ids = keyed.filter(F.octet_length("html") >= min_bytes).select("page_id", "_key")
-    first = ids.groupBy("_key").agg(F.min("page_id").alias("_first"))
+    first = written(ids.groupBy("_key").agg(F.min("page_id").alias("_first"), F.count("*").alias("n")).filter("n > 1"), "first_pages")
     # only the ids are joined on the payload's digest; payloads move once, dealt by page
-    again = ids.join(first, "_key").filter(F.col("page_id") > F.col("_first")).select("page_id", "_key", F.col("_first").alias("refers_to")).distinct()
+    again = join_split(ids, first, "_key").filter(F.col("page_id") > F.col("_first")).select("page_id", "_key", F.col("_first").alias("refers_to")).distinct()
     return keyed.join(again, ["page_id", "_key"], "left").drop("_key")
 
 
