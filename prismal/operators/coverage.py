@@ -136,19 +136,21 @@ def domain_reason(flags: dict[str, Column]) -> Column:
     return F.concat_ws("; ", *(F.when(c, F.lit(k)) for k, c in flags.items()))
 
 
-def consensus(rows: DataFrame, vector: str, id_col: str, min_corr: float = 0.9) -> DataFrame:
-    """One row ``mean, p90, n, n_all`` of vectors whose correlation with the element-wise median is at least ``min_corr``.
+def consensus(rows: DataFrame, vector: str, id_col: str, min_corr: float = 0.9, by=None) -> DataFrame:
+    """A row ``*by, mean, p90, n, n_all`` of vectors whose correlation with the element-wise median is at least ``min_corr``.
 
-    All rows are used when fewer than three exist; fewer than half or than three left raises.
+    All rows of a key are used when fewer than three exist; fewer than half or than three left raises.
     """
-    long = V.explode_vector(rows, vector, [id_col])
-    mid = long.groupBy("k").agg(F.percentile("v", F.lit(0.5)).alias("m"))
-    r = long.join(mid, "k").groupBy(id_col).agg(A.correlation("v", "m").alias("r"))
-    n = rows.select(id_col).distinct().agg(F.count("*").alias("n_all"))
-    kept = r.crossJoin(F.broadcast(n)).filter((F.col("n_all") < 3) | (F.col("r") >= min_corr))
-    good = long.join(kept.select(id_col), id_col)
-    per = good.groupBy("k").agg(F.avg("v").alias("mean"), F.percentile("v", F.lit(0.9)).alias("p90"), F.countDistinct(id_col).alias("n"))
-    every = per.agg(F.array_sort(F.collect_list(F.struct("k", "mean", "p90"))).alias("_p"), F.coalesce(F.max("n"), F.lit(0)).alias("n")).crossJoin(n)
-    out = every.select(F.transform("_p", lambda s: s["mean"]).alias("mean"), F.transform("_p", lambda s: s["p90"]).alias("p90"), "n", "n_all")
+    by = [by] if isinstance(by, str) else list(by or [])
+    long = V.explode_vector(rows, vector, [*by, id_col])
+    mid = long.groupBy(*by, "k").agg(F.percentile("v", F.lit(0.5)).alias("m"))
+    r = long.join(mid, [*by, "k"]).groupBy(*by, id_col).agg(A.correlation("v", "m").alias("r"))
+    n = rows.select(*by, id_col).distinct().groupBy(*by).agg(F.count("*").alias("n_all"))
+    joined = lambda df: df.join(F.broadcast(n), by) if by else df.crossJoin(F.broadcast(n))
+    kept = joined(r).filter((F.col("n_all") < 3) | (F.col("r") >= min_corr))
+    good = long.join(kept.select(*by, id_col), [*by, id_col])
+    per = good.groupBy(*by, "k").agg(F.avg("v").alias("mean"), F.percentile("v", F.lit(0.9)).alias("p90"), F.countDistinct(id_col).alias("n"))
+    every = joined(per.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("k", "mean", "p90"))).alias("_p"), F.coalesce(F.max("n"), F.lit(0)).alias("n")))
+    out = every.select(*by, F.transform("_p", lambda s: s["mean"]).alias("mean"), F.transform("_p", lambda s: s["p90"]).alias("p90"), "n", "n_all")
     few = (F.col("n_all") >= 3) & (F.col("n") < F.greatest(F.lit(3.0), F.col("n_all") * 0.5))
     return out.filter(F.when(few, F.raise_error(F.lit("too few rows agree with the median")).cast("boolean")).otherwise(True))

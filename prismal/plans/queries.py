@@ -173,13 +173,13 @@ def similarity_ranks(spark, sf_dir):
 
 
 @query(f"""
-WITH long AS ({_LONG}), f AS (SELECT vec_id, label, k, v FROM long WHERE label = 0), med AS (SELECT k, quantile_cont(v, 0.5) AS m FROM f GROUP BY k),
-r AS (SELECT vec_id, corr(v, m) AS r FROM f JOIN med USING (k) GROUP BY vec_id), keep AS (SELECT vec_id FROM r WHERE r >= -1)
-SELECT CAST(k AS INTEGER) AS k, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.9), 6) AS p90, count(*) AS n FROM f JOIN keep USING (vec_id) GROUP BY k""")
+WITH f AS ({_LONG}), med AS (SELECT label, k, quantile_cont(v, 0.5) AS m FROM f GROUP BY 1, 2),
+r AS (SELECT label, vec_id, corr(v, m) AS r FROM f JOIN med USING (label, k) GROUP BY 1, 2), keep AS (SELECT vec_id FROM r WHERE r >= -0.05)
+SELECT label, CAST(k AS INTEGER) AS k, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.9), 6) AS p90, count(*) AS n, (SELECT count(*) FROM embeddings e WHERE e.label = f.label) AS n_all
+FROM f JOIN keep USING (vec_id) GROUP BY label, k""")
 def consensus_curve(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").filter("label = 0")
-    c = C.consensus(e, "embedding", "vec_id", -1.0)
-    return c.select(F.posexplode(F.arrays_zip("mean", "p90")).alias("k", "z"), "n").select("k", r6(F.col("z.mean"), "mean"), r6(F.col("z.p90"), "p90"), "n")
+    c = C.consensus(table(spark, sf_dir, "embeddings"), "embedding", "vec_id", -0.05, "label")
+    return c.select("label", F.posexplode(F.arrays_zip("mean", "p90")).alias("k", "z"), "n", "n_all").select("label", "k", r6(F.col("z.mean"), "mean"), r6(F.col("z.p90"), "p90"), "n", "n_all")
 
 
 # ---------------------------------------------------------------- scored documents
@@ -294,16 +294,6 @@ def token_spread(spark, sf_dir):
     return s.select("source", "n", "tokens_min", "tokens_max", *(r6(F.col(c), c) for c in ("tokens_p10", "tokens_median", "tokens_p90", "tokens_iqr")))
 
 
-@query(f"""
-WITH t AS (SELECT conv_id, {X.estimate_tokens_sql('text')} AS n FROM conversations), c AS (SELECT conv_id, CAST(sum(n) AS BIGINT) AS n FROM t GROUP BY 1)
-SELECT 'budget' AS "check", CASE WHEN count_if(n > 2016) > 0 THEN 'FAIL' ELSE 'PASS' END AS status, count_if(n > 2016) AS n_over, max(n) AS most FROM c""")
-def conversation_budget(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", X.estimate_tokens(F.col("text")).cast("bigint").alias("n")).groupBy("conv_id").agg(F.sum("n").alias("n"))
-    limit = CFG["max_seq_length"] - CFG["answer_token_reserve"]
-    over = F.count_if(F.col("n") > limit)
-    return c.agg(F.lit("budget").alias("check"), F.when(over > 0, "FAIL").otherwise("PASS").alias("status"), over.alias("n_over"), F.max("n").alias("most"))
-
-
 @query("""
 WITH d AS (SELECT text, lang, CASE WHEN substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) < '3' THEN 'test' ELSE 'train' END AS split FROM documents),
 g AS (SELECT text, count(DISTINCT split) AS s, count(DISTINCT lang) AS l FROM d GROUP BY text)
@@ -346,27 +336,8 @@ def page_leaks(spark, sf_dir):
     return Q.legacy_leaks(table(spark, sf_dir, "pages"), {"script": h.rlike("(?i)<script"), "tracker": h.rlike(r"(?i)track\("), "long": F.length(h) > 5000}, "page_id").withColumnRenamed("id", "page_id")
 
 
-@query("""
-SELECT conv_id, turn, length(text) AS n_chars, length(text) - lag(length(text)) OVER w AS change, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS BIGINT) AS so_far
-FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)""")
-def turn_features(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    n = F.length("text").cast("bigint")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", n.alias("n_chars"), (n - F.lag(n).over(w)).alias("change"), F.sum(n).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("so_far"))
-
-
 # ---------------------------------------------------------------- events as signals
 
-@query("""
-SELECT event_type, CAST(least(greatest(floor(value / 10), 0), 19) AS INTEGER) AS bin, round(max(value), 6) AS top FROM events GROUP BY 1, 2""")
-def value_raster(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    b = F.least(F.greatest(F.floor(F.col("value") / 10), F.lit(0)), F.lit(19)).cast("int")
-    return e.groupBy("event_type", b.alias("bin")).agg(r6(F.max("value"), "top"))
-
-
 @query("""
 WITH h AS (SELECT event_type AS g, floor(value / 5) AS b, count(*) AS c FROM events WHERE value IS NOT NULL GROUP BY 1, 2), p AS (SELECT g, b, c / sum(c) OVER (PARTITION BY g) AS p FROM h),
 g AS (SELECT DISTINCT g FROM p)
@@ -398,13 +369,9 @@ def shared_positions(spark, sf_dir):
 WITH d AS (SELECT user_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events), m AS (SELECT user_id, quantile_cont(d, 0.5) AS m FROM d WHERE d IS NOT NULL GROUP BY 1)
 SELECT user_id, round(1.4826 * quantile_cont(abs(d - m), 0.5) / sqrt(2), 6) AS noise FROM d JOIN m USING (user_id) WHERE d IS NOT NULL GROUP BY 1""")
 def robust_noise(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    d = F.col("value") - F.lag("value").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    e = table(spark, sf_dir, "events").select("user_id", d.alias("d")).filter("d is not null")
-    m = e.groupBy("user_id").agg(F.percentile("d", F.lit(0.5)).alias("m"))
-    spread = e.join(m, "user_id").groupBy("user_id").agg(F.percentile(F.abs(F.col("d") - F.col("m")), F.lit(0.5)).alias("s"))
-    return spread.select("user_id", r6(F.lit(1.4826) * F.col("s") / F.sqrt(F.lit(2.0)), "noise"))
+    # a user's values in time
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("e")).filter(F.size("e") > 1)
+    return e.select("user_id", r6(A.robust_noise(F.transform("e", lambda x: x["value"])), "noise"))
 
 
 @query("""
@@ -415,22 +382,6 @@ def signal_noise(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", r6(A.robust_noise(A.doubles(F.col("embedding"))), "noise"))
 
 
-@query("""
-SELECT user_id, event_id, round(value, 6) AS value, CAST(r AS INTEGER) AS r FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events) WHERE r <= 3""")
-def strongest_events(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
-    return table(spark, sf_dir, "events").withColumn("r", F.row_number().over(w)).filter("r <= 3").select("user_id", "event_id", r6(F.col("value"), "value"), "r")
-
-
-@query("""
-SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS k, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2""")
-def props_by_type(spark, sf_dir):
-    k = (F.get_json_object("props", "$.k").cast("bigint") % 10).alias("k")
-    return table(spark, sf_dir, "events").groupBy("event_type", k).agg(F.count("*").alias("n"), r6(F.avg("value"), "mean"))
-
-
 @query("""
 WITH p AS (SELECT event_id, event_type, user_id, value, round(value) AS pos FROM events),
 b AS (SELECT 20.0 AS pos, 15.0 AS h UNION ALL SELECT 50.0, 60.0),
@@ -453,19 +404,9 @@ def value_text(spark, sf_dir):
 
 # ---------------------------------------------------------------- joins and ids on the star schema
 
-@query("""
-WITH o AS (SELECT o_custkey, c_nationkey AS cond, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey), m AS (SELECT cond, avg(o_totalprice) AS m, count(*) AS n FROM o GROUP BY 1)
-SELECT c_custkey, 'mean(' || c_nationkey || ', n=' || n || ')' AS label, round(m, 4) AS ref FROM customer LEFT JOIN m ON cond = c_nationkey""")
-def condition_reference(spark, sf_dir):
-    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
-    m = o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.avg("o_totalprice").alias("m"), F.count("*").alias("n"))
-    out = c.join(F.broadcast(m), "c_nationkey", "left")
-    return out.select("c_custkey", F.when(F.col("m").isNotNull(), F.format_string("mean(%d, n=%d)", "c_nationkey", "n")).alias("label"), F.round("m", 4).alias("ref"))
-
-
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def customers_without_orders(spark, sf_dir):
-    return J.only_in(table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "k"), table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "k"), "k").withColumnRenamed("k", "c_custkey")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)")
+def customers_without_events(spark, sf_dir):
+    return J.only_in(table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "k"), table(spark, sf_dir, "events").withColumnRenamed("user_id", "k"), "k").withColumnRenamed("k", "c_custkey")
 
 
 @query("""
@@ -537,32 +478,212 @@ def line_factors(spark, sf_dir):
     return p.select("p_partkey", r6(A.scattering_factor(F.col("p_retailprice")) / 1e12, "factor"), r6(i["a2"], "a2"), r6(i["g2"], "g2"))
 
 
-@query("""
-WITH s AS (SELECT l_orderkey, l_linenumber, l_extendedprice, l_discount, l_tax, l_shipdate FROM lineitem), c AS (SELECT o_orderkey, o_custkey FROM orders),
-j AS (SELECT o_custkey, l_extendedprice * (1 - l_discount) AS v FROM s JOIN c ON l_orderkey = o_orderkey), m AS (SELECT o_custkey, avg(v) AS score, count(*) AS n FROM j GROUP BY 1)
-SELECT c_nationkey, round(avg(score), 4) AS mean_of_means, count(*) AS n_groups FROM m JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
-def mean_of_group_means(spark, sf_dir):
-    li, o, c = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
-    per = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(F.avg(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("score"))
-    return per.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.round(F.avg("score"), 4).alias("mean_of_means"), F.count("*").alias("n_groups"))
-
-
 @query("""
 SELECT conv_id, turn, CASE role WHEN 'user' THEN 'F1' WHEN 'assistant' THEN 'F1.snv' ELSE 'F10' END AS feature, role <> 'system' AS in_family,
-       'kind: ' || role || '; text: ' || CASE WHEN substr(text, 1, 10) = '' OR text IS NULL THEN 'NA' ELSE substr(text, 1, 10) END AS tagged
+       'kind: ' || role || '; text: ' || CASE WHEN text = '' OR text IS NULL THEN 'NA' ELSE text END AS tagged
 FROM conversations""")
 def tagged_turns(spark, sf_dir):
     f = F.when(F.col("role") == "user", "F1").when(F.col("role") == "assistant", "F1.snv").otherwise("F10")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", f.alias("feature"), I.family(f, "F1").alias("in_family"), X.tagged_text({"kind": F.col("role"), "text": F.substring("text", 1, 10)}).alias("tagged"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", f.alias("feature"), I.family(f, "F1").alias("in_family"), X.tagged_text({"kind": F.col("role"), "text": F.col("text")}).alias("tagged"))
+
+# ---------------------------------------------------------------- peak lists, features and checks
+
+# a user's events as peaks: the event's number as position, its value as intensity
+_PEAKS = "SELECT user_id, CAST(event_id AS DOUBLE) AS pos, value AS h, CAST(event_id % 7 AS DOUBLE) AS w FROM events"
+_CHUNK = "printf('%.0f', pos) || ' ' || CAST(round_even(greatest(h, 0), 2) AS DECIMAL(18, 2)) || ' ' || printf('%.0f', w)"
+
+
+def _peak_lists(spark, sf_dir) -> DataFrame:
+    """``id, peaks`` of every user; lists are as long as a user has events."""
+    peak = F.struct(F.col("event_id").cast("double").alias("position"), F.col("value").alias("intensity"), (F.col("event_id") % 7).cast("double").alias("width"))
+    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.collect_list(peak).alias("peaks"))
+
+
+@query(f"""
+SELECT user_id AS id, string_agg({_CHUNK}, ' | ' ORDER BY pos) AS text, string_agg(printf('%.0f', pos), ' | ' ORDER BY pos) AS positions, count(*) AS n_back,
+       round(sum(CAST(round_even(greatest(h, 0), 2) AS DOUBLE)), 4) AS total FROM ({_PEAKS}) GROUP BY 1""")
+def peak_texts(spark, sf_dir):
+    t = _peak_lists(spark, sf_dir).select("id", X.peaks_text(F.col("peaks"), CFG).alias("text"))
+    back = X.parse_peaks(F.col("text"), CFG)
+    return t.select("id", "text", X.keep_fields(F.col("text"), CFG, "position").alias("positions"), F.size(back).cast("bigint").alias("n_back"),
+                    F.round(A.total(F.transform(back, lambda p: p["intensity"])), 4).alias("total"))
+
+
+@query(f"""
+WITH p AS ({_PEAKS}), b AS (SELECT user_id, CAST(least(greatest(floor((pos - 500) / 10), 0), 124) AS INTEGER) AS k, max(CAST(round_even(h, 2) AS DOUBLE)) AS h FROM p GROUP BY 1, 2),
+g AS (SELECT user_id, k FROM (SELECT DISTINCT user_id FROM p), (SELECT unnest(range(0, 125)) AS k))
+SELECT g.user_id AS id, 'F1' AS feature, CAST(g.k AS INTEGER) AS k, round(greatest(coalesce(h, 0), 0), 6) AS v FROM g LEFT JOIN b ON b.user_id = g.user_id AND b.k = g.k
+UNION ALL SELECT g.user_id, 'F1pos', CAST(g.k AS INTEGER), CASE WHEN coalesce(h, 0) > 0 THEN 1.0 ELSE 0.0 END FROM g LEFT JOIN b ON b.user_id = g.user_id AND b.k = g.k""")
+def raster_features(spark, sf_dir):
+    from prismal.operators import features as E
+
+    records = _peak_lists(spark, sf_dir).select("id", X.peaks_text(F.col("peaks"), CFG).alias("text"))
+    return E.feature_set(records, CFG, None, ("F1", "F1pos")).select("id", "feature", F.posexplode("v").alias("k", "v")).select("id", "feature", "k", r6(F.col("v"), "v"))
+
+
+@query(f"""
+WITH p AS ({_PEAKS}), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY h DESC, pos) AS r FROM p), s AS (SELECT * FROM r WHERE r <= 3)
+SELECT user_id, CAST(pos AS BIGINT) AS event_id, round(h, 6) AS value, CAST(row_number() OVER (PARTITION BY user_id ORDER BY pos) - 1 AS INTEGER) AS place,
+       round(w / sqrt(1.0 / 0.3 - 1.0), 6) AS fwhm FROM s""")
+def strongest_events(spark, sf_dir):
+    # equal ones count in the order of the list
+    ordered = _peak_lists(spark, sf_dir).select("id", F.array_sort("peaks").alias("peaks"))
+    top = ordered.select(F.col("id").alias("user_id"), F.posexplode(A.top_by_intensity(F.col("peaks"), 3)).alias("place", "p"))
+    return top.select("user_id", F.col("p.position").cast("bigint").alias("event_id"), r6(F.col("p.intensity"), "value"), "place", r6(A.lorentz_fwhm(F.col("p.width"), 0.7), "fwhm"))
+
+
+@query(f"""
+WITH p AS ({_PEAKS}), k AS (SELECT * FROM p WHERE NOT (abs(pos - 600) <= 40 OR abs(pos - 2000) <= 40))
+SELECT user_id AS id, count(*) AS n, count_if(pos BETWEEN 500 AND 900 OR pos BETWEEN 1500 AND 1600) AS n_inside FROM k GROUP BY 1""")
+def masked_peaks(spark, sf_dir):
+    kept = _peak_lists(spark, sf_dir).select("id", F.explode(A.mask_peaks(F.col("peaks"), F.array(F.lit(600.0), F.lit(2000.0)), 40.0)).alias("p"))
+    inside = A.inside(F.col("p.position"), [(500, 900), (1500, 1600)])
+    return kept.groupBy("id").agg(F.count("*").alias("n"), F.count_if(inside).alias("n_inside"))
+
+
+@query(f"""
+WITH p AS (SELECT e.event_type AS g, {_PEAKS.split('SELECT ', 1)[1].replace('FROM events', 'FROM events e')}), l AS (SELECT g, user_id, count(*) AS n, arg_max(pos, (h, -pos)) AS top FROM p GROUP BY 1, 2)
+SELECT l.g AS event_type, l.records, round(l.pm, 6) AS peaks_median, round(e.im, 6) AS intensity_median, round(e.weak, 6) AS weak_share, round(e.fm, 6) AS fwhm_median, round(e.low, 6) AS low_share, round(l.sm, 6) AS strongest_median
+FROM (SELECT g, count(*) AS records, quantile_cont(n, 0.5) AS pm, quantile_cont(top, 0.5) AS sm FROM l GROUP BY 1) l
+JOIN (SELECT g, quantile_cont(h, 0.5) AS im, avg(CASE WHEN h < 20 THEN 1.0 ELSE 0.0 END) AS weak, quantile_cont(w, 0.5) AS fm, avg(CASE WHEN pos < 900 THEN 1.0 ELSE 0.0 END) AS low FROM p GROUP BY 1) e USING (g)""")
+def peak_statistics(spark, sf_dir):
+    peak = F.struct(F.col("event_id").cast("double").alias("position"), F.col("value").alias("intensity"), (F.col("event_id") % 7).cast("double").alias("width"))
+    lists = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.array_sort(F.collect_list(peak)).alias("peaks"))
+    s = C.text_stats(lists, "peaks", "event_type", 20.0, 900.0)
+    return s.select("event_type", "records", *(r6(F.col(c), c) for c in ("peaks_median", "intensity_median", "weak_share", "fwhm_median", "low_share", "strongest_median")))
 
 
 @query("""
-SELECT conv_id, turn, CASE role WHEN 'user' THEN 'F1' WHEN 'assistant' THEN 'F1.snv' ELSE 'F10' END AS feature, role <> 'system' AS in_family,
-       'kind: ' || role || '; text: ' || CASE WHEN text = '' OR text IS NULL THEN 'NA' ELSE text END AS tagged
-FROM conversations""")
-def tagged_whole_turns(spark, sf_dir):
-    f = F.when(F.col("role") == "user", "F1").when(F.col("role") == "assistant", "F1.snv").otherwise("F10")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", f.alias("feature"), I.family(f, "F1").alias("in_family"), X.tagged_text({"kind": F.col("role"), "text": F.col("text")}).alias("tagged"))
+WITH s AS (SELECT 'x' || vec_id || 'y' AS id, label, vec_id FROM embeddings)
+SELECT 'split_disjoint' AS "check", CASE WHEN count_if(k > 1) > 0 THEN 'FAIL' ELSE 'PASS' END AS status, '0 repeated ids, ' || CAST(count_if(k > 1) AS VARCHAR) || ' groups in several splits' AS detail
+FROM (SELECT label, count(DISTINCT vec_id % 5 = 0) AS k FROM s GROUP BY label)""")
+def splits_by_label(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("grp"), F.when(F.col("vec_id") % 5 == 0, "test").otherwise("train").alias("split"))
+    return Q.split_disjoint(e).select("check", "status", "detail")
+
+
+@query(f"""
+WITH t AS (SELECT {X.estimate_tokens_sql('text')} + 32 AS n FROM conversations)
+SELECT 'token_budget' AS "check", CASE WHEN count_if(n > 200) > 0 THEN 'FAIL' ELSE 'PASS' END AS status,
+       'median ' || CAST(CAST(quantile_cont(n, 0.5) AS DECIMAL(18, 1)) AS VARCHAR) || ', most ' || CAST(max(n) AS VARCHAR) || ', ' || CAST(count_if(n > 200) AS VARCHAR) || ' over 200' AS detail FROM t""")
+def conversation_budget(spark, sf_dir):
+    return Q.token_budget(table(spark, sf_dir, "conversations"), 200, "text", "conv_id", 32).select("check", "status", "detail")
+
+
+@query(f"""
+WITH t AS (SELECT user_id AS id, string_agg({_CHUNK}, ' | ' ORDER BY pos) AS text FROM ({_PEAKS}) GROUP BY 1), u AS (SELECT id, CASE WHEN id % 3 = 0 THEN text || ' |' ELSE text END AS text FROM t)
+SELECT 'grammar' AS "check", 'FAIL' AS status, CAST(count_if(id % 3 = 0) AS VARCHAR) || ' of ' || CAST(count(*) AS VARCHAR) || ' texts are off the grammar' AS detail FROM u
+UNION ALL SELECT 'blank_control', CASE WHEN count(*) < 5 THEN 'SKIP' WHEN avg(CAST(toxic = quality AS INTEGER)) > 0.5 + 0.1 THEN 'FAIL' ELSE 'PASS' END,
+  'accuracy ' || CAST(CAST(avg(CAST(toxic = quality AS INTEGER)) AS DECIMAL(18, 3)) AS VARCHAR) || ' on ' || CAST(count(*) AS VARCHAR) || ' blanks, chance 0.500' FROM labels""")
+def audit(spark, sf_dir):
+    t = _peak_lists(spark, sf_dir).select("id", X.peaks_text(F.col("peaks"), CFG).alias("text"))
+    t = t.withColumn("text", F.when(F.col("id") % 3 == 0, F.concat("text", F.lit(" |"))).otherwise(F.col("text")))
+    return Q.run_all(Q.grammar(t, CFG), Q.blank_control(table(spark, sf_dir, "labels"), "toxic", "quality", 0.5)).select("check", "status", "detail")
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, role, 'Turn: ' || text || chr(10) || 'Who?' AS prompt, length(text) AS n FROM conversations)
+SELECT conv_id, turn, prompt, 6 AS start, CAST(n + 6 AS INTEGER) AS stop, '(' || role || '/' || conv_id || ')' AS tag, role IN ('user', 'assistant') AS yes FROM t""")
+def prompts(spark, sf_dir):
+    p = X.prompt(F.col("text"), "Turn: {text}\nWho?")
+    cell = F.when(F.col("role") == "user", " Yes\t").when(F.col("role") == "assistant", "✅").otherwise("no")
+    c = table(spark, sf_dir, "conversations").withColumn("p", p)
+    return c.select("conv_id", "turn", F.col("p.prompt").alias("prompt"), F.col("p.start").alias("start"), F.col("p.stop").alias("stop"), X.combo_tag(F.col("role"), F.col("conv_id").cast("string")).alias("tag"), X.truthy(cell).alias("yes"))
+
+
+@query("""
+SELECT 'l-' || c_mktsegment AS name, lower(c_mktsegment) AS bare, replace(c_name || '_x', '_', ' ') AS shown FROM customer""")
+def names(spark, sf_dir):
+    n = F.concat(F.lit("l-"), F.col("c_mktsegment"))
+    pretty = X.pretty(F.concat(F.lit("fg_"), F.col("c_name"), F.lit("_x")))
+    return table(spark, sf_dir, "customer").select(n.alias("name"), X.bare_name(F.concat(F.lit(" L-"), F.col("c_mktsegment"), F.lit(" "))).alias("bare"), pretty.alias("shown"))
+
+
+@query(f"""
+WITH c AS (SELECT vec_id, label, embedding FROM embeddings), refs AS (SELECT * FROM ({_LONG}) WHERE vec_id % 2 = 1), m AS (SELECT label, k, avg(v) AS m, count(*) AS n FROM refs GROUP BY 1, 2)
+SELECT l.vec_id, 'mean(g' || l.label || ', n=' || any_value(m.n) || ')' AS ref_label, round(sum(l.v * m.m), 6) AS dot FROM ({_LONG}) l JOIN m ON m.label = l.label AND m.k = l.k WHERE l.vec_id % 2 = 0 GROUP BY l.vec_id, l.label""")
+def reference_lookup(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    name = lambda p: F.concat(F.lit(p), F.col("label").cast("string"), F.lit("_"), F.col("vec_id").cast("string"))
+    v = A.doubles(F.col("embedding")).alias("v")
+    samples, refs = e.filter("vec_id % 2 = 0").select("vec_id", name("Cell_g").alias("id"), v), e.filter("vec_id % 2 = 1").select(name("CB_g").alias("id"), v)
+    return J.find_reference(samples, refs, "v").select("vec_id", "ref_label", r6(A.dot(F.col("v"), F.col("ref")), "dot"))
+
+
+@query("""
+SELECT o_orderkey AS id, o_custkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r = 1""")
+def last_order(spark, sf_dir):
+    return J.last_per_key(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_totalprice")
+
+
+@query("""
+WITH a AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+SELECT vec_id, round(list_max(v), 6) AS top, round(list_sum(list_transform(v, lambda x: x / list_max(v))), 6) AS scaled,
+       round(list_sum(list_transform(range(2, len(v) + 1), lambda i: abs(v[i] - v[i - 1]))), 6) AS rough, round(list_median(v), 6) AS middle FROM a WHERE list_max(v) > 0""")
+def vector_shapes(spark, sf_dir):
+    v = F.col("v")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", A.doubles(F.col("embedding")).alias("v")).filter(F.array_max("v") > 0)
+    rough = A.total(F.transform(A.differences(v), lambda x: F.abs(x)))
+    return e.select("vec_id", r6(F.array_max(v), "top"), r6(A.total(A.scale_to_max(v)), "scaled"), r6(rough, "rough"), r6(A.median(v), "middle"))
+
+
+@query("""
+WITH a AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), i AS (SELECT vec_id, v, unnest(range(1, len(v) + 1)) AS i FROM a),
+t AS (SELECT unnest(range(-7, 8)) AS d), s AS (SELECT 4.0 / (2 * sqrt(2 * ln(2))) AS s), w AS (SELECT d, exp(-0.5 * power(d / s, 2)) AS w FROM t, s WHERE abs(d) <= CAST(floor(4 * s + 0.5) AS INTEGER)),
+n AS (SELECT d, w / (SELECT sum(w) FROM w) AS w FROM w)
+SELECT vec_id, CAST(i - 1 AS INTEGER) AS k, round(sum(w * v[least(greatest(i + d, 1), len(v))]), 6) AS v FROM i, n GROUP BY 1, 2""")
+def broadened(spark, sf_dir):
+    from prismal.functions import signal as S
+
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.posexplode(S.broaden(A.doubles(F.col("embedding")), 4.0, 1.0)).alias("k", "v")).select("vec_id", "k", r6(F.col("v"), "v"))
+
+
+@query("""
+WITH a AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), i AS (SELECT vec_id, v, unnest(range(3, len(v) - 1)) AS i FROM a)
+SELECT vec_id, CAST(i - 1 AS INTEGER) AS k, round((-3 * v[i - 2] + 12 * v[i - 1] + 17 * v[i] + 12 * v[i + 1] - 3 * v[i + 2]) / 35, 6) AS v FROM i""")
+def smoothed(spark, sf_dir):
+    # the inner points of a window of five and an order of three have a closed form
+    from prismal.functions import signal as S
+
+    e = table(spark, sf_dir, "embeddings").select("vec_id", A.doubles(F.col("embedding")).alias("y"))
+    cfg = CFG | {"grid_step": 1.0, "smooth": {"window_cm": 3, "polyorder": 3}}
+    out = e.select("vec_id", F.size("y").alias("n"), F.posexplode(S.smooth(F.col("y"), cfg)).alias("k", "v"))
+    return out.filter((F.col("k") >= 2) & (F.col("k") < F.col("n") - 2)).select("vec_id", "k", r6(F.col("v"), "v"))
+
+
+@query("""
+WITH g AS (SELECT unnest(range(500, 1751)) AS x), p AS (SELECT p_partkey, p_retailprice AS f, p_size AS h FROM part)
+SELECT p_partkey, round(max(h * 25 / (power(x - f, 2) + 25)), 6) AS top, round(sum(h * 25 / (power(x - f, 2) + 25)), 4) AS area FROM p, g GROUP BY 1""")
+def rendered_lines(spark, sf_dir):
+    from prismal.functions import signal as S
+
+    one = lambda c: F.array(F.col(c).cast("double"))
+    p = table(spark, sf_dir, "part").select("p_partkey", S.render(one("p_retailprice"), one("p_size"), F.array(F.lit(10.0)), CFG).alias("y"))
+    return p.select("p_partkey", r6(F.array_max("y"), "top"), F.round(A.total(F.col("y")), 4).alias("area"))
+
+
+@query("""
+WITH a AS (SELECT source, max(toxic) AS y, avg(CAST(length(text) AS DOUBLE)) AS s FROM documents JOIN labels USING (doc_id) GROUP BY source || '/' || (doc_id % 40), source),
+p AS (SELECT s AS pos FROM a WHERE y = 1), n AS (SELECT s AS neg FROM a WHERE y = 0)
+SELECT count(*) AS n_pairs, round(avg(CASE WHEN abs(pos - neg) <= 1e-12 THEN 0.5 WHEN pos > neg THEN 1.0 ELSE 0.0 END), 6) AS wins FROM p, n""")
+def pairs_won(spark, sf_dir):
+    # pairs of a few hundred analytes
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").withColumn("a", F.concat_ws("/", "source", (F.col("doc_id") % 40).cast("string")))
+    s = d.groupBy("a").agg(F.avg(F.length("text").cast("double")).alias("s"))
+    pairs = R.leave_pair_out(d, "a", "toxic")
+    pairs = pairs.join(s.select(F.col("a").alias("pos"), F.col("s").alias("pos_score")), "pos").join(s.select(F.col("a").alias("neg"), F.col("s").alias("neg_score")), "neg")
+    return R.pair_wins(pairs).agg(F.count("*").alias("n_pairs"), r6(F.avg("win"), "wins"))
+
+
+@query(f"""
+WITH u AS {_UNIT}
+SELECT a.vec_id, count(b.vec_id) AS n_links FROM u a LEFT JOIN u b ON a.vec_id <> b.vec_id AND list_dot_product(a.u, b.u) >= 0.4 - 1e-12 GROUP BY 1""")
+def near_links(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    pairs = V.near_pairs(e, e, "embedding", "vec_id", 0.4).filter("left_id <> right_id")
+    links = pairs.groupBy(F.col("left_id").alias("vec_id")).agg(F.count("*").alias("n_links"))
+    return e.select("vec_id").join(links, "vec_id", "left").fillna(0, ["n_links"])
 
 
 # ---------------------------------------------------------------- without a SQL twin
@@ -594,7 +715,7 @@ def signal_peaks(spark, sf_dir):
     cfg = variant() | {"window": [0.0, 63.0], "smooth": {"window_cm": 5, "polyorder": 2}}
     e = table(spark, sf_dir, "embeddings")
     y = F.transform(A.doubles(F.col("embedding")), lambda x: F.abs(x))
-    size = e.select(F.size("embedding")).first()[0]
+    size = e.agg(F.max(F.size("embedding"))).first()[0]
     cfg["window"] = [0.0, float(size - 1)]
     return e.select("vec_id", X.peaks_text(S.find_peaks(y, cfg), cfg).alias("text"))
 
