@@ -89,8 +89,7 @@ def candidates(docs: DataFrame, sketch: DataFrame, size: int) -> DataFrame:
     found = sketch.agg(F.max("h").alias("top"), F.count("*").alias("n")).first()
     side = F.broadcast(sketch) if found.n <= BROADCAST_ROWS else sketch
     hashes = docs.select("i", "t", F.array_distinct(shingle_hashes(F.col("text"), size)).alias("hs"))
-    low = F.filter("hs", lambda h: h <= F.lit(found.top if found.n else 0))
-    probe = hashes.select("i", "t", F.size("hs").alias("n_doc"), F.explode(low).alias("h"))
+    probe = hashes.select("i", "t", F.size("hs").alias("n_doc"), F.explode("hs").alias("h")).filter(F.col("h") <= F.lit(found.top if found.n else 0))
     met = probe.join(side, "h").filter(F.col("n_doc") >= F.col("least")).select("i", "t", "item_id", "hits", "h").distinct()
     return met.groupBy("i", "t", "item_id", "hits").agg(F.count("*").alias("n")).filter("n >= hits").select("i", "t", "item_id")
 
