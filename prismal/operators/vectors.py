@@ -6,12 +6,17 @@ whatever the number of rows; ``explode_vector`` and ``gather_vector`` convert.
 
 from __future__ import annotations
 
+from functools import partial, reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from prismal.functions import arrays as A
 
+#: Bytes of query vectors that are gathered and broadcast at once.
+BLOCK_BYTES = 64 << 20
+
 
 def _by(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by or [])
@@ -105,8 +110,10 @@ def nearest_centroid(train: DataFrame, test: DataFrame, vector: str, label: str,
 def cosine_neighbours(queries: DataFrame, base: DataFrame, vector: str, id_col: str, k: int, carry: list[str] | None = None) -> DataFrame:
     """The ``k`` rows of ``base`` with the largest cosine for every query row, itself left out: ``query_id, id, sim, rank``.
 
-    Exact. Queries are sent to the base rows in blocks of arrays, and each base
-    partition gives only its own best ``k`` of a query before the shuffle.
+    Exact. Queries are sent to the base rows in blocks of at most about
+    ``BLOCK_BYTES`` of vectors, one block after another, and each base partition
+    gives only its own best ``k`` of a query before the shuffle.  The work is the
+    product of both sides, so the query side should be a stated, smaller set.
     """
     import numpy as np
     import pyarrow as pa
@@ -115,13 +122,19 @@ def cosine_neighbours(queries: DataFrame, base: DataFrame, vector: str, id_col:
 
     ship(base.sparkSession)
     carry = carry or []
-    q = queries.select(F.col(id_col).cast("long").alias("query_id"), A.doubles(F.col(vector)).alias("q")).toArrow()
-    qid = q["query_id"].to_numpy()
-    m = np.array(q["q"].to_pylist(), float).reshape(len(qid), -1)
-    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
-    known = base.sparkSession.sparkContext.broadcast((qid, m))
-
-    def search(batches):
+    asked = queries.select(F.col(id_col).cast("long").alias("query_id"), A.doubles(F.col(vector)).alias("q"))
+    size = asked.agg(F.sum(F.size("q") * 8 + 8).alias("n")).first().n or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
+
+    def block(i: int):
+        mine = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else asked
+        q = mine.toArrow()
+        qid = q["query_id"].to_numpy()
+        m = np.array(q["q"].to_pylist(), float).reshape(len(qid), -1)
+        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
+        return base.sparkSession.sparkContext.broadcast((qid, m))
+
+    def search(known, batches):
         ids, m = known.value
         top_s, top_i = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
         for b in batches:
@@ -138,7 +151,9 @@ def cosine_neighbours(queries: DataFrame, base: DataFrame, vector: str, id_col:
         y, x = np.nonzero(top_s > -np.inf)
         yield pa.RecordBatch.from_arrays([pa.array(ids[y]), pa.array(top_i[y, x]), pa.array(top_s[y, x])], ["query_id", "id", "sim"])
 
-    near = base.select(F.col(id_col).cast("long").alias("id"), A.doubles(F.col(vector)).alias("x")).mapInArrow(search, "query_id long, id long, sim double")
+    rows = base.select(F.col(id_col).cast("long").alias("id"), A.doubles(F.col(vector)).alias("x"))
+    each = [rows.mapInArrow(partial(search, block(i)), "query_id long, id long, sim double") for i in range(blocks)]
+    near = reduce(lambda a, b: a.unionByName(b), each)
     w = W.partitionBy("query_id").orderBy(F.desc("sim"), "id")
     best = near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return best.join(base.select(F.col(id_col).alias("id"), *carry), "id") if carry else best

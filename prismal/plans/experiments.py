@@ -120,6 +120,7 @@ def leave_pair_out_task(rows: DataFrame, analyte: str, label: str, model: str, c
     """Hold out each positive with each negative analyte: ``pos, neg, pos_score, neg_score, win``.
 
     A pair is one fit; pairs are a stated set over analytes, which are few.
+    ``max_pairs`` is for trial runs: only so many pairs, in order, are held out; None holds out all.
     """
     pairs = R.leave_pair_out(rows, analyte, label).orderBy("pos", "neg").collect()
     parts = []

@@ -66,6 +66,12 @@ def test_neighbours_equal_brute_force(table):
         assert [got[q, k + 1] for k in range(4)] == np.lexsort((np.arange(60), -s))[:4].tolist()
 
 
+def test_neighbours_in_blocks_equal_those_at_once(table, monkeypatch):
+    whole = sorted(map(tuple, V.cosine_neighbours(table, table, "v", "id", 3).collect()))
+    monkeypatch.setattr(V, "BLOCK_BYTES", 4000)
+    assert sorted(map(tuple, V.cosine_neighbours(table, table, "v", "id", 3).collect())) == whole and len(whole) == 180
+
+
 def test_near_pairs_lose_none(table):
     got = {(r.left_id, r.right_id) for r in V.near_pairs(table.filter("id < 30"), table.filter("id >= 30"), "v", "id", 0.5).collect()}
     u = X / np.linalg.norm(X, axis=1, keepdims=True)
