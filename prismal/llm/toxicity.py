@@ -9,6 +9,7 @@ the sentence model, which then locates the offending sentences.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,13 +71,14 @@ class MilModel:
 
 def fit_noisy_or(bags: list[list[list[int]]], labels: np.ndarray, n_features: int, rounds: int = 250, prior: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights and bias by full-batch Adam on the exact noisy-or likelihood, with a normal prior of variance 1 / ``prior``."""
-    doc, rows, cols, n_doc = [], [], [], len(bags)
+    # flat arrays: a list of as many integers takes several times the memory
+    doc, rows, cols, n_doc = array("q"), array("q"), array("q"), len(bags)
     plain = np.zeros(n_doc)
     for i, bag in enumerate(bags):
         for sentence in bag:
             if sentence:
-                rows += [len(doc)] * len(sentence)
-                cols += sentence
+                rows.extend([len(doc)] * len(sentence))
+                cols.extend(sentence)
                 doc.append(i)
             else:
                 plain[i] += 1
