@@ -116,6 +116,68 @@ def permutation_p(pred: DataFrame, ctx: Context, label: str = "y", group: str =
     return R.p_value(null, "auroc", real).select(F.lit(real).alias("auroc"), "p")
 
 
+#: Numbers of a block of refitted directions that is broadcast: 32 MB.
+BLOCK = 4_000_000
+
+
+def _centroid_directions(rows: DataFrame, labels: DataFrame, vector: str, label: str, group: str, folds: str) -> tuple[DataFrame, DataFrame]:
+    """(``perm, fold, w``, ``fold, c``): what tells class 1 from 0 and the centre, by the rows outside each fold.
+
+    Every shuffle is refitted from the same sums, one vector a group and fold.
+    """
+    from prismal.operators import vectors as V
+
+    sums = V.explode_vector(rows, vector, [folds, group]).groupBy(folds, group, "k").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
+    names = rows.select(folds).distinct()
+    added = F.sum("s").alias("s"), F.sum("n").alias("n")
+
+    def outside(part: DataFrame, keys: list[str], s: str, n: str) -> DataFrame:
+        whole = part.groupBy(*keys, "k").agg(F.sum("s").alias("_s"), F.sum("n").alias("_n")).crossJoin(F.broadcast(names))
+        rest = (F.col("_s") - F.coalesce("s", F.lit(0.0))).alias(s), (F.col("_n") - F.coalesce("n", F.lit(0))).alias(n)
+        return whole.join(part, [folds, *keys, "k"], "left").select(folds, *keys, "k", *rest)
+
+    # class 0 is what class 1 leaves of all, so only groups of class 1 meet the shuffles
+    every = outside(sums.groupBy(folds, "k").agg(*added), [], "t", "m")
+    ones = sums.join(labels.filter(F.col(label) == 1), group).groupBy("perm", folds, "k").agg(*added)
+    c, own = F.try_divide("t", "m"), outside(ones, ["perm"], "s", "n").join(F.broadcast(every), [folds, "k"])
+    means = F.struct("k", (F.try_divide("s", "n") - c).alias("a"), (F.try_divide(F.col("t") - F.col("s"), F.col("m") - F.col("n")) - c).alias("b"))
+    both = own.groupBy("perm", folds).agg(F.array_sort(F.collect_list(means)).alias("z"))
+    centre = every.groupBy(folds).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", c.alias("c")))), lambda z: z["c"]).alias("c"))
+    part = lambda name: A.unit(F.transform("z", lambda z: z[name]))
+    return both.select("perm", folds, A.minus(part("a"), part("b")).alias("w")), centre
+
+
+def refit_permutation(rows: DataFrame, vector: str, label: str, group: str, folds: str, ctx: Context, strata: str | None = None) -> DataFrame:
+    """p of a centroid model's out-of-fold area against models refitted on shuffled labels: ``auroc, p, null_mean, n_perm``.
+
+    0/1 labels of whole groups are shuffled, within ``strata`` if given; each
+    shuffle fits every fold anew and is scored against its own labels, as the
+    true labels are.  Rows without label, vector, group or fold are left out; a
+    fold that is fitted without one of the classes scores 0.  All refits are one
+    plan a block of shuffles, whose directions are broadcast up to ``BLOCK``
+    numbers; every row is scored once a shuffle.
+    """
+    rows = rows.filter(" and ".join(f"`{c}` is not null" for c in (vector, label, group, folds)))
+    true = rows.groupBy(group).agg(F.min(label).alias(label)).select(F.lit(-1).alias("perm"), group, label)
+    labels = true.unionByName(R.permutations(rows, group, label, ctx.n_perm, strata, ctx.seed))
+    size = rows.agg(F.countDistinct(folds).alias("f"), F.max(F.size(vector)).alias("d")).first()
+    step = max(1, BLOCK // max(1, size.f * (size.d or 1)))
+    areas = []
+    for first in range(-1, ctx.n_perm, step):
+        some = labels.filter((F.col("perm") >= first) & (F.col("perm") < first + step))
+        w, c = _centroid_directions(rows, some, vector, label, group, folds)
+        seen = rows.join(F.broadcast(c), folds).select(group, folds, A.unit(A.minus(A.doubles(F.col(vector)), F.col("c"))).alias("u"))
+        scored = seen.join(some, group).join(F.broadcast(w), ["perm", folds], "left")
+        score = F.coalesce(F.round(A.dot(F.col("u"), F.col("w")), 12), F.lit(0.0))
+        areas.append(M.auroc(scored.select("perm", F.col(label).cast("double").alias("y"), score.alias("score")), "y", "score", "perm"))
+    found = reduce(lambda a, b: a.unionByName(b), areas)
+    real = F.max(F.when(F.col("perm") < 0, F.col("auroc")))
+    one = found.agg(real.alias("auroc"), F.collect_list(F.when(F.col("perm") >= 0, F.col("auroc"))).alias("null"))
+    above = F.size(F.filter("null", lambda a: a >= F.col("auroc") - 1e-12))
+    n = F.size("null")
+    return one.select("auroc", ((1 + above) / (1 + n)).alias("p"), F.try_divide(A.total(F.col("null")), n).alias("null_mean"), n.alias("n_perm"))
+
+
 def leave_pair_out_task(rows: DataFrame, analyte: str, label: str, model: str, ctx: Context, max_pairs: int | None = None) -> DataFrame:
     """Hold out each positive with each negative analyte: ``pos, neg, pos_score, neg_score, win``.
 

@@ -708,6 +708,62 @@ def crc_subsample(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter(I.in_subsample(F.col("doc_id").cast("string"), 0.2)).select("doc_id")
 
 
+# ---------------------------------------------------------------- kernels on whole signals
+
+_POINTS = "(SELECT vec_id, CAST(embedding AS DOUBLE[]) AS y, len(embedding) AS n, unnest(range(len(embedding))) AS k FROM embeddings)"
+
+
+def _points(df: DataFrame, signal, name: str = "v") -> DataFrame:
+    return df.select("vec_id", F.posexplode(signal).alias("k", name)).select("vec_id", "k", r6(F.col(name), name))
+
+
+@query(f"""
+WITH t AS (SELECT j, exp(-0.5 * power(j / (6 / (2 * sqrt(2 * ln(2)))), 2)) AS w FROM range(-10, 11) r(j)), s AS (SELECT sum(w) AS s FROM t)
+SELECT vec_id, CAST(k AS INTEGER) AS k, round(sum(w / s * y[least(greatest(k + j, 0), n - 1) + 1]), 6) AS v FROM {_POINTS}, t, s GROUP BY vec_id, k""")
+def signal_broadened(spark, sf_dir):
+    from prismal.functions import signal as S
+
+    return _points(table(spark, sf_dir, "embeddings"), S.broaden(A.doubles(F.col("embedding")), 6.0, 1.0))
+
+
+@query(f"""
+WITH p AS (SELECT vec_id, k, y, least(greatest(k, 5), n - 6) AS c FROM {_POINTS}),
+m AS (SELECT vec_id, k, any_value(k - c) AS off, sum(j * y[c + j + 1]) / 110.0 AS one, (11 * sum(j * j * y[c + j + 1]) - 110 * sum(y[c + j + 1])) / 9438.0 AS two FROM p, range(-5, 6) r(j) GROUP BY vec_id, k)
+SELECT vec_id, CAST(k AS INTEGER) AS k, round(one + 2 * off * two, 6) AS v FROM m""")
+def signal_derivative(spark, sf_dir):
+    from prismal.functions import signal as S
+
+    return _points(table(spark, sf_dir, "embeddings"), S.derivative(A.doubles(F.col("embedding"))))
+
+
+def _window(e: DataFrame) -> list[float]:
+    return [0.0, float(e.agg(F.max(F.size("embedding"))).first()[0] - 1)]
+
+
+@query("""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS y, len(embedding) AS n FROM embeddings), g AS (SELECT vec_id, y, unnest(range(2 * n - 1)) AS k FROM e)
+SELECT vec_id, CAST(k AS INTEGER) AS k, round((y[k // 2 + 1] + y[(k + 1) // 2 + 1]) / 2, 6) AS v FROM g""")
+def signal_resampled(spark, sf_dir):
+    from prismal.functions import signal as S
+
+    e = table(spark, sf_dir, "embeddings")
+    x = F.transform(F.sequence(F.lit(0), F.size("embedding") - 1), lambda i: i.cast("double"))
+    return _points(e, S.interpolate(x, A.doubles(F.col("embedding")), {"window": _window(e), "grid_step": 0.5}))
+
+
+@query(f"""
+SELECT vec_id, CAST(k AS INTEGER) AS k, round(sum(abs(y[i + 1]) * 4.0 / ((k - i) * (k - i) + 4.0)), 6) AS v
+FROM (SELECT *, unnest(range(n)) AS i FROM {_POINTS}) GROUP BY vec_id, k""")
+def lines_drawn(spark, sf_dir):
+    from prismal.functions import signal as S
+
+    e = table(spark, sf_dir, "embeddings")
+    at = F.transform(F.sequence(F.lit(0), F.size("embedding") - 1), lambda i: i.cast("double"))
+    heights = F.transform(A.doubles(F.col("embedding")), lambda h: F.abs(h))
+    widths = F.transform("embedding", lambda _: F.lit(4.0))
+    return _points(e, S.render(at, heights, widths, {"window": _window(e), "grid_step": 1.0}))
+
+
 @query()
 def signal_peaks(spark, sf_dir):
     from prismal.functions import signal as S
@@ -736,3 +792,13 @@ def plsda_report(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     model = E.make("plsda")(e.filter("vec_id % 5 <> 0"), "embedding", "label", k=5)
     return M.multiclass_report(model.apply(e.filter("vec_id % 5 = 0")), "label", "pred")
+
+
+@query()
+def refit_permutation_test(spark, sf_dir):
+    from prismal.plans import experiments as X
+
+    part = F.col("vec_id") % 20
+    rows = table(spark, sf_dir, "embeddings").select("embedding", F.concat_ws("-", "label", part).alias("grp"), (F.col("label") == 0).cast("int").alias("y"), (part % 5).alias("fold"))
+    found = X.refit_permutation(rows, "embedding", "y", "grp", "fold", X.Context())
+    return found.select(r6(F.col("auroc"), "auroc"), r6(F.col("p"), "p"), r6(F.col("null_mean"), "null_mean"), "n_perm")

@@ -11,6 +11,8 @@ from prismal import streaming
 from prismal.config import variant
 from prismal.plans import experiments as X
 from prismal.plans import ladder as L
+from prismal.operators import metrics as M
+from prismal.operators import resample as R
 from prismal.plans import queries
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -39,6 +41,44 @@ def test_a_spec_runs_to_metric_rows_with_intervals(spec_rows):
     assert best.model == "centroid" and X.gate(X.metric_rows(pred, ctx, False), "balanced_accuracy", 0.5).filter("passes").count() >= 1
 
 
+def test_refitted_shuffles_equal_brute_force(spark, spec_rows):
+    ctx = X.Context(n_perm=12)
+    got = X.refit_permutation(spec_rows, "v", "y", "g", "fold", ctx).first()
+    rows = [r.asDict() for r in spec_rows.collect()]
+    x, fold, own = (np.array([r[c] for r in rows]) for c in ("v", "fold", "y"))
+    unit = lambda m: m / np.linalg.norm(m, axis=-1, keepdims=True)
+
+    def area(y):
+        s = np.zeros(len(y))
+        for f in set(fold):
+            fit, held = fold != f, fold == f
+            c = x[fit].mean(0)
+            s[held] = unit(x[held] - c) @ (unit(x[fit & (y == 1)].mean(0) - c) - unit(x[fit & (y == 0)].mean(0) - c))
+        gap = s[y == 1][:, None] - s[y == 0]
+        return ((gap > 1e-12) + 0.5 * (np.abs(gap) <= 1e-12)).mean()
+
+    new = {}
+    for r in R.permutations(spec_rows, "g", "y", 12).collect():
+        new.setdefault(r.perm, {})[r.g] = r.y
+    null = [area(np.array([new[p][r["g"]] for r in rows])) for p in range(12)]
+    assert got.n_perm == 12 and got.auroc == pytest.approx(area(own)) and got.null_mean == pytest.approx(np.mean(null))
+    assert got.p == pytest.approx((1 + sum(a >= area(own) - 1e-12 for a in null)) / 13)
+    auroc = X.predictions([X.Spec("s", spec_rows, "y", "g", folds="fold")], X.Context(models=("centroid",))).selectExpr("cast(y as double) y", "score")
+    assert M.auroc(auroc, "y", "score").first().auroc == pytest.approx(got.auroc)
+    blocks = X.BLOCK
+    try:
+        X.BLOCK = 1  # a block a shuffle
+        assert X.refit_permutation(spec_rows, "v", "y", "g", "fold", X.Context(n_perm=2)).first().auroc == pytest.approx(got.auroc)
+    finally:
+        X.BLOCK = blocks
+
+
+def test_refits_without_rows_or_a_class(spark, spec_rows):
+    odd = spec_rows.selectExpr("if(id = 0, null, v) v", "1 - y * 0 as y", "if(id = 1, null, g) g", "fold", "id as perm")
+    none = X.refit_permutation(odd, "v", "y", "g", "fold", X.Context(n_perm=2)).first()
+    assert none.auroc is None and X.refit_permutation(odd.limit(0), "v", "y", "g", "fold", X.Context(n_perm=2)).first().auroc is None
+
+
 def test_train_test_spec_and_pairs(spec_rows):
     ctx = X.Context(models=("logistic",))
     pred = X.predictions([X.Spec("t", spec_rows.filter("fold > 0"), "y", "g", test=spec_rows.filter("fold = 0"))], ctx)
