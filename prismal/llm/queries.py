@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismal.llm import chat, decontam, langid, packing, simhash, suffix_dedup, tiff, token_counts, toxicity, warc_zip
+from prismal.llm import chat, decontam, langid, lexical, packing, simhash, suffix_dedup, tiff, token_counts, toxicity, warc_zip
 from prismal.llm.common import documents
 
 
@@ -67,11 +67,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_groups, op2_toxicity, op3_warc_zip, op4_language, op5_perspectives, op6_packing, op7_suffix_dedup, op8_token_counts,
-        op9_tiff, op10_decontamination,
+        op9_tiff, op10_decontamination, op13_lexical_search,
     )
 }
 
@@ -80,4 +84,5 @@ ORACLES: dict[str, str] = {
     "op7_suffix_dedup": suffix_dedup.repeated_spans_sql(),
     "op5_perspectives": chat.perspectives_sql(),
     "op10_decontamination": decontam.contaminated_sql(),
+    "op13_lexical_search": lexical.search_sql(k=10),
 }
