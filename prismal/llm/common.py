@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from prismal import session
 
@@ -102,6 +103,19 @@ def join_split(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
+def ranked(df: DataFrame, key: str) -> DataFrame:
+    """Add ``rank``, the place from 0 of each row by ``key``, of which no two rows have the same; a null comes first.
+
+    Rows are cut into ranges, ordered within, and counted before, so no task orders all.
+    """
+    parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    cut = written(df.repartitionByRange(int(parts), key).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = cut.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(W.partitionBy("_part").orderBy(F.col(key).asc_nulls_first())) - 1
+    return cut.withColumn("rank", inside).join(F.broadcast(starts), "_part").select(*df.columns, (F.col("rank") + F.col("_start")).alias("rank"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
