@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismal.llm import chat, decontam, langid, lexical, merkle, packing, simhash, suffix_dedup, tiff, token_counts, toxicity, warc_zip
+from prismal.llm import chat, decontam, langid, lexical, merkle, mixing, packing, simhash, suffix_dedup, tiff, token_counts, toxicity, warc_zip
 from prismal.llm.common import documents
 
 
@@ -67,6 +67,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).drop("key")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(documents(spark, sf_dir), altered={"text": merkle.tampered_text()})
 
@@ -79,7 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_groups, op2_toxicity, op3_warc_zip, op4_language, op5_perspectives, op6_packing, op7_suffix_dedup, op8_token_counts,
-        op9_tiff, op10_decontamination, op12_merkle_manifest, op13_lexical_search,
+        op9_tiff, op10_decontamination, op11_mixing, op12_merkle_manifest, op13_lexical_search,
     )
 }
 
@@ -88,6 +92,7 @@ ORACLES: dict[str, str] = {
     "op7_suffix_dedup": suffix_dedup.repeated_spans_sql(),
     "op5_perspectives": chat.perspectives_sql(),
     "op10_decontamination": decontam.contaminated_sql(),
+    "op11_mixing": mixing.mix_sql(),
     "op12_merkle_manifest": merkle.manifest_sql(),
     "op13_lexical_search": lexical.search_sql(k=10),
 }
