@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismal.functions import arrays as A
+from prismal.operators import linear as L
 from prismal.operators import vectors as V
 
 #: Fixed values of the hyperparameter grids and defaults.
@@ -129,12 +130,14 @@ def pls_coefficients(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray,
     return mx, np.where(use, 1 / np.where(use, sd, 1), 0)[:, None] * coef, my
 
 
-def fit_plsda(train: DataFrame, vector: str, label: str, k: int = 10, max_rows: int = 20_000, **_) -> Fitted:
-    """PLS regression on one-hot classes, the largest response wins; fitted on at most about ``max_rows`` rows, in hash order."""
+def fit_plsda(train: DataFrame, vector: str, label: str, k: int = 10, **_) -> Fitted:
+    """PLS regression on one-hot classes, the largest response wins; fitted on X'X and X'Y of all rows, which one pass adds up."""
     classes = _classes(train, label)
-    rows = train.filter(F.col(label).isNotNull()).select(A.doubles(F.col(vector)).alias("x"), F.col(label).alias("y")).orderBy(F.xxhash64("x")).limit(max_rows).toArrow()
-    x, at = np.array(rows["x"].to_pylist(), float), [classes.index(v) for v in rows["y"].to_pylist()]
-    mx, coef, my = pls_coefficients(x, np.eye(len(classes))[at], k)
+    hot = [F.col(label).eqNullSafe(F.lit(c)).cast("int").alias(f"_y{i}") for i, c in enumerate(classes)]
+    rows = train.filter(F.col(label).isNotNull() & F.col(vector).isNotNull()).select(A.doubles(F.col(vector)).alias("x"), F.lit(0).alias("fold"), *hot)
+    pivot, parts = L.cross_products(rows, L.given)
+    mx, coef, my = L.pls_from_sums(*L.outside(parts, None), k)
+    mx = mx + pivot
     names = F.array(*(F.lit(c) for c in classes))
 
     def apply(df: DataFrame) -> DataFrame:

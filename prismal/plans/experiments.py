@@ -17,7 +17,9 @@ from pyspark.sql import Window as W
 from prismal.functions import arrays as A
 from prismal.operators import estimators as E
 from prismal.operators import metrics as M
+from prismal.operators import refits as X
 from prismal.operators import resample as R
+from prismal.operators import shuffles as H
 
 
 @dataclass
@@ -93,6 +95,39 @@ def metric_rows(pred: DataFrame, ctx: Context, binary: bool = True) -> DataFrame
     return value.join(ci, [*KEY, "metric"], "left")
 
 
+#: Models with refitted nulls.
+REFITTED = ("centroid", *X.HYPER)
+
+
+def with_nulls(metrics: DataFrame, specs: list[Spec], ctx: Context, which: str = "primary,best") -> DataFrame:
+    """Metric rows with ``p_perm, n_perm, perm_null_mean``, filled in where a refitted null was made.
+
+    A null is made for the area of every binary spec with folds: of the model
+    logistic on the first feature and of the best combination, or with ``all`` of
+    all combinations that ``REFITTED`` has.  All others, and a spec with a test
+    table of its own, have nulls in these columns.
+    """
+    by_name = {s.name: s for s in specs if s.binary and s.folds and s.test is None}
+    areas = metrics.filter(F.col("metric") == "auroc")
+    best = best_combo(areas.filter(F.col("model").isin(*REFITTED)), ("spec",)).select(*KEY)
+    first = areas.filter((F.col("model") == "logistic") & (F.col("feature") == ctx.features[0])).select(*KEY)
+    chosen = (areas.filter(F.col("model").isin(*REFITTED)).select(*KEY) if which == "all" else best.unionByName(first)).distinct()
+    found = []
+    # a row a combination of named specs, features and models
+    for c in chosen.orderBy(*KEY).collect():
+        if c.spec not in by_name:
+            continue
+        s = by_name[c.spec]
+        hyper = {"logistic": "c", "plsda": "k", "knn": "k"}.get(c.model)
+        rows = s.rows.filter(F.col("feature") == c.feature)
+        null = refit_permutation(rows, "v", s.label, s.group, s.folds, ctx, None, c.model, s.hyper.get(c.model, {}).get(hyper))
+        key = [F.lit(c[k]).alias(k) for k in KEY]
+        found.append(null.select(*key, F.lit("auroc").alias("metric"), F.col("p").alias("p_perm"), F.col("n_perm"), F.col("null_mean").alias("perm_null_mean")))
+    if not found:
+        return metrics.select("*", F.lit(None).cast("double").alias("p_perm"), F.lit(None).cast("int").alias("n_perm"), F.lit(None).cast("double").alias("perm_null_mean"))
+    return metrics.join(reduce(lambda a, b: a.unionByName(b), found), [*KEY, "metric"], "left")
+
+
 def best_combo(rows: DataFrame, by=("spec",), metric: str = "auroc", family: str | None = None) -> DataFrame:
     """Best non-majority feature and model per key; the first by name wins ties."""
     from prismal.functions.ids import family as in_family
@@ -107,13 +142,11 @@ def best_combo(rows: DataFrame, by=("spec",), metric: str = "auroc", family: str
 def permutation_p(pred: DataFrame, ctx: Context, label: str = "y", group: str = "grp", strata: str | None = None) -> DataFrame:
     """p of the area of fixed scores under group-wise shuffles of the labels: ``auroc, p``.
 
-    All shuffles are one table; each is scored by the same aggregation.
+    A weaker question than ``refit_permutation`` asks: the scores have seen the
+    true labels.  Scores are ranked once for all shuffles.
     """
-    rows = pred.withColumn(label, F.col(label).cast("double"))
-    real = M.auroc(rows, label, "score").first().auroc
-    perm = R.permutations(rows, group, label, ctx.n_perm, strata, ctx.seed).withColumnRenamed(label, "_y")
-    null = M.auroc(rows.join(perm, group), "_y", "score", "perm")
-    return R.p_value(null, "auroc", real).select(F.lit(real).alias("auroc"), "p")
+    rows = pred.withColumn(label, F.col(label).cast("double").cast("int"))
+    return H.against_null(H.null_areas(rows, group, label, "score", ctx.n_perm, strata, ctx.seed)).select("auroc", "p")
 
 
 #: Numbers of a block of refitted directions that is broadcast: 32 MB.
@@ -147,16 +180,21 @@ def _centroid_directions(rows: DataFrame, labels: DataFrame, vector: str, label:
     return both.select("perm", folds, A.minus(part("a"), part("b")).alias("w")), centre
 
 
-def refit_permutation(rows: DataFrame, vector: str, label: str, group: str, folds: str, ctx: Context, strata: str | None = None) -> DataFrame:
-    """p of a centroid model's out-of-fold area against models refitted on shuffled labels: ``auroc, p, null_mean, n_perm``.
+def refit_permutation(
+    rows: DataFrame, vector: str, label: str, group: str, folds: str, ctx: Context, strata: str | None = None, model: str = "centroid",
+    hyper: float | None = None, id_col: str = "id",
+) -> DataFrame:
+    """p of a model's out-of-fold area against models refitted on shuffled labels: ``auroc, p, null_mean, n_perm``.
 
-    0/1 labels of whole groups are shuffled, within ``strata`` if given; each
+    Models other than ``centroid`` are refitted by ``operators.refits``.  0/1 labels of whole groups are shuffled, within ``strata`` if given; each
     shuffle fits every fold anew and is scored against its own labels, as the
     true labels are.  Rows without label, vector, group or fold are left out; a
     fold that is fitted without one of the classes scores 0.  All refits are one
     plan a block of shuffles, whose directions are broadcast up to ``BLOCK``
     numbers; every row is scored once a shuffle.
     """
+    if model != "centroid":
+        return X.refit_null(rows, vector, label, group, folds, model, ctx.n_perm, ctx.seed, strata, hyper, id_col if model == "knn" else None)
     rows = rows.filter(" and ".join(f"`{c}` is not null" for c in (vector, label, group, folds)))
     true = rows.groupBy(group).agg(F.min(label).alias(label)).select(F.lit(-1).alias("perm"), group, label)
     labels = true.unionByName(R.permutations(rows, group, label, ctx.n_perm, strata, ctx.seed))

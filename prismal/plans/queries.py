@@ -20,6 +20,7 @@ from prismal.operators import metrics as M
 from prismal.operators import physics as P
 from prismal.operators import references as J
 from prismal.operators import resample as R
+from prismal.operators import shuffles as H
 from prismal.operators import vectors as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -694,13 +695,15 @@ def bootstrap_interval(spark, sf_dir):
     return R.bootstrap_ci(d, "source", lambda x, by, w: M.auroc(x, "quality", "score", by, w), "auroc", 1000, 7)
 
 
-@query()
+@query(f"""
+WITH labelled AS {_LABELLED}, areas AS ({H.null_areas_sql("SELECT doc_id AS grp, quality AS y, score FROM labelled", 1000, 3)}),
+r AS (SELECT auroc FROM areas WHERE perm < 0)
+SELECT round(any_value(r.auroc), 6) AS auroc, CAST(1 + count_if(a.auroc >= r.auroc - 1e-12) AS DOUBLE) / (1 + count(*)) AS p, round(avg(a.auroc), 6) AS null_mean, CAST(count(*) AS INTEGER) AS n_perm
+FROM areas a, r WHERE a.perm >= 0""")
 def permutation_test(spark, sf_dir):
-    d = _labelled(spark, sf_dir).withColumn("grp", F.col("doc_id").cast("string"))
-    perm = R.permutations(d, "grp", "quality", 1000, None, 3).withColumnRenamed("quality", "_y")
-    null = M.auroc(d.join(perm, "grp"), "_y", "score", "perm")
-    real = M.auroc(d, "quality", "score").first().auroc
-    return R.p_value(null, "auroc", real)
+    d = _labelled(spark, sf_dir)
+    found = H.against_null(H.null_areas(d, "doc_id", "quality", "score", 1000, None, 3))
+    return found.select(r6(F.col("auroc"), "auroc"), "p", r6(F.col("null_mean"), "null_mean"), "n_perm")
 
 
 @query()
@@ -802,3 +805,18 @@ def refit_permutation_test(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("embedding", F.concat_ws("-", "label", part).alias("grp"), (F.col("label") == 0).cast("int").alias("y"), (part % 5).alias("fold"))
     found = X.refit_permutation(rows, "embedding", "y", "grp", "fold", X.Context())
     return found.select(r6(F.col("auroc"), "auroc"), r6(F.col("p"), "p"), r6(F.col("null_mean"), "null_mean"), "n_perm")
+
+
+@query()
+def refitted_nulls(spark, sf_dir):
+    from functools import reduce
+
+    from prismal.plans import experiments as X
+
+    part = F.col("vec_id") % 20
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.concat_ws("-", "label", part).alias("grp"), (F.col("label") == 0).cast("int").alias("y"), (part % 5).alias("fold"))
+    each = []
+    for model in ("logistic", "plsda", "knn"):
+        found = X.refit_permutation(rows, "embedding", "y", "grp", "fold", X.Context(), model=model)
+        each.append(found.select(F.lit(model).alias("model"), r6(F.col("auroc"), "auroc"), r6(F.col("p"), "p"), r6(F.col("null_mean"), "null_mean"), "n_perm"))
+    return reduce(lambda a, b: a.unionByName(b), each)

@@ -5,10 +5,11 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import weakref
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings to apply when building a session; a cluster sets sizes of its own.
 DEFAULTS = {
@@ -52,3 +53,19 @@ def ship(spark: SparkSession | None = None) -> None:
         fh.write(buf.getvalue())
     spark.sparkContext.addPyFile(out)
     _shipped.add(spark.sparkContext)
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` below ``spark.checkpoint.dir`` and read it back, for tables that are read many times: a lost executor costs a re-read.
+
+    Where the setting is missing, a local folder serves, in local mode only.
+    """
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + os.path.join(tempfile.gettempdir(), "prismal-shared")
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

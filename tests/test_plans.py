@@ -73,6 +73,20 @@ def test_refitted_shuffles_equal_brute_force(spark, spec_rows):
         X.BLOCK = blocks
 
 
+def test_metric_rows_carry_refitted_nulls(spec_rows):
+    ctx = X.Context(n_boot=12, n_perm=6, models=("majority", "centroid", "plsda"))
+    specs = [X.Spec("s", spec_rows, "y", "g", folds="fold", hyper={"plsda": {"k": 1}})]
+    rows = {r.model: r for r in X.with_nulls(X.metric_rows(X.predictions(specs, ctx), ctx), specs, ctx, "all").collect()}
+    assert rows["majority"].p_perm is None and rows["majority"].n_perm is None
+    for name in ("centroid", "plsda"):
+        r = rows[name]
+        alone = X.refit_permutation(spec_rows, "v", "y", "g", "fold", ctx, None, name, 1).first()
+        assert (r.p_perm, r.n_perm, r.perm_null_mean) == (alone.p, 6, alone.null_mean) and r.value == pytest.approx(alone.auroc)
+        assert r.p_perm == pytest.approx(1 / 7)
+    best = X.with_nulls(X.metric_rows(X.predictions(specs, ctx), ctx), specs, ctx)
+    assert best.filter("p_perm is not null").count() == 1 and best.count() == 3
+
+
 def test_refits_without_rows_or_a_class(spark, spec_rows):
     odd = spec_rows.selectExpr("if(id = 0, null, v) v", "1 - y * 0 as y", "if(id = 1, null, g) g", "fold", "id as perm")
     none = X.refit_permutation(odd, "v", "y", "g", "fold", X.Context(n_perm=2)).first()
