@@ -46,7 +46,7 @@ def test_mix_equals_twin_and_meets_targets(spark, monkeypatch, bucket, weights):
         assert taken <= 3 * size and (taken == 0 or size > 0)
     assert abs(sum(t for _, t in by) - sum(r[1] for r in got)) < 1e-6
     for (words, target), taken in by.items():
-        assert target <= 3 * words and (words == 3000 or abs(taken - target) <= max(3, 0.03 * words))
+        assert target <= 3 * words and (words == 3000 or abs(taken - target) <= 45)  # half of the longest other document
 
 
 def test_targets_by_resharing(spark):
