@@ -23,6 +23,8 @@ HASH_SHARD_BYTES = 8 << 20
 ASKED, ANSWERS = "shard int, bucket int, hashes binary", "bucket int, shard int, known binary"
 _LOW = np.uint64(0xFFFFFFFF)
 NO_ID = np.iinfo(np.int64).max
+#: Counts from here on do not fit their byte.
+MANY = 127
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -111,7 +113,10 @@ def hash_keys(h: np.ndarray, shards: int) -> np.ndarray:
 
 
 def ask(number: int, key: np.ndarray, owner: np.ndarray) -> pa.Table:
-    """A row for each hash shard: the distinct keys of a bucket, how often each occurs (127 at most) and whether under several owners."""
+    """A row for each hash shard: the distinct keys of a bucket, how often each occurs and whether under several owners.
+
+    A count is a byte's lower bits; those of ``MANY`` and more follow at the end, 32 bits each.
+    """
     import zstandard
 
     squeeze = zstandard.ZstdCompressor(level=3).compress
@@ -121,12 +126,16 @@ def ask(number: int, key: np.ndarray, owner: np.ndarray) -> pa.Table:
     if len(key):
         at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         several = np.minimum.reduceat(owner, at) < np.maximum.reduceat(owner, at)
-        count = np.minimum(np.diff(np.append(at, len(key))), 127).astype(np.uint8) | (several.astype(np.uint8) << 7)
+        whole = np.diff(np.append(at, len(key)))
+        count = np.minimum(whole, MANY).astype(np.uint8) | (several.astype(np.uint8) << 7)
         key = key[at]
         for shard, part in parts((key >> np.uint64(32)).astype(np.int64)):
             rows["shard"].append(shard)
             rows["bucket"].append(number)
-            rows["hashes"].append(squeeze(pack(np.diff((key[part] & _LOW).astype(np.uint32), prepend=np.uint32(0))) + count[part].tobytes()))
+            own = whole[part]
+            more = own[own >= MANY].astype(np.uint32)
+            steps = np.diff((key[part] & _LOW).astype(np.uint32), prepend=np.uint32(0))
+            rows["hashes"].append(squeeze(np.uint32(len(own)).tobytes() + pack(steps) + count[part].tobytes() + more.tobytes()))
     return pa.table(rows, schema=pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary())]))
 
 
@@ -138,18 +147,23 @@ def answers(asked: DataFrame) -> DataFrame:
         import zstandard
 
         grow, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
-        keys, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint8)]
+        keys, counts, heavy = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint8)], [np.zeros(0, np.uint32)]
         for raw in map(grow, table["hashes"].to_pylist()):
-            n = len(raw) // 5
-            keys.append(np.cumsum(unpack(raw[: 4 * n], np.uint32), dtype=np.uint32))
-            counts.append(np.frombuffer(raw, np.uint8)[4 * n :])
+            n = int(np.frombuffer(raw, np.uint32, 1)[0])
+            keys.append(np.cumsum(unpack(raw[4 : 4 + 4 * n], np.uint32), dtype=np.uint32))
+            counts.append(np.frombuffer(raw, np.uint8)[4 + 4 * n : 4 + 5 * n])
+            heavy.append(np.frombuffer(raw[4 + 5 * n :], np.uint32))
         sizes = [len(k) for k in keys[1:]]
         count = np.concatenate(counts)
         _, spot, buckets = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
         del keys, counts
         repeated = (buckets > 1) | (np.bincount(spot, count >> 7, len(buckets)) > 0)
+        few = count & 127
+        times = np.bincount(spot, few, len(buckets))
+        at = np.flatnonzero(few == MANY)
+        times += np.bincount(spot[at], np.concatenate(heavy) - float(MANY), len(buckets))
         # the exponent of 2^c <= n < 2^(c + 1) is c + 1
-        of = np.where(repeated, np.frexp(np.bincount(spot, count & 127, len(buckets)))[1], 0).astype(np.uint8)
+        of = np.where(repeated, np.frexp(times)[1], 0).astype(np.uint8)
         rows: dict[str, list] = {"bucket": [], "shard": [], "known": []}
         at = 0
         for bucket, n in zip(table["bucket"].to_pylist(), sizes):

@@ -101,3 +101,31 @@ def test_rows_are_decided_by_id_and_text(spark):
     assert N.keep_first(spark.createDataFrame([], DOCS)).count() == 0
     clash = spark.createDataFrame([(1, long, 5, "x"), (2, long + " z", 6, None)], "doc_id int, text string, t int, k string")
     assert N.keep_first(clash).collect() == clash.filter("doc_id = 1").collect() and N.keep_first(clash).schema == clash.schema
+
+
+def test_a_hot_shingle_inside_one_bucket_is_split(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 32)
+    notice = " ".join(f"notice{i}" for i in range(40))
+    # every text has the notice, and little else: all of them meet in one shingle of their prefixes
+    rows = [(i, f"{notice} own{i}a own{i}b") for i in range(300)]
+    docs = spark.createDataFrame(rows, DOCS)
+    met = N.meetings(N.postings(docs, 0.8, 5, "doc_id", "text"))
+    from pyspark.sql import functions as F
+
+    sizes = met.groupBy("task", "sig").agg(F.countDistinct("k").alias("n")).agg(F.max("n"), F.count("*")).first()
+    assert sizes[0] <= 64 and sizes[1] > 50
+    assert [r.doc_id for r in N.keep_first(docs).collect()] == [0]
+
+
+def test_counts_of_hashes_are_true_within_a_bucket(spark):
+    from prismal.llm import buckets as B
+
+    times = {3: 1, 5: 126, 7: 127, 11: 128, 13: 50_000, 1 << 40: 300}
+    key = np.repeat(np.array(list(times), np.uint64), list(times.values()))
+    owner = np.arange(len(key))
+    asked = B.ask(0, key, owner).to_pylist() + B.ask(1, np.array([3, 13], np.uint64), np.zeros(2, np.int64)).to_pylist()
+    table = spark.createDataFrame([(r["shard"], r["bucket"], bytearray(r["hashes"])) for r in asked], B.ASKED)
+    got = B.answers(table).filter("bucket = 0").toArrow()
+    at = np.array(sorted(times), np.uint64)
+    total = [times[int(k)] + (int(k) in (3, 13)) for k in at]
+    assert B.classes(at, got).tolist() == [n.bit_length() for n in total]
