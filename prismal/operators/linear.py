@@ -170,9 +170,14 @@ def _quasi_newton(value: Callable, width: int, columns: int, passes: int, tol: f
     return x, done, len(live)
 
 
-def joint_logistic(rows: DataFrame, labels: Labels, strengths: np.ndarray, folds: int = 1, passes: int = 200, tol: float = 1e-7, floor: float = 1e-6) -> Joint:
+def joint_logistic(
+    rows: DataFrame, labels: Labels, strengths: np.ndarray, folds: int = 1, passes: int = 200, tol: float = 1e-7, floor: float = 1e-6, within: bool = False
+) -> Joint:
     """L2 logistic regression of every label column for every fold left out, with strength C of its own, fitted together.
 
+    With ``within`` a fold's columns are fitted on its own rows instead, which
+    serves tables of different vectors that share their labels, such as layers.
+
     ``rows`` are ``x``, ``fold`` and columns for ``labels``, better written since
     every pass reads them; with one fold nothing is left out.  A column minimises
     the mean loss with both classes of equal weight plus the weights' squares over
@@ -197,7 +202,7 @@ def joint_logistic(rows: DataFrame, labels: Labels, strengths: np.ndarray, folds
     if not sums:
         return Joint(np.zeros((folds, 0, columns)), np.zeros((folds, columns)), 1, 0)
     width = sums[min(sums)].shape[1]
-    left = lambda f, odd: sum((m for k, m in sums.items() if k % 2 == odd and (folds == 1 or k // 2 != f)), np.zeros((1 if odd else 3, columns if odd else width)))
+    left = lambda f, odd: sum((m for k, m in sums.items() if k % 2 == odd and (folds == 1 or (k // 2 == f) == within)), np.zeros((1 if odd else 3, columns if odd else width)))
     means, devs, counts, pos = [], [], [], []
     for f in parts:
         m, p = left(f, 0), left(f, 1)[0]
@@ -221,7 +226,7 @@ def joint_logistic(rows: DataFrame, labels: Labels, strengths: np.ndarray, folds
             out = {}
             for f in parts:
                 here = np.flatnonzero(some // columns == f)
-                seen = np.flatnonzero(fold != f) if folds > 1 else np.arange(len(fold))
+                seen = np.flatnonzero((fold == f) == within) if folds > 1 else np.arange(len(fold))
                 if not len(here) or not len(seen):
                     continue
                 col = some[here] % columns

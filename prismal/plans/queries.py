@@ -820,3 +820,19 @@ def refitted_nulls(spark, sf_dir):
         found = X.refit_permutation(rows, "embedding", "y", "grp", "fold", X.Context(), model=model)
         each.append(found.select(F.lit(model).alias("model"), r6(F.col("auroc"), "auroc"), r6(F.col("p"), "p"), r6(F.col("null_mean"), "null_mean"), "n_perm"))
     return reduce(lambda a, b: a.unionByName(b), each)
+
+
+@query()
+def joint_probes(spark, sf_dir):
+    from prismal.plans import ladder
+
+    # the halves of a vector stand for two layers, one-against-rest labels for a record's labels
+    e = table(spark, sf_dir, "embeddings").withColumn("v", A.doubles(F.col("embedding")))
+    half = F.floor(F.size("v") / 2).cast("int")
+    layers = F.array(F.struct(F.lit(0).alias("source"), F.slice("v", F.lit(1), half).alias("v")), F.struct(F.lit(1).alias("source"), F.slice("v", half + 1, half).alias("v")))
+    names = [f"is_{k}" for k in range(5)]
+    rows = e.select("vec_id", *((F.col("label") == k).cast("int").alias(n) for k, n in enumerate(names)), F.explode(layers).alias("l")).select("vec_id", *names, "l.*")
+    part = F.col("vec_id") % 5
+    probes = ladder.joint_probes(rows.filter(part > 1), rows.filter(part == 1), names)
+    test = rows.filter(part == 0).select("*", F.concat(F.lit("R"), (F.col("vec_id") % 2).cast("string")).alias("rung"), F.col("vec_id").alias("analyte"))
+    return ladder.joint_rungs(probes, test).select("label", "rung", "source", F.round("auroc", 4).alias("auroc"), "n_pos", "n_neg")
