@@ -6,16 +6,13 @@ whatever the number of rows; ``explode_vector`` and ``gather_vector`` convert.
 
 from __future__ import annotations
 
-from functools import partial, reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from prismal.functions import arrays as A
-
-#: Bytes of query vectors that are gathered and broadcast at once.
-BLOCK_BYTES = 64 << 20
+from prismal.operators import near as N
+from prismal.operators.near import link_counts, near_pairs  # noqa: F401
 
 
 def _by(by) -> list[str]:
@@ -110,50 +107,10 @@ def nearest_centroid(train: DataFrame, test: DataFrame, vector: str, label: str,
 def cosine_neighbours(queries: DataFrame, base: DataFrame, vector: str, id_col: str, k: int, carry: list[str] | None = None) -> DataFrame:
     """The ``k`` rows of ``base`` with the largest cosine for every query row, itself left out: ``query_id, id, sim, rank``.
 
-    Exact. Queries are sent to the base rows in blocks of at most about
-    ``BLOCK_BYTES`` of vectors, one block after another, and each base partition
-    gives only its own best ``k`` of a query before the shuffle.  The work is the
-    product of both sides, so the query side should be a stated, smaller set.
+    Exact, both sides of any size: pairs of blocks are compared as tasks of their
+    own and give ``k`` rows a query each.  The work is the product of both sides.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    from prismal.session import ship
-
-    ship(base.sparkSession)
-    carry = carry or []
-    asked = queries.select(F.col(id_col).cast("long").alias("query_id"), A.doubles(F.col(vector)).alias("q"))
-    size = asked.agg(F.sum(F.size("q") * 8 + 8).alias("n")).first().n or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-
-    def block(i: int):
-        mine = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else asked
-        q = mine.toArrow()
-        qid = q["query_id"].to_numpy()
-        m = np.array(q["q"].to_pylist(), float).reshape(len(qid), -1)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
-        return base.sparkSession.sparkContext.broadcast((qid, m))
-
-    def search(known, batches):
-        ids, m = known.value
-        top_s, top_i = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
-        for b in batches:
-            if not b.num_rows or not len(ids):
-                continue
-            x = np.array(b.column(1).to_pylist(), float)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
-            new = b.column(0).to_numpy()
-            s = np.round(m @ x.T, 12)
-            s[ids[:, None] == new[None, :]] = -np.inf
-            top_s, top_i = np.concatenate([top_s, s], 1), np.concatenate([top_i, np.broadcast_to(new, s.shape)], 1)
-            order = np.lexsort((top_i, -top_s), axis=1)[:, :k]
-            top_s, top_i = np.take_along_axis(top_s, order, 1), np.take_along_axis(top_i, order, 1)
-        y, x = np.nonzero(top_s > -np.inf)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[y]), pa.array(top_i[y, x]), pa.array(top_s[y, x])], ["query_id", "id", "sim"])
-
-    rows = base.select(F.col(id_col).cast("long").alias("id"), A.doubles(F.col(vector)).alias("x"))
-    each = [rows.mapInArrow(partial(search, block(i)), "query_id long, id long, sim double") for i in range(blocks)]
-    near = reduce(lambda a, b: a.unionByName(b), each)
+    near = N.nearest(queries, base, vector, id_col, k)
     w = W.partitionBy("query_id").orderBy(F.desc("sim"), "id")
     best = near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return best.join(base.select(F.col(id_col).alias("id"), *carry), "id") if carry else best
@@ -168,32 +125,3 @@ def neighbour_vote(neighbours: DataFrame, label: str) -> DataFrame:
     votes = neighbours.groupBy("query_id", F.col(label).alias("pred")).agg(F.sum(weight).alias("w"))
     w = W.partitionBy("query_id").orderBy(F.desc(F.round("w", 6)), "pred")
     return votes.withColumn("r", F.row_number().over(w)).filter("r = 1").select("query_id", "pred")
-
-
-def near_pairs(left: DataFrame, right: DataFrame, vector: str, id_col: str, least: float = 0.98, tables: int = 8, width: float = 0.5) -> DataFrame:
-    """Pairs of a left and a right row with a cosine of at least ``least``: ``left_id, right_id, sim``.
-
-    Unit vectors that near have all projections within sqrt(2 - 2 * least).
-    Rows are put in cells of one projection and a right row also in the two
-    neighbouring cells, so each pair meets; ``width`` is a cell's size and must not
-    be smaller than that distance.  Further projections prune before the exact test.
-    """
-    import numpy as np
-
-    reach = float(np.sqrt(2 - 2 * least))
-    width = max(width, reach)
-    first = left.select(F.size(vector)).first()
-    size = first[0] if first else 1
-    rng = np.random.default_rng(3)
-    axes = np.linalg.qr(rng.normal(size=(size, min(tables, size))))[0].T
-
-    def prepared(df: DataFrame, name: str) -> DataFrame:
-        u = df.select(F.col(id_col).alias(f"{name}_id"), A.unit(A.doubles(F.col(vector))).alias(f"{name}_u"))
-        dots = [A.dot(F.col(f"{name}_u"), F.array(*(F.lit(float(x)) for x in a))) for a in axes]
-        return u.withColumn(f"{name}_p", F.array(*dots))
-
-    a = prepared(left, "left").withColumn("cell", F.floor(F.get("left_p", F.lit(0)) / width))
-    b = prepared(right, "right").withColumn("cell", F.explode(F.array(*(F.floor(F.get("right_p", F.lit(0)) / width) + d for d in (-1, 0, 1)))))
-    close = F.forall(F.zip_with("left_p", "right_p", lambda x, y: F.abs(x - y) <= reach + 1e-9), lambda ok: ok)
-    sim = A.dot(F.col("left_u"), F.col("right_u"))
-    return a.join(b, "cell").filter(close).select("left_id", "right_id", sim.alias("sim")).filter(F.col("sim") >= least - 1e-12)

@@ -682,9 +682,7 @@ WITH u AS {_UNIT}
 SELECT a.vec_id, count(b.vec_id) AS n_links FROM u a LEFT JOIN u b ON a.vec_id <> b.vec_id AND list_dot_product(a.u, b.u) >= 0.4 - 1e-12 GROUP BY 1""")
 def near_links(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    pairs = V.near_pairs(e, e, "embedding", "vec_id", 0.4).filter("left_id <> right_id")
-    links = pairs.groupBy(F.col("left_id").alias("vec_id")).agg(F.count("*").alias("n_links"))
-    return e.select("vec_id").join(links, "vec_id", "left").fillna(0, ["n_links"])
+    return V.link_counts(e, "embedding", "vec_id", 0.4).withColumnRenamed("id", "vec_id")
 
 
 # ---------------------------------------------------------------- without a SQL twin

@@ -68,7 +68,7 @@ def test_neighbours_equal_brute_force(table):
 
 def test_neighbours_in_blocks_equal_those_at_once(table, monkeypatch):
     whole = sorted(map(tuple, V.cosine_neighbours(table, table, "v", "id", 3).collect()))
-    monkeypatch.setattr(V, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(V.N, "BLOCK_BYTES", 300)
     assert sorted(map(tuple, V.cosine_neighbours(table, table, "v", "id", 3).collect())) == whole and len(whole) == 180
 
 
