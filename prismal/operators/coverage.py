@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from prismal.functions import arrays as A
 from prismal.operators import vectors as V
+from prismal.operators.quantiles import quantiles
 
 
 def label_support(df: DataFrame, labels: list[str], usable: Column | None = None, min_support: int = 100) -> DataFrame:
@@ -143,13 +144,14 @@ def consensus(rows: DataFrame, vector: str, id_col: str, min_corr: float = 0.9,
     """
     by = [by] if isinstance(by, str) else list(by or [])
     long = V.explode_vector(rows, vector, [*by, id_col])
-    mid = long.groupBy(*by, "k").agg(F.percentile("v", F.lit(0.5)).alias("m"))
+    mid = quantiles(long, "v", [*by, "k"], (0.5,)).select(*by, "k", F.get("q", F.lit(0)).alias("m"))
     r = long.join(mid, [*by, "k"]).groupBy(*by, id_col).agg(A.correlation("v", "m").alias("r"))
     n = rows.select(*by, id_col).distinct().groupBy(*by).agg(F.count("*").alias("n_all"))
     joined = lambda df: df.join(F.broadcast(n), by) if by else df.crossJoin(F.broadcast(n))
     kept = joined(r).filter((F.col("n_all") < 3) | (F.col("r") >= min_corr))
     good = long.join(kept.select(*by, id_col), [*by, id_col])
-    per = good.groupBy(*by, "k").agg(F.avg("v").alias("mean"), F.percentile("v", F.lit(0.9)).alias("p90"), F.countDistinct(id_col).alias("n"))
+    high = quantiles(good, "v", [*by, "k"], (0.9,)).select(*by, "k", F.get("q", F.lit(0)).alias("p90"))
+    per = good.groupBy(*by, "k").agg(F.avg("v").alias("mean"), F.countDistinct(id_col).alias("n")).join(high, [*by, "k"])
     every = joined(per.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("k", "mean", "p90"))).alias("_p"), F.coalesce(F.max("n"), F.lit(0)).alias("n")))
     out = every.select(*by, F.transform("_p", lambda s: s["mean"]).alias("mean"), F.transform("_p", lambda s: s["p90"]).alias("p90"), "n", "n_all")
     few = (F.col("n_all") >= 3) & (F.col("n") < F.greatest(F.lit(3.0), F.col("n_all") * 0.5))
