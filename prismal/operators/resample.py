@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from prismal.session import settled
+
 
 def draw(*parts, seed: int = 0) -> Column:
     """A uniform number in [0, 1) that depends on the parts and the seed only."""
@@ -131,18 +133,40 @@ def group_split(df: DataFrame, group: str, label: str, test_share: float = 0.2,
     return g.select(group, F.when(F.col("_r") <= n_test, "test").otherwise("train").alias("split"))
 
 
+def in_order(df: DataFrame, by: str, key: str, name: str) -> DataFrame:
+    """Add ``name``: each row's number from 1 within ``by``, in the order of ``key``, a null first.
+
+    Rows are cut into ranges of both, counted, and numbered within a range, so no task orders a whole key.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = settled(df.repartitionByRange(n, by, key).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = W.partitionBy(by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = cut.groupBy(by, "_part").agg(F.count("*").alias("_n")).select(by, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(W.partitionBy(by, "_part").orderBy(F.col(key).asc_nulls_first()))
+    return cut.withColumn("_in", inside).join(starts, [by, "_part"]).select(*df.columns, (F.col("_start") + F.col("_in")).alias(name))
+
+
 def set_split(df: DataFrame, key: str, test_share: float = 0.2) -> DataFrame:
     """``<key>, split``: whole sets by falling size fill train to its share; a smaller later set may still fit.
 
-    The greedy choice runs on the driver over set sizes, one row a distinct key.
+    Sets of one size are alike, and the first by key are taken, so the greedy
+    choice runs over the distinct sizes, of which there are at most the square
+    root of twice the rows; keys stay on executors.
     """
-    sizes = df.groupBy(key).count().orderBy(F.desc("count"), key).collect()
-    room, out = (1 - test_share) * sum(r["count"] for r in sizes), []
-    for r in sizes:
-        fits = r["count"] <= room
-        room -= r["count"] * fits
-        out.append((r[key], "train" if fits else "test"))
-    return df.sparkSession.createDataFrame(out, df.select(key).schema.add("split", "string"))
+    sets = df.groupBy(key).agg(F.count("*").alias("_size"))
+    counts = sets.groupBy("_size").agg(F.count("*").alias("n")).orderBy(F.desc("_size")).collect()
+    room, fits = (1 - test_share) * sum(r["_size"] * r.n for r in counts), []
+    for r in counts:
+        # sizes are taken off one by one, as a fill set by set would round
+        taken = 0
+        while taken < r.n and r["_size"] <= room:
+            step = max(1, min(r.n - taken, int(room // r["_size"]) - 1))
+            room -= r["_size"] * step
+            taken += step
+        fits.append((r["_size"], taken))
+    few = df.sparkSession.createDataFrame(fits, "_size long, _fits long")
+    placed = in_order(sets, "_size", key, "_at").join(F.broadcast(few), "_size")
+    return placed.select(key, F.when(F.col("_at") <= F.col("_fits"), "train").otherwise("test").alias("split"))
 
 
 def leave_pair_out(df: DataFrame, analyte: str, label: str) -> DataFrame:
