@@ -20,13 +20,15 @@ from pyspark.sql import functions as F
 
 from prismal.operators import metrics as M
 from prismal.operators import resample as R
-from prismal.session import ship
+from prismal.session import settled, ship
 
 #: A Mersenne prime: squares of residues fit 64 bits.
 PRIME = (1 << 31) - 1
 ROUNDS = 6
 #: Labels that a task makes at once.
 CHUNK = 4_000_000
+#: Labels that a task makes in all.
+TASK = 20_000_000
 PLACE = ("pos", "n", "ones", "z")
 
 
@@ -108,6 +110,9 @@ def null_areas(df: DataFrame, group: str, label: str, score: str, n_perm: int =
     ship(df.sparkSession)
     rows = df.filter(F.col(label).isNotNull())
     groups = doubled_ranks(rows, score, [group]).join(places(rows, group, label, strata), group).select("y", *PLACE, "ranks", "rows")
+    groups = settled(groups, "groups")
+    # rows are small and their shuffles many: tasks by labels, not by bytes
+    groups = groups.repartition(max(1, -(-groups.count() * (n_perm + 1) // TASK)))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         perms = np.arange(n_perm)

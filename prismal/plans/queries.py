@@ -190,7 +190,9 @@ _LABELLED = "(SELECT d.doc_id, d.source, d.lang, l.toxic, l.quality, CAST(length
 
 def _labelled(spark, sf_dir) -> DataFrame:
     d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return d.join(lab, "doc_id").select("doc_id", "source", "lang", "toxic", "quality", F.length("text").cast("double").alias("score"))
+    # texts are measured before the join, which then moves no text
+    d = d.select("doc_id", "source", "lang", F.length("text").cast("double").alias("score"))
+    return d.join(lab, "doc_id").select("doc_id", "source", "lang", "toxic", "quality", "score")
 
 
 @query(f"""
