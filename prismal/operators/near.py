@@ -20,9 +20,11 @@ from prismal.functions import arrays as A
 from prismal.session import settled, ship
 
 #: Bytes of vectors in a block.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 8 << 20
 #: Pivots at most, one for so many rows.
 PIVOTS, ROWS_A_PIVOT = 256, 500
+#: Sampled rows, and the share of cells that they may visit for the cells to be worth their guests; results are the same.
+SAMPLE, WORTH = 256, 0.3
 #: Rows whose products with a block are formed at once.
 STRIP = 512
 
@@ -31,6 +33,8 @@ def matrix(column) -> np.ndarray:
     """Unit rows of a list column; a zero vector stays zero."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, 0))
     x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(float)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
 
@@ -64,23 +68,28 @@ def at_home(rows: DataFrame, p: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "id long, x array<double>, cell int, far double")
 
 
+def allowed(u: np.ndarray, p: np.ndarray, least: np.ndarray, most: np.ndarray, reach: float) -> np.ndarray:
+    """Whether a cell (column) may hold a partner of a row within ``reach``; ``least`` and ``most`` are the distances of a cell's rows from its pivot."""
+    d, gaps = _distances(u, p), _distances(p, p)
+    own = d.argmin(1)
+    near = d[np.arange(len(d)), own]
+    # how far the half-space of the rows nearer to another pivot lies
+    with np.errstate(divide="ignore", invalid="ignore"):
+        border = np.where(gaps[own] > 0, (d * d - (near * near)[:, None]) / (2 * gaps[own]), 0.0)
+    slack = reach + 1e-9
+    return (border <= slack) & (d <= most + slack) & (d >= least - slack)
+
+
 def visiting(rows: DataFrame, p: np.ndarray, least: np.ndarray, most: np.ndarray, reach: float) -> DataFrame:
-    """``id, x, cell``: each row in every cell that may hold a partner within ``reach``; ``least`` and ``most`` are the distances of a cell's rows from its pivot."""
+    """``id, x, cell``: each row in every cell that may hold a partner."""
     ship(rows.sparkSession)
-    gaps = _distances(p, p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                d = _distances(matrix(batch.column(1)), p)
-                own = d.argmin(1)
-                near = d[np.arange(len(d)), own]
-                # how far the half-space of the rows nearer to another pivot lies
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    border = np.where(gaps[own] > 0, (d * d - (near * near)[:, None]) / (2 * gaps[own]), 0.0)
-                slack = reach + 1e-9
-                row, cell = np.nonzero((border <= slack) & (d <= most + slack) & (d >= least - slack))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(cell.astype(np.int32))], ["id", "x", "cell"])
+            for at in range(0, batch.num_rows, STRIP):
+                part = batch.slice(at, STRIP)
+                row, cell = np.nonzero(allowed(matrix(part.column(1)), p, least, most, reach))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(cell.astype(np.int32))], ["id", "x", "cell"])
 
     return rows.mapInArrow(run, "id long, x array<double>, cell int")
 
@@ -114,12 +123,18 @@ def _prepared(left: DataFrame, right: DataFrame, vector: str, id_col: str, least
     p = pivots(b)
     if not p.shape[1]:
         p = pivots(a)
-    home = settled(at_home(b, p), "home")
-    lows, highs = np.full(len(p), np.inf), np.full(len(p), -np.inf)
-    for r in home.groupBy("cell").agg(F.min("far").alias("lo"), F.max("far").alias("hi")).collect():
-        lows[r.cell], highs[r.cell] = r.lo, r.hi
     # a bound of 0 or less is no distance bound: zero vectors are alike to all then
     reach = float(np.sqrt(2 - 2 * least)) if least > 0 else np.inf
+    sample = matrix(a.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("x").toArrow()["x"])
+    while True:
+        home = settled(at_home(b, p), "home")
+        lows, highs = np.full(len(p), np.inf), np.full(len(p), -np.inf)
+        for r in home.groupBy("cell").agg(F.min("far").alias("lo"), F.max("far").alias("hi")).collect():
+            lows[r.cell], highs[r.cell] = r.lo, r.hi
+        # where bounds hardly prune, cells would only multiply what is sent
+        if len(p) == 1 or not len(sample) or allowed(sample, p, lows, highs, reach).mean() <= WORTH:
+            break
+        p = p[:1]
     guests = settled(visiting(a, p, lows, highs, reach), "guests")
     if max_share is not None:
         there = home.groupBy("cell").agg(F.count("*").alias("r"))
