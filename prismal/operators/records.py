@@ -9,7 +9,6 @@ from prismal.functions import arrays as A
 from prismal.functions import ids as I
 from prismal.functions import signal as S
 from prismal.functions import text as X
-from prismal.functions.kernels import grid
 from prismal.operators import coverage, references, resample
 from prismal.operators import vectors as V
 
@@ -116,12 +115,7 @@ def by_mode(rows: DataFrame, cfg: dict, generic: DataFrame | None = None) -> Dat
     if mode in ("paired", "mask"):
         # catalogue of the mean reference: one row, from partial sums
         mean = V.mean_vectors(refs.withColumn("v", F.transform("v", lambda x: x / F.greatest(F.array_max("v"), F.lit(1e-12)))), "v", []).select(F.col("mean").alias("_mean"))
-        lo, hi = cfg["window"]
-        from prismal.functions import kernels as K
-
-        g = grid(lo, hi, cfg["grid_step"])
-        spots = S.per_row(lambda v: K.catalogue([v], g, cfg), "array<double>")
-        out = out.crossJoin(F.broadcast(mean.select(spots(F.col("_mean")).alias("_cat"))))
+        out = out.crossJoin(F.broadcast(mean.select(S.catalogue(F.col("_mean"), cfg).alias("_cat"))))
         out = out.withColumn("peaks", F.when(F.col("ref").isNull(), A.mask_peaks(F.col("peaks"), F.col("_cat"), sub["tol_cm"])).otherwise(F.col("peaks")))
     used = F.when(F.col("ref").isNotNull(), mode).otherwise("mask" if mode == "paired" else mode)
     info = F.struct(used.alias("mode_used"), F.col("ref_label").alias("reference"), F.col("_sub.shift").alias("shift"), F.col("_sub.scale").alias("scale"))

@@ -771,14 +771,62 @@ def lines_drawn(spark, sf_dir):
 def signal_peaks(spark, sf_dir):
     from prismal.functions import signal as S
 
-    cfg = variant() | {"window": [0.0, 63.0], "smooth": {"window_cm": 5, "polyorder": 2}}
     e = table(spark, sf_dir, "embeddings")
+    cfg = variant() | {"window": _window(e), "smooth": {"window_cm": 5, "polyorder": 2}}
     y = F.transform(A.doubles(F.col("embedding")), lambda x: F.abs(x))
-    size = e.agg(F.max(F.size("embedding"))).first()[0]
-    cfg["window"] = [0.0, float(size - 1)]
     return e.select("vec_id", X.peaks_text(S.find_peaks(y, cfg), cfg).alias("text"))
 
 
+@query(f"""
+WITH p AS (SELECT vec_id, k, n, abs(y[k + 1]) AS v FROM {_POINTS}),
+q AS (SELECT *, lag(v) OVER w AS before, lead(v) OVER w AS after FROM p WINDOW w AS (PARTITION BY vec_id ORDER BY k)),
+m AS (SELECT vec_id, k, n, v FROM q WHERE v > before AND v > after),
+b AS (SELECT vec_id, m.k, m.n, m.v, coalesce(max(p.k) FILTER (p.k < m.k AND p.v > m.v), -1) AS lo, coalesce(min(p.k) FILTER (p.k > m.k AND p.v > m.v), m.n) AS hi FROM m JOIN p USING (vec_id) GROUP BY 1, 2, 3, 4),
+h AS (SELECT vec_id, b.k, b.v, b.v - greatest(min(p.v) FILTER (p.k > lo AND p.k < b.k), min(p.v) FILTER (p.k > b.k AND p.k < hi)) AS prominence FROM b JOIN p USING (vec_id) GROUP BY vec_id, b.k, b.v),
+c AS (SELECT vec_id, h.k, h.v, prominence, h.v - prominence / 2 AS level, max(p.k) FILTER (p.k < h.k AND p.v <= h.v - prominence / 2) AS a, min(p.k) FILTER (p.k > h.k AND p.v <= h.v - prominence / 2) AS b FROM h JOIN p USING (vec_id) GROUP BY ALL),
+x AS (SELECT c.*, p.v AS va FROM c JOIN p ON p.vec_id = c.vec_id AND p.k = a), y AS (SELECT x.*, p.v AS va1 FROM x JOIN p ON p.vec_id = x.vec_id AND p.k = a + 1),
+z AS (SELECT y.*, p.v AS vb FROM y JOIN p ON p.vec_id = y.vec_id AND p.k = b), u AS (SELECT z.*, p.v AS vb1 FROM z JOIN p ON p.vec_id = z.vec_id AND p.k = b - 1)
+SELECT vec_id, CAST(k AS INTEGER) AS k, round(prominence, 6) AS prominence, round(a + (level - va) / (va1 - va), 4) AS lo, round(b - (level - vb) / (vb1 - vb), 4) AS hi FROM u""")
+def peak_shapes(spark, sf_dir):
+    """Prominence and half-prominence extent of every maximum of the absolute values."""
+    from prismal.functions import signal as S
+
+    e = table(spark, sf_dir, "embeddings")
+    y = F.transform(A.doubles(F.col("embedding")), lambda x: F.abs(x))
+    p = e.select("vec_id", F.explode(S.peak_shapes(y)).alias("p"))
+    ends = (F.round(F.col(f"p.{a}"), 4).alias(b) for a, b in (("left", "lo"), ("right", "hi")))
+    return p.select("vec_id", F.col("p.at").cast("int").alias("k"), r6(F.col("p.prominence"), "prominence"), *ends)
+
+
+@query(f"""
+WITH m AS (SELECT label, k, avg(y[k + 1]) AS r FROM {_POINTS} JOIN (SELECT vec_id, label FROM embeddings) USING (vec_id) GROUP BY 1, 2),
+l AS (SELECT label, list(r ORDER BY k) AS r FROM m GROUP BY 1),
+t AS (SELECT vec_id, k, n, y[k + 1] AS v, r, d / 4.0 AS d, k - d / 4.0 AS x FROM {_POINTS} JOIN (SELECT vec_id, label FROM embeddings) USING (vec_id) JOIN l USING (label), range(-4, 5) s(d)),
+c AS (SELECT vec_id, k, n, v, d, r, least(greatest(x, 0), n - 1) AS x FROM t),
+i AS (SELECT vec_id, k, v, d, (1 - (x - floor(x))) * r[CAST(floor(x) AS INTEGER) + 1] + (x - floor(x)) * r[CAST(ceil(x) AS INTEGER) + 1] AS r FROM c),
+f AS (SELECT vec_id, d, greatest(0, sum(r * v) / sum(r * r)) AS s FROM i WHERE k BETWEEN 5 AND 25 OR k BETWEEN 35 AND 60 GROUP BY 1, 2),
+e AS (SELECT vec_id, d, s, sum(power(v - s * r, 2)) AS err FROM i JOIN f USING (vec_id, d) WHERE k BETWEEN 5 AND 25 OR k BETWEEN 35 AND 60 GROUP BY 1, 2, 3),
+b AS (SELECT vec_id, d, s FROM e QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(err, 9), d) = 1)
+SELECT vec_id, round(s, 6) AS scale, d AS shift, round(sum(power(v - s * r, 2)), 6) AS rest FROM b JOIN i USING (vec_id, d) GROUP BY 1, 2, 3""")
+def reference_subtracted(spark, sf_dir):
+    """Every vector less the mean of its label, moved by at most one point and scaled: factor, shift and what is left."""
+    from prismal.functions import signal as S
+
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", A.doubles(F.col("embedding")).alias("y"))
+    means = V.mean_vectors(e, "y", "label").select("label", F.col("mean").alias("ref"))
+    cfg = {"window": _window(table(spark, sf_dir, "embeddings")), "grid_step": 1.0, "substrate": {"fit_regions": [[5, 25], [35, 60]], "max_shift_cm": 1.0}}
+    out = e.join(means, "label").select("vec_id", S.subtract_reference(F.col("y"), F.col("ref"), cfg).alias("s"))
+    return out.select("vec_id", r6(F.col("s.scale"), "scale"), F.col("s.shift").alias("shift"), r6(A.dot(F.col("s.rest"), F.col("s.rest")), "rest"))
+
+
+@query()
+def signal_baseline(spark, sf_dir):
+    """Asymmetric least squares baselines; iterated, so tests hold it against dense solutions."""
+    from prismal.functions import signal as S
+
+    return _points(table(spark, sf_dir, "embeddings"), S.baseline(A.doubles(F.col("embedding")), 50.0, 0.05, 10))
+
+
 @query()
 def logistic_auroc(spark, sf_dir):
     from prismal.operators import estimators as E

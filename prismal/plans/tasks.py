@@ -167,22 +167,16 @@ def mean_area_ci(scores: DataFrame, n_boot: int = 1000, seed: int = 0, alpha: fl
 
 def detectability(df: DataFrame, vector: str, analyte: str, strain: str, axis: list[float], recall: DataFrame, bands: int = 3, gap: float = 10.0) -> DataFrame:
     """Signature match across strains with the class's recall, its signal against the spread within strains, and its strongest separated bands."""
-    import numpy as np
-    import pandas as pd
-
-    from prismal.functions import kernels as K
-    from prismal.session import ship
+    from prismal.functions import signal as S
 
-    ship(df.sparkSession)
     sig = X.signatures(df, vector, analyte, strain).groupBy(analyte).agg(F.avg("correlation").alias("correlation"), F.avg("match_rank").alias("match_rank"))
     long = V.explode_vector(df, vector, [analyte, strain])
     cell = long.groupBy(analyte, strain, "k").agg(F.avg("v").alias("m"), F.coalesce(F.stddev_pop("v"), F.lit(0.0)).alias("s"))
     base = long.groupBy(strain, "k").agg(F.avg("v").alias("b"))
     mean = cell.join(base, [strain, "k"]).groupBy(analyte, "k").agg(F.avg(F.col("m") - F.col("b")).alias("v"), F.avg("s").alias("s"))
     vec = V.gather_vector(mean.select(analyte, "k", "v"), [analyte], "sig").join(mean.groupBy(analyte).agg(F.try_divide(F.max(F.abs("v")), F.avg("s")).alias("snr")), analyte)
-    g = np.array(axis)
-    top = F.pandas_udf(lambda s: pd.Series([[p for p, _ in K.separated_top(np.asarray(v, float), g, bands, gap)] for v in s]), "array<double>")
-    return vec.select(analyte, "snr", top(F.col("sig")).alias("bands")).join(sig, analyte).join(recall.select(F.col("label").alias(analyte), "recall"), analyte, "left")
+    top = F.transform(S.separated_top(F.col("sig"), {}, bands, gap, axis), lambda b: b["position"])
+    return vec.select(analyte, "snr", top.alias("bands")).join(sig, analyte).join(recall.select(F.col("label").alias(analyte), "recall"), analyte, "left")
 
 
 def band_table(rows: DataFrame, vector: str, axis: list[float], positions: list[float], half: int = 3) -> DataFrame:
