@@ -219,9 +219,13 @@ def refit_permutation(
 def leave_pair_out_task(rows: DataFrame, analyte: str, label: str, model: str, ctx: Context, max_pairs: int | None = None) -> DataFrame:
     """Hold out each positive with each negative analyte: ``pos, neg, pos_score, neg_score, win``.
 
-    A pair is one fit; pairs are a stated set over analytes, which are few.
+    Centroid models of all pairs are one plan (``operators.pairs_out``); of other models a pair is one fit.
     ``max_pairs`` is for trial runs: only so many pairs, in order, are held out; None holds out all.
     """
+    if model == "centroid" and max_pairs is None:
+        from prismal.operators.pairs_out import centroid_pairs
+
+        return centroid_pairs(rows, "v", label, analyte).drop("perm")
     pairs = R.leave_pair_out(rows, analyte, label).orderBy("pos", "neg").collect()
     parts = []
     for p in pairs[:max_pairs]:

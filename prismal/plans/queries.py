@@ -827,6 +827,23 @@ def signal_baseline(spark, sf_dir):
     return _points(table(spark, sf_dir, "embeddings"), S.baseline(A.doubles(F.col("embedding")), 50.0, 0.05, 10))
 
 
+@query(f"""
+WITH x AS (SELECT vec_id, label, CAST(label AS INTEGER) % 2 AS y, k, v FROM ({_LONG})), s AS (SELECT label, y, k, sum(v) AS s, count(*) AS n FROM x GROUP BY 1, 2, 3),
+t AS (SELECT k, sum(s) AS t, sum(n) AS m, sum(CASE WHEN y = 1 THEN s ELSE 0 END) AS t1, sum(CASE WHEN y = 1 THEN n ELSE 0 END) AS m1 FROM s GROUP BY k),
+p AS (SELECT a.label AS pos, b.label AS neg, k, (t - a.s - b.s) / (m - a.n - b.n) AS c, (t1 - a.s) / (m1 - a.n) AS p1, (t - t1 - b.s) / (m - m1 - b.n) AS p0
+  FROM s a JOIN s b USING (k) JOIN t USING (k) WHERE a.y = 1 AND b.y = 0),
+w AS (SELECT pos, neg, k, c, (p1 - c) / sqrt(sum(power(p1 - c, 2)) OVER q) - (p0 - c) / sqrt(sum(power(p0 - c, 2)) OVER q) AS w FROM p WINDOW q AS (PARTITION BY pos, neg)),
+u AS (SELECT vec_id, pos, neg, label, sum((v - c) * w) / sqrt(sum(power(v - c, 2))) AS sc FROM x JOIN w USING (k) WHERE label = pos OR label = neg GROUP BY 1, 2, 3, 4),
+r AS (SELECT pos, neg, avg(CASE WHEN label = pos THEN sc END) AS a, avg(CASE WHEN label = neg THEN sc END) AS b FROM u GROUP BY 1, 2)
+SELECT CAST(pos AS VARCHAR) AS pos, CAST(neg AS VARCHAR) AS neg, round(a, 6) AS pos_score, round(b, 6) AS neg_score, CASE WHEN a > b THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS win FROM r""")
+def pairs_held_out(spark, sf_dir):
+    """Centroid models told apart by odd and even labels, each fitted without one label of either kind."""
+    from prismal.operators import pairs_out as O
+
+    e = table(spark, sf_dir, "embeddings").select("label", (F.col("label") % 2).cast("int").alias("y"), "embedding")
+    return O.centroid_pairs(e, "embedding", "y", "label").select("pos", "neg", r6(F.col("pos_score"), "pos_score"), r6(F.col("neg_score"), "neg_score"), "win")
+
+
 @query()
 def logistic_auroc(spark, sf_dir):
     from prismal.operators import estimators as E
