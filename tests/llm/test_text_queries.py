@@ -106,7 +106,7 @@ def test_speakers_are_told_apart_by_their_own_names(spark):
         text = render([r for r in out if r.perspective == who])
         assert text.count("<|im_start|>") == text.count("<|im_end|>") == len(names)
     assert sum(r.mask for r in out if r.perspective == "ann") == 3 and sum(r.mask for r in out if r.perspective == "unknown") == 1
-    con = duckdb.connect()
+    con = pytest.importorskip("duckdb").connect()
     con.execute("CREATE TABLE conversations (conv_id BIGINT, turn INTEGER, role VARCHAR, text VARCHAR)")
     con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
     cur = con.execute(chat.perspectives_sql())
