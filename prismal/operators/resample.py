@@ -22,23 +22,61 @@ def draw(*parts, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(*parts, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
+#: A Mersenne prime: squares of residues fit 64 bits.
+PRIME = (1 << 31) - 1
+
+
+def drawn(rep, draw, n, seed: int = 0):
+    """Place below ``n`` that draw number ``draw`` of replicate ``rep`` takes; for whole numbers, arrays and columns alike."""
+    for turn in (1, 2):
+        key = (rep * 69069 + turn * 362437 + seed * 521288629) % PRIME
+        key = (key * key + 1) % PRIME
+        draw = (draw + key) % PRIME
+        draw = (draw * draw + key) % PRIME
+        draw = (draw * draw + key) % PRIME
+    return draw % n
+
+
+def drawn_sql(n: str, seed: int) -> list[str]:
+    """``drawn`` of columns ``rep`` and ``draw`` as DuckDB select items, each reading those before; the last is ``pos``."""
+    items, last = [], "draw"
+    for turn in (1, 2):
+        first = f"((rep * 69069 + {turn * 362437 + seed * 521288629}) % {PRIME})"
+        items += [f"({first} * {first} + 1) % {PRIME} AS k{turn}", f"({last} + k{turn}) % {PRIME} AS a{turn}"]
+        items += [f"(a{turn} * a{turn} + k{turn}) % {PRIME} AS b{turn}", f"(b{turn} * b{turn} + k{turn}) % {PRIME} AS c{turn}"]
+        last = f"c{turn}"
+    return [*items, f"{last} % {n} AS pos"]
+
+
+def places(df: DataFrame, group: str) -> DataFrame:
+    """``<group>, pos``: distinct groups, null left out, numbered from 0 in the order of their digests."""
+    g = df.select(group).filter(F.col(group).isNotNull()).distinct().withColumn("_z", F.lit(0))
+    order = F.shiftleft(F.conv(F.substring(F.md5(F.col(group).cast("string")), 1, 15), 16, 10).cast("long"), 3)
+    return numbered(g, ["_z"], order, group, "pos").select(group, (F.col("pos") - 1).cast("long").alias("pos"))
+
+
 def replicates(groups: DataFrame, group: str, n_boot: int, seed: int = 0) -> DataFrame:
     """``rep, <group>, mult``: resamples of the groups with replacement; groups not drawn are left out.
 
     Every replicate draws as many groups as there are, each draw a place in the
-    groups' order.
+    groups' order.  A null group is no group.  The table has a row a replicate and drawn group.
     """
-    g = groups.select(group).distinct()
-    n = g.count()
-    # places run within hash cells and over the cells' sizes, so no task orders all groups
-    g = g.withColumn("_c", F.pmod(F.xxhash64(group), F.lit(256)))
-    sizes = g.groupBy("_c").agg(F.count("*").alias("_n"))
-    first = sizes.select("_c", F.coalesce(F.sum("_n").over(W.orderBy("_c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
-    place = g.withColumn("_r", F.row_number().over(W.partitionBy("_c").orderBy(group))).join(F.broadcast(first), "_c").select(group, (F.col("_first") + F.col("_r") - 1).cast("int").alias("_at"))
-    reps = g.sparkSession.range(n_boot).select(F.col("id").cast("int").alias("rep"))
-    draws = reps.crossJoin(g.sparkSession.range(max(1, n)).withColumnRenamed("id", "_draw"))
-    picked = draws.withColumn("_at", F.floor(draw("rep", "_draw", seed=seed) * n).cast("int")).groupBy("rep", "_at").agg(F.count("*").alias("mult"))
-    return picked.join(place, "_at").select("rep", group, "mult")
+    place = settled(places(groups, group), "places")
+    n = place.count()
+    reps = place.sparkSession.range(n_boot).withColumnRenamed("id", "rep")
+    draws = reps.crossJoin(place.select(F.col("pos").alias("_draw")))
+    picked = draws.withColumn("pos", drawn(F.col("rep"), F.col("_draw"), F.lit(max(1, n)).cast("long"), seed)).groupBy("rep", "pos").agg(F.count("*").alias("mult"))
+    return picked.join(place, "pos").select(F.col("rep").cast("int").alias("rep"), group, "mult")
+
+
+def interval(found: DataFrame, value: str, n_boot: int, alpha: float = 0.05, by=None) -> DataFrame:
+    """Percentile interval over replicates: ``*by, lo, hi, n_ok``; null bounds unless max(10, n_boot / 10) give a number."""
+    by = [by] if isinstance(by, str) else list(by or [])
+    found = found.filter(F.col(value).isNotNull() & ~F.isnan(value))
+    agg = (F.percentile(value, F.lit(alpha / 2)).alias("lo"), F.percentile(value, F.lit(1 - alpha / 2)).alias("hi"), F.count("*").alias("n_ok"))
+    out = found.groupBy(*by).agg(*agg) if by else found.agg(*agg)
+    enough = F.col("n_ok") >= max(10, n_boot / 10)
+    return out.select(*by, F.when(enough, F.col("lo")).alias("lo"), F.when(enough, F.col("hi")).alias("hi"), "n_ok")
 
 
 def bootstrap_ci(
@@ -46,16 +84,13 @@ def bootstrap_ci(
 ) -> DataFrame:
     """Percentile interval of a metric over resampled groups: ``*by, lo, hi, n_ok``.
 
-    ``metric(df, by, weight)`` gives a column ``value`` for each key.  Bounds are
-    null unless max(10, n_boot / 10) replicates give a number.
+    ``metric(df, by, weight)`` gives a column ``value`` for each key.  Every row
+    meets its group's replicates: give it rows that are counts by group.  For areas
+    ``operators.bootstraps`` makes no such table.
     """
     by = [by] if isinstance(by, str) else list(by or [])
     rows = df.join(replicates(df, group, n_boot, seed), group)
-    found = metric(rows, [*by, "rep"], "mult").filter(F.col(value).isNotNull() & ~F.isnan(value))
-    agg = (F.percentile(value, F.lit(alpha / 2)).alias("lo"), F.percentile(value, F.lit(1 - alpha / 2)).alias("hi"), F.count("*").alias("n_ok"))
-    out = found.groupBy(*by).agg(*agg) if by else found.agg(*agg)
-    enough = F.col("n_ok") >= max(10, n_boot / 10)
-    return out.select(*by, F.when(enough, F.col("lo")).alias("lo"), F.when(enough, F.col("hi")).alias("hi"), "n_ok")
+    return interval(metric(rows, [*by, "rep"], "mult"), value, n_boot, alpha, by)
 
 
 def paired_difference_ci(df: DataFrame, group: str, metric, value: str, method: str, first: str, second: str, n_boot: int = 1000, seed: int = 0, alpha: float = 0.05) -> DataFrame:

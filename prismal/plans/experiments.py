@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from prismal.functions import arrays as A
+from prismal.operators import bootstraps as B
 from prismal.operators import estimators as E
 from prismal.operators import metrics as M
 from prismal.operators import refits as X
@@ -81,17 +82,19 @@ def metric_rows(pred: DataFrame, ctx: Context, binary: bool = True) -> DataFrame
     if binary:
         rows = pred.withColumn("y", F.col("y").cast("double"))
         value = M.auroc(rows, "y", "score", KEY).select(*KEY, F.lit("auroc").alias("metric"), F.col("auroc").alias("value"))
-        ci = R.bootstrap_ci(rows, "grp", lambda d, by, w: M.auroc(d, "y", "score", by, w), "auroc", ctx.n_boot, ctx.seed, by=KEY)
+        ci = B.area_interval(rows, "grp", "y", "score", ctx.n_boot, ctx.seed, by=KEY)
         return value.join(ci, KEY, "left")
     rep = M.multiclass_report(pred, "y", "pred", KEY)
     pairs = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("accuracy", "balanced_accuracy", "macro_f1")))
     value = rep.select(*KEY, F.explode(pairs).alias("p")).select(*KEY, "p.metric", "p.value")
 
     def balanced(d: DataFrame, by: list[str], w: str) -> DataFrame:
-        per = d.groupBy(*by, "y").agg((F.sum(F.when(F.col("y") == F.col("pred"), F.col(w)).otherwise(0)) / F.sum(w)).alias("r"))
+        per = d.groupBy(*by, "y").agg((F.sum(F.col("hit") * F.col(w)) / F.sum(F.col("rows") * F.col(w))).alias("r"))
         return per.groupBy(*by).agg(F.avg("r").alias("balanced_accuracy"))
 
-    ci = R.bootstrap_ci(pred, "grp", balanced, "balanced_accuracy", ctx.n_boot, ctx.seed, by=KEY).withColumn("metric", F.lit("balanced_accuracy"))
+    # hits are counted by group before groups meet their replicates
+    hits = pred.groupBy(*KEY, "grp", "y").agg(F.count_if(F.col("y") == F.col("pred")).alias("hit"), F.count("*").alias("rows"))
+    ci = R.bootstrap_ci(hits, "grp", balanced, "balanced_accuracy", ctx.n_boot, ctx.seed, by=KEY).withColumn("metric", F.lit("balanced_accuracy"))
     return value.join(ci, [*KEY, "metric"], "left")
 
 

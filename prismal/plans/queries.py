@@ -14,6 +14,7 @@ from prismal.config import variant
 from prismal.functions import arrays as A
 from prismal.functions import ids as I
 from prismal.functions import text as X
+from prismal.operators import bootstraps as B
 from prismal.operators import checks as Q
 from prismal.operators import coverage as C
 from prismal.operators import metrics as M
@@ -689,10 +690,12 @@ def near_links(spark, sf_dir):
 
 # ---------------------------------------------------------------- without a SQL twin
 
-@query()
+@query(f"""
+WITH labelled AS {_LABELLED}, ci AS ({B.area_interval_sql("SELECT source AS grp, quality AS y, score FROM labelled", 1000, 7)})
+SELECT round(lo, 6) AS lo, round(hi, 6) AS hi, n_ok FROM ci""")
 def bootstrap_interval(spark, sf_dir):
-    d = _labelled(spark, sf_dir)
-    return R.bootstrap_ci(d, "source", lambda x, by, w: M.auroc(x, "quality", "score", by, w), "auroc", 1000, 7)
+    ci = B.area_interval(_labelled(spark, sf_dir), "source", "quality", "score", 1000, 7)
+    return ci.select(r6(F.col("lo"), "lo"), r6(F.col("hi"), "hi"), "n_ok")
 
 
 @query(f"""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from prismal.functions import ids as I
+from prismal.operators import bootstraps as B
 from prismal.operators import checks as Q
 from prismal.operators import estimators as E
 from prismal.operators import metrics as M
@@ -160,9 +161,9 @@ def twin_agreement(scores: DataFrame, first: str, second: str, least: int = 4) -
 
 def mean_area_ci(scores: DataFrame, n_boot: int = 1000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """Mean area over labels with the same analytes drawn for all of them: ``mean, lo, hi, n_ok`` of ``label, analyte, y, score``."""
-    mean = lambda d, by, w: M.auroc(d, "y", "score", ["label", *by], w).groupBy(*by).agg(F.avg("auroc").alias("mean"))
     here = M.auroc(scores, "y", "score", "label").agg(F.avg("auroc").alias("mean"))
-    return here.crossJoin(R.bootstrap_ci(scores, "analyte", mean, "mean", n_boot, seed, alpha))
+    means = B.area_replicates(scores, "analyte", "y", "score", n_boot, seed, "label").groupBy("rep").agg(F.avg("auroc").alias("mean"))
+    return here.crossJoin(R.interval(means, "mean", n_boot, alpha))
 
 
 def detectability(df: DataFrame, vector: str, analyte: str, strain: str, axis: list[float], recall: DataFrame, bands: int = 3, gap: float = 10.0) -> DataFrame:
