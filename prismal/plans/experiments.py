@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -21,6 +21,7 @@ from prismal.operators import metrics as M
 from prismal.operators import refits as X
 from prismal.operators import resample as R
 from prismal.operators import shuffles as H
+from prismal.operators.subsets import subset_metrics
 
 
 @dataclass
@@ -98,6 +99,11 @@ def metric_rows(pred: DataFrame, ctx: Context, binary: bool = True) -> DataFrame
     return value.join(ci, [*KEY, "metric"], "left")
 
 
+def subset_rows(pred: DataFrame, ctx: Context, subsets: dict[str, Column], binary: bool = True, vote: tuple[str, str] | None = None, vote_subsets: list[str] | None = None, with_ece: bool = False) -> DataFrame:
+    """Metric rows by subset of the test rows, and by vote of a group as ``subset@name``, with sizes: ``*KEY, subset, metric, value, lo, hi, n_ok, n_test, n_test_groups``."""
+    return subset_metrics(pred, subsets, KEY, ctx.n_boot, ctx.seed, binary, vote, vote_subsets, with_ece)
+
+
 #: Models with refitted nulls.
 REFITTED = ("centroid", *X.HYPER)
 

@@ -22,6 +22,7 @@ from prismal.operators import physics as P
 from prismal.operators import references as J
 from prismal.operators import resample as R
 from prismal.operators import shuffles as H
+from prismal.operators import subsets
 from prismal.operators import vectors as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -690,6 +691,27 @@ def near_links(spark, sf_dir):
 
 # ---------------------------------------------------------------- without a SQL twin
 
+@query(f"""
+WITH d AS (SELECT coalesce(lang, '-') AS lang, source, CAST(quality >= 0.5 AS INTEGER) AS y, score, CAST(score >= 300 AS INTEGER) AS pred FROM {_LABELLED}),
+s AS (SELECT 'all' AS subset, lang, source, y, score, pred FROM d UNION ALL SELECT 'long', lang, source, y, score, pred FROM d WHERE score >= 200
+      UNION ALL SELECT 'all@source', lang, source, CAST(avg(y) >= 0.5 AS INTEGER), avg(score), CAST(avg(pred) >= 0.5 AS INTEGER) FROM d GROUP BY lang, source),
+r AS (SELECT *, rank() OVER (PARTITION BY subset, lang ORDER BY score) + (count(*) OVER (PARTITION BY subset, lang, score) - 1) / 2.0 AS rk FROM s),
+one AS (SELECT subset, lang, count(*) AS n_test, count(DISTINCT source) AS n_test_groups, sum(y) AS p, count(*) - sum(y) AS n,
+               sum(CASE WHEN y = 1 THEN rk ELSE 0 END) AS up, (avg(CASE WHEN y = 1 THEN pred END) + avg(CASE WHEN y = 0 THEN 1 - pred END)) / 2 AS ba FROM r GROUP BY subset, lang),
+lv AS (SELECT subset, lang, score, sum(y) AS p, count(*) - sum(y) AS n FROM s GROUP BY subset, lang, score),
+cum AS (SELECT subset, lang, p, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM lv WINDOW w AS (PARTITION BY subset, lang ORDER BY score DESC)),
+ap AS (SELECT subset, lang, sum(p * tp / (tp + fp)) / nullif(sum(p), 0) AS ap FROM cum GROUP BY subset, lang),
+m AS (SELECT subset, lang, n_test, n_test_groups, 'auroc' AS metric, (up - p * (p + 1) / 2.0) / nullif(p * n, 0) AS value FROM one
+      UNION ALL SELECT subset, lang, n_test, n_test_groups, 'balanced_accuracy', ba FROM one
+      UNION ALL SELECT subset, lang, n_test, n_test_groups, 'auprc', ap FROM one JOIN ap USING (subset, lang))
+SELECT lang, subset, metric, round(value, 6) AS value, n_test, n_test_groups FROM m""")
+def subset_report(spark, sf_dir):
+    d = _labelled(spark, sf_dir).select(
+        F.coalesce("lang", F.lit("-")).alias("lang"), F.col("source").alias("grp"), (F.col("quality") >= 0.5).cast("int").alias("y"), "score", (F.col("score") >= 300).cast("int").alias("pred"))
+    out = subsets.subset_metrics(d, {"all": F.lit(True), "long": F.col("score") >= 200}, ["lang"], 0, vote=("grp", "source"), vote_subsets=["all"])
+    return out.select("lang", "subset", "metric", r6(F.col("value"), "value"), "n_test", "n_test_groups")
+
+
 @query(f"""
 WITH labelled AS {_LABELLED}, ci AS ({B.area_interval_sql("SELECT source AS grp, quality AS y, score FROM labelled", 1000, 7)})
 SELECT round(lo, 6) AS lo, round(hi, 6) AS hi, n_ok FROM ci""")
