@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from prismal.operators import bootstraps as B
 from prismal.operators import metrics as M
 from prismal.operators import resample as R
+from prismal.session import settled
 
 
 def votes(pred: DataFrame, group: str, by: list[str], binary: bool = True) -> DataFrame:
@@ -54,29 +55,29 @@ def _long(df: DataFrame, by: list[str], names: list[str]) -> DataFrame:
     return df.select(*by, F.explode(pairs).alias("_p")).select(*by, "_p.metric", "_p.value")
 
 
-def _measured(rows: DataFrame, by: list[str], binary: bool, n_boot: int, seed: int, with_ece: bool) -> DataFrame:
-    """``*by, metric, value, lo, hi, n_ok, n_test, n_test_groups`` of rows ``*by, grp, y, pred, score``."""
-    if binary:
-        rows = rows.withColumn("y", (F.col("y").cast("double") >= 0.5).cast("double")).withColumn("pred", (F.col("pred").cast("double") >= 0.5).cast("double"))
-    counts = rows.groupBy(*by, "grp", "y", "pred").agg(F.count("*").cast("double").alias("w"))
-    names = ["balanced_accuracy"] if binary else ["accuracy", "balanced_accuracy", "macro_f1"]
-    found = [_long(class_metrics(counts, by, binary), by, names)]
+def _names(binary: bool) -> list[str]:
+    return ["balanced_accuracy"] if binary else ["accuracy", "balanced_accuracy", "macro_f1"]
+
+
+def _counts(rows: DataFrame, by: list[str]) -> DataFrame:
+    return rows.groupBy(*by, "grp", "y", "pred").agg(F.count("*").cast("double").alias("w"))
+
+
+def _values(rows: DataFrame, by: list[str], binary: bool) -> DataFrame:
+    """``*by, metric, value`` of rows ``*by, grp, y, pred, score``."""
+    found = [_long(class_metrics(_counts(rows, by), by, binary), by, _names(binary))]
     if binary:
         found += [_long(M.auroc(rows, "y", "score", by), by, ["auroc"]), _long(M.average_precision(rows, "y", "score", by), by, ["auprc"])]
-        found += [_long(M.calibration_error(rows, "y", "score", by), by, ["ece"])] if with_ece else []
-    value = reduce(lambda a, b: a.unionByName(b), found)
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("n_test"), F.countDistinct("grp").alias("n_test_groups"))
-    out = value.join(sizes, by)
-    empty = [F.lit(None).cast(t).alias(c) for c, t in (("lo", "double"), ("hi", "double"), ("n_ok", "long"))]
-    if not n_boot:
-        return out.select(*by, "metric", "value", *empty, "n_test", "n_test_groups")
-    # counts by group meet the replicates, rows never do
-    drawn = counts.join(R.replicates(rows, "grp", n_boot, seed), "grp").groupBy(*by, "rep", "y", "pred").agg(F.sum(F.col("w") * F.col("mult")).alias("w"))
-    again = _long(class_metrics(drawn, [*by, "rep"], binary), [*by, "rep"], names)
-    ci = R.interval(again, "value", n_boot, by=[*by, "metric"])
-    if binary:
-        ci = ci.unionByName(B.area_interval(rows, "grp", "y", "score", n_boot, seed, by=by).withColumn("metric", F.lit("auroc")))
-    return out.join(ci, [*by, "metric"], "left").select(*by, "metric", "value", "lo", "hi", "n_ok", "n_test", "n_test_groups")
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+def _intervals(rows: DataFrame, by: list[str], binary: bool, n_boot: int, seed: int) -> DataFrame:
+    """``*by, metric, lo, hi, n_ok``: counts by group meet the replicates, rows never do."""
+    drawn = _counts(rows, by).join(R.replicates(rows, "grp", n_boot, seed), "grp").groupBy(*by, "rep", "y", "pred").agg(F.sum(F.col("w") * F.col("mult")).alias("w"))
+    ci = R.interval(_long(class_metrics(drawn, [*by, "rep"], binary), [*by, "rep"], _names(binary)), "value", n_boot, by=[*by, "metric"])
+    if not binary:
+        return ci
+    return ci.unionByName(B.area_interval(rows, "grp", "y", "score", n_boot, seed, by=by).withColumn("metric", F.lit("auroc")))
 
 
 def subset_metrics(
@@ -95,14 +96,29 @@ def subset_metrics(
     label or prediction are left out, and those without a group have no part in intervals
     or group counts; a condition that is null leaves a row out.  Keys are not null.
     """
-    parts, lone = [], not by
-    if lone:
-        pred, by = pred.withColumn("_one", F.lit(1)), ["_one"]
-    for name, on in subsets.items():
-        rows = pred.filter(on).filter(F.col("y").isNotNull() & F.col("pred").isNotNull())
-        parts.append(_measured(rows, by, binary, n_boot, seed, with_ece).withColumn("subset", F.lit(name)))
-        if vote and (vote_subsets is None or name in vote_subsets):
-            column, called = vote
-            parts.append(_measured(votes(rows, column, by, binary), by, binary, n_boot, seed, False).withColumn("subset", F.lit(f"{name}@{called}")))
-    keys = [*([] if lone else by), "subset", "metric"]
-    return reduce(lambda a, b: a.unionByName(b), parts).select(*keys, "value", "lo", "hi", "n_ok", "n_test", "n_test_groups")
+    names = list(subsets)
+    member = F.filter(F.array(*(F.when(subsets[n], F.lit(n)) for n in names)), lambda n: n.isNotNull())
+    keys, columns = [*by, "subset"], [*by, "subset", "grp", "y", "pred", "score"]
+    rows = pred.filter(F.col("y").isNotNull() & F.col("pred").isNotNull()).withColumn("subset", F.explode(member))
+    if binary:
+        rows = rows.withColumn("y", (F.col("y").cast("double") >= 0.5).cast("double")).withColumn("pred", (F.col("pred").cast("double") >= 0.5).cast("double"))
+    use = rows.select(*by, "subset", F.col("grp").cast("string").alias("grp"), "y", "pred", F.col("score").cast("double").alias("score"))
+    if vote:
+        column, called = vote
+        of = rows if vote_subsets is None else rows.filter(F.col("subset").isin(vote_subsets))
+        use = use.unionByName(votes(of, column, keys, binary).withColumn("subset", F.concat("subset", F.lit(f"@{called}"))).select(*columns))
+        names += [f"{n}@{called}" for n in names if vote_subsets is None or n in vote_subsets]
+    # all metrics of all subsets read one small table
+    use = settled(use, "subset_rows")
+    value = _values(use, keys, binary)
+    if binary and with_ece:
+        value = value.unionByName(_long(M.calibration_error(use.filter(F.col("subset").isin(list(subsets))), "y", "score", keys), keys, ["ece"]))
+    sizes = use.groupBy(*keys).agg(F.count("*").alias("n_test"), F.countDistinct("grp").alias("n_test_groups"))
+    out = value.join(sizes, keys)
+    if n_boot:
+        # a subset draws from its own groups
+        ci = [_intervals(use.filter(F.col("subset") == n), keys, binary, n_boot, seed) for n in names]
+        out = out.join(reduce(lambda a, b: a.unionByName(b), ci), [*keys, "metric"], "left")
+    else:
+        out = out.select("*", F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(None).cast("long").alias("n_ok"))
+    return out.select(*keys, "metric", "value", "lo", "hi", "n_ok", "n_test", "n_test_groups")
