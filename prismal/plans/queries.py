@@ -839,7 +839,7 @@ def reference_subtracted(spark, sf_dir):
 
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", A.doubles(F.col("embedding")).alias("y"))
     means = V.mean_vectors(e, "y", "label").select("label", F.col("mean").alias("ref"))
-    cfg = {"window": _window(table(spark, sf_dir, "embeddings")), "grid_step": 1.0, "substrate": {"fit_regions": [[5, 25], [35, 60]], "max_shift_cm": 1.0}}
+    cfg = {"window": _window(table(spark, sf_dir, "embeddings")), "grid_step": 1.0, "substrate": {"fit_regions": [[5, 25], [35, 60]], "max_shift_cm": 1.0, "error_decimals": 9}}
     out = e.join(means, "label").select("vec_id", S.subtract_reference(F.col("y"), F.col("ref"), cfg).alias("s"))
     return out.select("vec_id", r6(F.col("s.scale"), "scale"), F.col("s.shift").alias("shift"), r6(A.dot(F.col("s.rest"), F.col("s.rest")), "rest"))
 

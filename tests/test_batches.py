@@ -103,6 +103,17 @@ def test_a_missing_reference_gives_null_and_axes_are_kept_apart(spark):
     assert drawn == {0: [0, 1, 2, 3, 4], 1: [0, 0.5, 1, 1.5, 2]}
 
 
+def test_errors_that_round_alike_take_the_first_shift():
+    # the errors of all shifts lie within 1e-10
+    g = np.arange(4.0)
+    ref, y = np.array([0.0, 0.0, 0.0, 1.0]), np.array([0.0, 1.0, 0.0, 1e-5])
+    cfg = {"substrate": {"fit_regions": [[0, 3]], "max_shift_cm": 0.25}}
+    raw = K.subtract(y, ref, g, cfg)
+    assert raw.shift == 0
+    cfg["substrate"]["error_decimals"] = 9
+    assert K.subtract(y, ref, g, cfg).shift == -0.25
+
+
 def test_baselines_of_the_query_equal_dense_solutions(spark):
     found = {(r.vec_id, r.k): r.v for r in QUERIES["signal_baseline"](spark, SF).collect()}
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
