@@ -9,11 +9,11 @@ the sentence model, which then locates the offending sentences.
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +27,8 @@ MIN_DOCS = 4
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
 CACHE = 200_000
+#: Features of sentences that a sum of the fit runs over at once.
+STRETCH = 1 << 18
 
 
 def word_features(word: str) -> list[str]:
@@ -69,20 +71,23 @@ class MilModel:
         return float(-np.expm1(-np.logaddexp(0, logits).sum())), found
 
 
-def fit_noisy_or(bags: list[list[list[int]]], labels: np.ndarray, n_features: int, rounds: int = 250, prior: float = 0.1) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch Adam on the exact noisy-or likelihood, with a normal prior of variance 1 / ``prior``."""
+def fit_noisy_or(bags: list[list[list[int]]] | pa.Array, labels: np.ndarray, n_features: int, rounds: int = 250, prior: float = 0.1) -> tuple[np.ndarray, float]:
+    """Weights and bias by full-batch Adam on the exact noisy-or likelihood, with a normal prior of variance 1 / ``prior``.
+
+    Sums run over stretches of whole sentences, so beside the features' places
+    nothing as long as they are is held.
+    """
     # flat arrays: a list of as many integers takes several times the memory
-    doc, rows, cols, n_doc = array("q"), array("q"), array("q"), len(bags)
-    plain = np.zeros(n_doc)
-    for i, bag in enumerate(bags):
-        for sentence in bag:
-            if sentence:
-                rows.extend([len(doc)] * len(sentence))
-                cols.extend(sentence)
-                doc.append(i)
-            else:
-                plain[i] += 1
-    doc, rows, cols = (np.array(x, np.int64) for x in (doc, rows, cols))
+    bags = bags if isinstance(bags, pa.Array) else pa.array(bags, pa.list_(pa.list_(pa.int32())))
+    n_doc, inner = len(bags), bags.flatten()
+    size = pc.list_value_length(inner).to_numpy(zero_copy_only=False).astype(np.int64)
+    doc = np.repeat(np.arange(n_doc), pc.list_value_length(bags).to_numpy(zero_copy_only=False))
+    cols = inner.flatten().to_numpy(zero_copy_only=False)
+    plain = np.bincount(doc[size == 0], minlength=n_doc).astype(float)
+    doc, size = doc[size > 0], size[size > 0]
+    ends = np.cumsum(size)
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, len(cols), STRETCH)), len(doc)))
+    parts = [(a, b, ends[a] - size[a], ends[b - 1]) for a, b in zip(cuts[:-1], cuts[1:])]
     y = labels.astype(bool)
     rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     per_doc = max(1.0, float(plain.mean()) + len(doc) / max(1, n_doc))
@@ -91,11 +96,16 @@ def fit_noisy_or(bags: list[list[list[int]]], labels: np.ndarray, n_features: in
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, rounds + 1):
         w, b = theta[:-1], theta[-1]
-        logit = b + np.bincount(rows, w[cols], len(doc))
+        logit = np.full(len(doc), b)
+        for i, j, s, e in parts:
+            logit[i:j] += np.add.reduceat(w[cols[s:e]], ends[i:j] - size[i:j] - s)
         total = np.bincount(doc, np.logaddexp(0, logit), n_doc) + plain * np.logaddexp(0, b)
         slope = np.where(y, -1 / np.expm1(np.maximum(total, 1e-6)), 1.0)
         by_sentence = slope[doc] / (1 + np.exp(-logit))
-        grad = np.append(np.bincount(cols, by_sentence[rows], n_features), by_sentence.sum() + (slope * plain).sum() / (1 + np.exp(-b))) / n_doc
+        grad = np.append(np.zeros(n_features), by_sentence.sum() + (slope * plain).sum() / (1 + np.exp(-b)))
+        for i, j, s, e in parts:
+            grad[:-1] += np.bincount(cols[s:e], np.repeat(by_sentence[i:j], size[i:j]), n_features)
+        grad /= n_doc
         grad[:-1] += prior * w / n_doc
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -151,7 +161,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features:
         return {"bag": out, "toxic": cols[1]}
 
     rows = map_rows(sample.select("text", "toxic"), bags, "bag array<array<int>>, toxic int").toArrow()
-    w, b = fit_noisy_or(rows["bag"].to_pylist(), np.array(rows["toxic"]), len(place))
+    w, b = fit_noisy_or(rows["bag"].combine_chunks(), np.array(rows["toxic"]), len(place))
+    del rows
+    release()
     return MilModel({f: float(w[i]) for f, i in place.items() if w[i]}, b)
 
 
