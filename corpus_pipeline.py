@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismal.llm import decontam, near_copies, packing, suffix_dedup, toxicity
+from prismal.llm import decontam, near_copies, packing, simhash, suffix_dedup, toxicity
 from prismal.llm.common import documents, written
 
 
@@ -24,15 +24,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: Jaccard similarity of 5-word shingles of 0.8 or more.
-
-    The smallest id stays; rows without an id come after all others, by their
-    text's hash.  Rows equal in text are one; differing texts under one id are
-    decided each.  A null text is empty, texts without words are alike.  Texts
-    are compared whole, however long; further columns are kept; an empty table
-    stays empty.
+    """One document of each group of near copies: SimHash fingerprints at most 3 bits apart, or Jaccard similarity of 5-word shingles of 0.8 or more.
+
+    Operator 1's groups come first; the exact search for what lies further
+    apart starts from them, and a group is whatever either links.  The smallest
+    id stays; rows without an id come after all others, by their text's hash.
+    Rows equal in text are one; differing texts under one id are decided each.
+    A null text is empty, texts without words are alike.  Texts are compared
+    whole, however long; further columns are kept; an empty table stays empty.
     """
-    return near_copies.keep_first(docs)
+    return near_copies.keep_first(docs, known=simhash.fingerprint_groups)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

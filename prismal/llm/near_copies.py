@@ -17,11 +17,11 @@ many sets is dealt by pairs of blocks of them.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismal.llm import buckets
@@ -313,14 +313,22 @@ def similar(pairs: DataFrame, sets: DataFrame, share: float, size: int) -> DataF
     return map_rows(pairs.join(ta, "a").join(tb, "b").select("a", "b", "text_a", "text_b"), equal, "src long, dst long")
 
 
-def near_copy_groups(docs: DataFrame, share: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _same_row(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["t"] == b["t"])
+
+
+def near_copy_groups(
+    docs: DataFrame, share: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None
+) -> DataFrame:
     """``doc_id, t, grp`` of rows that are linked to another: by texts of Jaccard similarity ``share`` or more, or by further ones.
 
     Similarity is over the distinct shingles of ``size`` words, ASCII lower-cased
     and parted by white space; a text of fewer words is one shingle, texts without
     words are alike.  ``t`` is the text's XXH64 (a null text as empty), so that
     ``doc_id`` and ``t`` name a row.  Rows equal in id and text count once; rows
-    that are like no other are not returned.
+    that are like no other are not returned.  Rows that ``known`` (``doc_id, t,
+    root``, a written table) has under one root are linked beforehand, and the
+    search goes on from there.
     """
     posted = written(postings(docs, share, size, id_col, text_col), "postings")
     sets = written(sets_of(posted), "sets")
@@ -333,20 +341,38 @@ def near_copy_groups(docs: DataFrame, share: float = 0.8, size: int = 5, id_col:
         return met.join(F.broadcast(side) if few else side, "k")
 
     links, roots = None, None
+    if known is not None:
+        own = sets.select("k", "doc_id", F.xxhash64("text").alias("t"))
+        seeds = written(own.join(known, _same_row(own, known)).select("k", "root"), "seeds")
+        heads = seeds.groupBy("root").agg(F.min("k").alias("head"))
+        links = written(seeds.join(heads, "root").filter("k <> head").select(F.col("k").alias("src"), F.col("head").alias("dst")), "links")
+        roots = links.select(F.col("src").alias("k"), F.col("dst").alias("root"))
     for nearest in [True] * NEAREST_ROUNDS + [False]:
         new = similar(candidates(with_roots(roots), share, nearest), sets, share, size)
         links = written(new if links is None else links.unionByName(new), "links")
         roots = written(connected_components(links), "roots").withColumnRenamed("node", "k")
-    return sets.join(roots, "k").select("doc_id", F.xxhash64("text").alias("t"), F.col("root").alias("grp"))
-
-
-def keep_first(docs: DataFrame, share: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    found = sets.join(roots, "k").select("doc_id", F.xxhash64("text").alias("t"), F.col("root").alias("grp"))
+    if known is None:
+        return found
+    # sets of one root are in one group; its rows that meet none in a shingle follow them
+    found = written(found, "found")
+    both = known.join(found, _same_row(known, found), "full").select(*(F.coalesce(known[c], found[c]).alias(c) for c in ("doc_id", "t")), "root", "grp")
+    both = written(both, "both")
+    whole = both.filter("root is not null").groupBy("root").agg(F.min("grp").alias("_g"))
+    grp = F.coalesce("grp", "_g")
+    return both.join(whole, "root", "left").select("doc_id", "t", F.struct(grp.alias("k"), F.when(grp.isNull(), F.col("root")).alias("root")).alias("grp"))
+
+
+def keep_first(
+    docs: DataFrame, share: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text", known: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """One row of each group of near copies: that with the smallest id; columns stay as they are.
 
     Of rows equal in text the first stays, so repeated rows become one; differing
     texts under one id are decided each by its own group.  Rows without an id
     come after all others, by their text's hash; a null text is an empty one.
-    An empty table stays empty.
+    An empty table stays empty.  ``known`` gives groups of rows found by other
+    means, which the search starts from (``near_copy_groups``).
     """
     own, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
     longest = "_" * max(len(c) for c in docs.columns)
@@ -363,7 +389,8 @@ def keep_first(docs: DataFrame, share: float = 0.8, size: int = 5, id_col: str =
     if copies.filter(F.col(c_again)).limit(1).count():
         again = F.coalesce(F.col(c_again), F.lit(False))
         one = one.filter(~again).unionByName(one.filter(again).dropDuplicates([c_id, c_t, c_u]))
-    groups = near_copy_groups(one.select(own.alias("doc_id"), text.alias("text")), share, size)
+    rows = one.select(own.alias("doc_id"), text.alias("text"))
+    groups = near_copy_groups(rows, share, size, known=known(rows) if known else None)
     groups = written(groups, "groups")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("t"))
     first = groups.groupBy("grp").agg(F.min(order).alias("first"))

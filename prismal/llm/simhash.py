@@ -274,6 +274,21 @@ def simhash_groups(
     )
 
 
+def fingerprint_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, reach: int = 3) -> DataFrame:
+    """``doc_id, t, root`` of rows whose fingerprint's component holds several rows; ``t`` is the text's XXH64.
+
+    Components are those of ``simhash_groups``.  Rows equal in id and text count
+    once; a null id is one of its own; a null text counts as empty.
+    """
+    prints = written(fingerprints(docs, id_col, text_col, size).distinct(), "fingerprints")
+    heads = written(prints.groupBy("fp").agg(F.count("*").alias("n")), "heads")
+    comp = connected_components(near_links(heads.select("fp"), reach))
+    joined = heads.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    several = joined.groupBy("root").agg(F.sum("n").alias("_all")).filter("_all > 1")
+    by_print = written(joined.join(several, "root").select("fp", "root", "n"), "by_print")
+    return written(join_split(prints, by_print, "fp").select("doc_id", "t", "root"), "grouped")
+
+
 def keep_first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, reach: int = 3) -> DataFrame:
     """One row of each group: that with the smallest id; columns stay as they are.
 

@@ -5,6 +5,7 @@ import pytest
 
 import corpus_pipeline
 from prismal.llm import near_copies as N
+from prismal.llm import simhash
 
 DOCS = "doc_id long, text string"
 
@@ -103,6 +104,20 @@ def test_rows_are_decided_by_id_and_text(spark):
     assert N.keep_first(clash).collect() == clash.filter("doc_id = 1").collect() and N.keep_first(clash).schema == clash.schema
 
 
+def test_the_stage_links_fingerprints_and_goes_on_from_them(spark):
+    core, tails = "one two three four five ", [" ".join(f"{x}{i}" for i in range(20)) for x in "ab"]
+    rows = [(1, core * 50 + tails[0]), (2, core * 50 + tails[1]), (3, core + core + tails[1]), (4, "quite another text of seven words"), (None, core * 50 + "c d e f g h i"), (5, None), (6, " ")]
+    docs = spark.createDataFrame(rows, DOCS)
+    # 1 and 2 are alike by fingerprint only, 2 and 3 by shingles only
+    assert firsts(rows[:2]) == {1, 2} and firsts(rows[1:3]) == {2}
+    found = {r.doc_id: r.root for r in simhash.fingerprint_groups(docs).collect()}
+    assert found[1] == found[2] == found[None] and 3 not in found and 4 not in found and found[5] == found[6]
+    assert sorted(r.doc_id for r in N.keep_first(docs).collect() if r.doc_id) == [1, 2, 4, 5]
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5] and kept.schema == docs.schema
+    assert corpus_pipeline.drop_near_copies(spark, docs.filter("doc_id > 9"), "").count() == 0
+
+
 def test_a_hot_shingle_inside_one_bucket_is_split(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 32)
     notice = " ".join(f"notice{i}" for i in range(40))
