@@ -25,8 +25,8 @@ from prismal.session import settled, ship
 #: A Mersenne prime: squares of residues fit 64 bits.
 PRIME = (1 << 31) - 1
 ROUNDS = 6
-#: Labels that a task makes at once.
-CHUNK = 4_000_000
+#: Labels that a task makes at once; making them takes some twenty times their number in bytes of 8.
+CHUNK = 200_000
 #: Labels that a task makes in all.
 TASK = 20_000_000
 PLACE = ("pos", "n", "ones", "z")
@@ -68,8 +68,13 @@ def shuffled(pos: np.ndarray, n: np.ndarray, perms: np.ndarray, seed: int, z: np
 
 
 def labels_of(pos: np.ndarray, n: np.ndarray, ones: np.ndarray, z: np.ndarray, perms: np.ndarray, seed: int) -> np.ndarray:
-    """0/1 labels, rows by shuffles."""
-    return shuffled(pos, n, perms, seed, z) < ones[:, None]
+    """0/1 labels, rows by shuffles; made by stretches of rows, so that only the labels themselves grow with both."""
+    out = np.empty((len(pos), len(perms)), bool)
+    step = max(1, CHUNK // max(1, len(perms)))
+    for at in range(0, len(pos), step):
+        part = slice(at, at + step)
+        out[part] = shuffled(pos[part], n[part], perms, seed, z[part]) < ones[part, None]
+    return out
 
 
 def places(df: DataFrame, group: str, label: str, strata: str | None = None) -> DataFrame:

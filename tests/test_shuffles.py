@@ -178,3 +178,16 @@ def test_refits_of_nothing(data):
     assert X.refit_null(df.limit(0), "x", "y", "g", "fold", "plsda", 3).first().auroc is None
     with pytest.raises(ValueError, match="no refits"):
         X.refit_null(df, "x", "y", "g", "fold", "boosting")
+
+
+def test_labels_of_many_rows_and_shuffles_take_little_beyond_themselves():
+    import tracemalloc
+
+    n = 4000
+    columns = np.arange(n), np.full(n, 3 * n), np.full(n, n), np.zeros(n, np.int64)
+    tracemalloc.start()
+    drawn = S.labels_of(*columns, np.arange(1000), 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    assert (drawn == (S.shuffled(*columns[:2], np.arange(1000), 3) < n)).all()
