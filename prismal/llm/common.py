@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import os
 import tempfile
 import uuid
@@ -16,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from prismal import session
+from prismal.session import release  # noqa: F401
 
 _paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
@@ -148,13 +147,6 @@ def map_rows(
     return df.mapInArrow(run, schema)
 
 
-def release() -> None:
-    """Give freed memory of this Python worker back to the system: workers live on between tasks and stages."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # another C library
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-
-
 def slices(batch: pa.RecordBatch, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch of at most ``max_bytes`` each, or one row."""
     n = batch.num_rows

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismal.functions import arrays as A
-from prismal.session import settled, ship
+from prismal.session import release, settled, ship
 
 #: Bytes of vectors in a block.
 BLOCK_BYTES = 8 << 20
@@ -25,8 +25,8 @@ BLOCK_BYTES = 8 << 20
 PIVOTS, ROWS_A_PIVOT = 256, 500
 #: Sampled rows, and the share of cells that they may visit for the cells to be worth their guests; results are the same.
 SAMPLE, WORTH = 256, 0.3
-#: Rows whose products with a block are formed at once.
-STRIP = 512
+#: Rows of the left and of the right side whose products are formed at once.
+STRIP, TILE = 512, 1024
 
 
 def matrix(column) -> np.ndarray:
@@ -36,7 +36,8 @@ def matrix(column) -> np.ndarray:
     if not len(column):
         return np.zeros((0, 0))
     x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(float)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-30)
+    return x
 
 
 def _rows(df: DataFrame, vector: str, id_col: str) -> DataFrame:
@@ -145,12 +146,12 @@ def _prepared(left: DataFrame, right: DataFrame, vector: str, id_col: str, least
     return guests, home.drop("far")
 
 
-def _products(left: pa.Table, right: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(left ids, right ids, cosines) by strips of left rows."""
+def _products(left: pa.Table, right: pa.Table) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """(left rows, right rows, cosines) by strips of left rows and, within, tiles of right ones."""
     x, y = matrix(left["x"]), matrix(right["x"])
-    li, ri = left["id"].to_numpy(), right["id"].to_numpy()
     for at in range(0, len(x), STRIP):
-        yield li[at : at + STRIP], ri, x[at : at + STRIP] @ y.T
+        for to in range(0, len(y), TILE):
+            yield slice(at, at + STRIP), slice(to, to + TILE), x[at : at + STRIP] @ y[to : to + TILE].T
 
 
 def near_pairs(left: DataFrame, right: DataFrame, vector: str, id_col: str, least: float = 0.98, max_share: float | None = None) -> DataFrame:
@@ -165,9 +166,11 @@ def near_pairs(left: DataFrame, right: DataFrame, vector: str, id_col: str, leas
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if a.num_rows and b.num_rows:
+            li, ri = a["id"].to_numpy(), b["id"].to_numpy()
             for i, j, s in _products(a, b):
                 y, x = np.nonzero(s >= least - 1e-12)
-                out.append((i[y], j[x], s[y, x]))
+                out.append((li[i][y], ri[j][x], s[y, x]))
+        release()
         return pa.table(dict(zip(("left_id", "right_id", "sim"), map(np.concatenate, zip(*out)))))
 
     return in_blocks(guests, home, compare, "left_id long, right_id long, sim double")[0]
@@ -178,11 +181,13 @@ def link_counts(df: DataFrame, vector: str, id_col: str, least: float, max_share
     guests, home = _prepared(df, df, vector, id_col, least, max_share)
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        if a.num_rows and b.num_rows:
+        li, ri = a["id"].to_numpy(), b["id"].to_numpy()
+        n = np.zeros(len(li), np.int64)
+        if len(li) and len(ri):
             for i, j, s in _products(a, b):
-                out.append((i, ((s >= least - 1e-12) & (i[:, None] != j[None, :])).sum(1)))
-        return pa.table(dict(zip(("id", "n"), map(np.concatenate, zip(*out)))))
+                n[i] += ((s >= least - 1e-12) & (li[i, None] != ri[None, j])).sum(1)
+        release()
+        return pa.table({"id": li, "n": n})
 
     counts = in_blocks(guests, home, compare, "id long, n long")[0].groupBy("id").agg(F.sum("n").alias("n_links"))
     return _rows(df, vector, id_col).select("id").join(counts, "id", "left").fillna(0, ["n_links"])
@@ -196,17 +201,21 @@ def nearest(queries: DataFrame, base: DataFrame, vector: str, id_col: str, k: in
     one = lambda df, name: settled(_rows(df, vector, id_col).withColumn("cell", F.lit(0)), name)
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        if a.num_rows and b.num_rows:
-            b = b.sort_by("id")
+        b = b.sort_by("id")
+        li, ri = a["id"].to_numpy(), b["id"].to_numpy()
+        sims, found = np.full((len(li), k), -np.inf), np.zeros((len(li), k), np.int64)
+        if len(li) and len(ri):
             for i, j, s in _products(a, b):
-                s = np.round(s, 12)
-                s[i[:, None] == j[None, :]] = -np.inf
-                # columns stand by id, so a stable order breaks ties
+                np.round(s, 12, out=s)
+                s[li[i, None] == ri[None, j]] = -np.inf
+                # columns stand by id, those found before first, so a stable order breaks ties
                 top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                v = np.take_along_axis(s, top, 1)
-                y, x = np.nonzero(v > -np.inf)
-                out.append((i[y], j[top[y, x]], v[y, x]))
-        return pa.table(dict(zip(("query_id", "id", "sim"), map(np.concatenate, zip(*out)))))
+                v = np.hstack([sims[i], np.take_along_axis(s, top, 1)])
+                ids = np.hstack([found[i], ri[j][top]])
+                top = np.argsort(-v, axis=1, kind="stable")[:, :k]
+                sims[i], found[i] = np.take_along_axis(v, top, 1), np.take_along_axis(ids, top, 1)
+        y, x = np.nonzero(sims > -np.inf)
+        release()
+        return pa.table({"query_id": li[y], "id": found[y, x], "sim": sims[y, x]})
 
     return in_blocks(one(queries, "queries"), one(base, "base"), best, "query_id long, id long, sim double")[0]

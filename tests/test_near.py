@@ -50,3 +50,34 @@ def test_nothing_passes_the_driver_and_empty_sides(clusters, monkeypatch):
     assert "FlatMapCoGroupsInArrow" in plan and "LocalTableScan" not in plan
     assert N.near_pairs(df.limit(0), df, "v", "id", 0.9).count() == 0 == N.near_pairs(df, df.limit(0), "v", "id", 0.9).count()
     assert N.nearest(df, df.limit(0), "v", "id", 3).count() == 0
+
+
+def test_a_pair_of_blocks_takes_little_beyond_its_rows(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    taken = {}
+    for fn in ("link_counts", "nearest"):
+        monkeypatch.setattr(N, "in_blocks", lambda a, b, compare, schema: taken.__setitem__("compare", compare) or 1 / 0)
+        monkeypatch.setattr(N, "_prepared", lambda *_: (None, type("Home", (), {"drop": lambda *_: None})()))
+        monkeypatch.setattr(N, "_rows", lambda *_: type("Rows", (), {"withColumn": lambda *_: None})())
+        monkeypatch.setattr(N, "settled", lambda df, _: df)
+        monkeypatch.setattr(N, "F", type("F", (), {"lit": staticmethod(lambda _: None)}))
+        with pytest.raises(ZeroDivisionError):
+            N.link_counts(None, "x", "id", 0.4) if fn == "link_counts" else N.nearest(None, None, "x", "id", 5)
+        n, rng = 8192, np.random.default_rng(1)
+        half = [pa.table({"id": np.arange(o, o + m), "x": pa.ListArray.from_arrays(pa.array(np.arange(0, 16 * m + 1, 16), pa.int32()), pa.array(rng.normal(size=16 * m)))}) for o, m in ((0, 600), (300, n))]
+        tracemalloc.start()
+        out = taken["compare"](*half)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 32 << 20
+        x, y = (N.matrix(t["x"]) for t in half)
+        s = np.round(x @ y.T, 12)
+        s[np.arange(600)[:, None] == np.arange(300, 300 + n)] = -np.inf
+        if fn == "link_counts":
+            assert out["n"].to_pylist() == (s >= 0.4 - 1e-12).sum(1).tolist()
+        else:
+            want = 300 + np.argsort(-s, axis=1, kind="stable")[:, :5]
+            assert np.array_equal(out["id"].to_numpy().reshape(600, 5), want)
