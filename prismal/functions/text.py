@@ -71,7 +71,13 @@ def raster(peaks: Column, lo: float, hi: float, width: float = 10.0) -> Column:
     """Largest intensity in each bin, at least 0; bins open to the right, outliers in the first or last bin."""
     n = max(1, round((hi - lo) / width))
     at = lambda p: F.least(F.greatest(F.floor((p["position"] - lo) / width), F.lit(0)), F.lit(n - 1))
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.aggregate(F.filter(peaks, lambda p: at(p) == k), F.lit(0.0), lambda m, p: F.greatest(m, p["intensity"])))
+    binned = F.transform(peaks, lambda p: F.struct(at(p).alias("k"), p["intensity"].alias("v")))
+
+    def bins(z: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.aggregate(F.filter(z, lambda p: p["k"] == k), F.lit(0.0), lambda m, p: F.greatest(m, p["v"])))
+
+    # an array of one binds the peaks, which else were made again for every bin
+    return F.get(F.transform(F.array(binned), bins), F.lit(0))
 
 
 TOKEN = r"\d|[A-Za-z]+|\s+|[^\sA-Za-z\d]"

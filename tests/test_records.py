@@ -210,3 +210,12 @@ def test_controls_template_and_exit_code(spark):
     leaks = Q.legacy_leaks(spark.createDataFrame([("a", "smiles"), ("b", "x")], "id string, t string"), {"smiles": F.contains("t", F.lit("smiles"))})
     assert [(r.id, r.leaks) for r in leaks.collect()] == [("a", "smiles")]
     assert X.label_terms(["Tyr", "x", None]) == ["tyr"]
+
+
+def test_a_raster_makes_its_peaks_once(spark):
+    # a peak in a random place fills one bin only if it is not drawn again for every bin
+    peak = F.struct((500 + 1250 * F.rand(1)).alias("position"), F.lit(1.0).alias("intensity"))
+    v = spark.range(50).select(X.raster(F.array(peak), 500.0, 1750.0).alias("v")).collect()
+    assert all(sum(r.v) == 1 and len(r.v) == 125 for r in v)
+    nulls = spark.range(1).select(X.raster(F.lit(None).cast("array<struct<position:double,intensity:double>>"), 0.0, 20.0).alias("v")).first()
+    assert nulls.v == [None, None]
