@@ -7,9 +7,12 @@ operators aggregate it by key.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -22,6 +25,7 @@ from prismal.operators import refits as X
 from prismal.operators import resample as R
 from prismal.operators import shuffles as H
 from prismal.operators.subsets import subset_metrics
+from prismal.session import ship
 
 
 @dataclass
@@ -189,6 +193,37 @@ def _centroid_directions(rows: DataFrame, labels: DataFrame, vector: str, label:
     return both.select("perm", folds, A.minus(part("a"), part("b")).alias("w")), centre
 
 
+#: Scores that a task makes at once.
+CHUNK = 250_000
+
+
+def _directed(rows: DataFrame, w: DataFrame, first: int, n: int) -> DataFrame:
+    """``perm, y, score`` of every row of ``_f, u, y`` (a label a shuffle) by the directions ``perm, _f, w`` of its fold; 0 without one."""
+    ship(rows.sparkSession)
+    found: dict[str, dict[int, np.ndarray]] = {}
+    for r in w.toLocalIterator():
+        if r.w is not None and None not in r.w:
+            found.setdefault(r._f, {})[r.perm - first] = np.array(r.w)
+    sent = rows.sparkSession.sparkContext.broadcast({f: (np.array(list(at)), np.array(list(at.values()))) for f, at in found.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, max(1, CHUNK // n)):
+                part = batch.slice(k, max(1, CHUNK // n))
+                fold, known = np.array(part.column(0).to_pylist()), part.column(1).is_valid().to_numpy(zero_copy_only=False)
+                score = np.zeros((part.num_rows, n))
+                for f, (at, directions) in sent.value.items():
+                    own = np.flatnonzero((fold == f) & known)
+                    if len(own):
+                        u = part.column(1).take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
+                        score[np.ix_(own, at)] = np.nan_to_num(np.round(u @ directions.T, 12), nan=0.0, posinf=np.inf, neginf=-np.inf)
+                y = part.column(2).flatten()
+                perm = np.tile(np.arange(first, first + n, dtype=np.int32), part.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(perm), y, pa.array(score.ravel())], ["perm", "y", "score"])
+
+    return rows.mapInArrow(run, "perm int, y double, score double")
+
+
 def refit_permutation(
     rows: DataFrame, vector: str, label: str, group: str, folds: str, ctx: Context, strata: str | None = None, model: str = "centroid",
     hyper: float | None = None, id_col: str = "id",
@@ -213,10 +248,11 @@ def refit_permutation(
     for first in range(-1, ctx.n_perm, step):
         some = labels.filter((F.col("perm") >= first) & (F.col("perm") < first + step))
         w, c = _centroid_directions(rows, some, vector, label, group, folds)
-        seen = rows.join(F.broadcast(c), folds).select(group, folds, A.unit(A.minus(A.doubles(F.col(vector)), F.col("c"))).alias("u"))
-        scored = seen.join(some, group).join(F.broadcast(w), ["perm", folds], "left")
-        score = F.coalesce(F.round(A.dot(F.col("u"), F.col("w")), 12), F.lit(0.0))
-        areas.append(M.auroc(scored.select("perm", F.col(label).cast("double").alias("y"), score.alias("score")), "y", "score", "perm"))
+        seen = rows.join(F.broadcast(c), folds).select(group, F.col(folds).cast("string").alias("_f"), A.unit(A.minus(A.doubles(F.col(vector)), F.col("c"))).alias("u"))
+        drawn = some.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("perm", F.col(label).cast("double").alias("y")))).alias("_y"))
+        both = seen.join(drawn, group).select("_f", "u", F.transform("_y", lambda s: s["y"]).alias("y"))
+        scored = _directed(both, w.select("perm", F.col(folds).cast("string").alias("_f"), "w"), first, min(ctx.n_perm, first + step) - first)
+        areas.append(M.auroc(scored, "y", "score", "perm"))
     found = reduce(lambda a, b: a.unionByName(b), areas)
     real = F.max(F.when(F.col("perm") < 0, F.col("auroc")))
     one = found.agg(real.alias("auroc"), F.collect_list(F.when(F.col("perm") >= 0, F.col("auroc"))).alias("null"))

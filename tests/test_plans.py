@@ -199,3 +199,10 @@ def test_registration_survives_without_the_optional_parts():
         assert set(e.oracle_sql()) <= set(e.queries())
     """)
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
+def test_rows_meet_all_directions_of_their_fold_in_a_batch(spark):
+    rows = spark.createDataFrame([("0", [1.0, 0.0], [1.0, 0.0]), ("1", [0.0, 1.0], [0.0, 0.0]), ("2", [1.0, 1.0], [1.0, 1.0]), ("0", None, [0.0, 1.0])], "_f string, u array<double>, y array<double>")
+    w = spark.createDataFrame([(-1, "0", [2.0, 3.0]), (0, "0", [4.0, 5.0]), (0, "1", [6.0, 7.0]), (-1, "1", None)], "perm int, _f string, w array<double>")
+    got = sorted((r.perm, r.y, r.score) for r in X._directed(rows, w, -1, 2).collect())
+    assert got == sorted([(-1, 1.0, 2.0), (0, 0.0, 4.0), (-1, 0.0, 0.0), (0, 0.0, 7.0), (-1, 1.0, 0.0), (0, 1.0, 0.0), (-1, 0.0, 0.0), (0, 1.0, 0.0)])
