@@ -25,6 +25,11 @@ from prismal.session import ship
 BLOCK = 1_000_000
 MEMORY = 8
 
+#: Numbers that a step of a pass holds in each of its matrices, rows by label columns: they stay in a core's cache.
+STEP = 500_000
+#: Rows that products with label columns take at once.
+STRIP = 1000
+
 #: From a batch's label columns to a matrix of 0 and 1, rows by label columns.
 Labels = Callable[[list[np.ndarray]], np.ndarray]
 
@@ -35,24 +40,31 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(float, copy=False) if len(column) else np.zeros((0, 0))
 
 
-def summed(rows: DataFrame, fn: Callable[[pa.RecordBatch], dict[int, np.ndarray]]) -> dict[int, np.ndarray]:
-    """Sums over all rows of the matrices that ``fn`` gives for a batch, by their number; added up in every task, then by row of a matrix on executors."""
+def summed(rows: DataFrame, fn: Callable[[pa.RecordBatch], dict[int, np.ndarray]], strip: int | None = None) -> dict[int, np.ndarray]:
+    """Sums over all rows of the matrices that ``fn`` gives for a batch, by their number; added up in every task, then by row of a matrix on executors.
+
+    ``fn`` is given ``strip`` rows at a time, or whole batches.
+    """
     ship(rows.sparkSession)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            if batch.num_rows:
-                for k, m in fn(batch).items():
-                    total[k] = total[k] + m if k in total else m
+            for at in range(0, batch.num_rows, strip or max(1, batch.num_rows)):
+                for k, m in fn(batch.slice(at, strip or batch.num_rows)).items():
+                    if k in total:
+                        total[k] += m
+                    else:
+                        total[k] = m
         for k, m in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(m), pa.int32()), pa.array(range(len(m)), pa.int32()), pa.array(list(m), pa.list_(pa.float64()))], ["m", "i", "v"])
+            lists = pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32), np.ravel(m))
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(m), pa.int32()), pa.array(range(len(m)), pa.int32()), lists], ["m", "i", "v"])
 
     sums = rows.mapInArrow(add, "m int, i int, v array<double>").groupBy("m", "i").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
-    found: dict[int, list] = {}
-    for r in sums.orderBy("m", "i").toLocalIterator():
-        found.setdefault(r.m, []).append(r.v)
-    return {k: np.array(v) for k, v in found.items()}
+    # parameters only: the sums of a block
+    found = sums.toArrow().sort_by([("m", "ascending"), ("i", "ascending")])
+    number = found["m"].to_numpy()
+    return {int(k): matrix(found.filter(pa.array(number == k))["v"].combine_chunks()) for k in np.unique(number)}
 
 
 # ---------------------------------------------------------------- PLS from cross products
@@ -87,6 +99,41 @@ def pls_from_sums(n: float, sx: np.ndarray, sy: np.ndarray, xx: np.ndarray, xy:
     return mx, inv[:, None] * coef, my
 
 
+def pls_of_two(n: float, sx: np.ndarray, ones: np.ndarray, xx: np.ndarray, xy: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(mean of x, coefficients of class 1) of ``pls_from_sums`` on both classes, for all 0/1 label columns at once.
+
+    The centred columns of the two classes are opposite, so X'Y has one direction
+    and needs no singular vectors.  A column of one class only has coefficients 0.
+    """
+    mx = sx / n
+    cov = xx - np.outer(sx, mx)
+    sd = np.sqrt(np.maximum(np.diag(cov), 0) / max(1.0, n - 1)) if n > 1 else np.ones(len(sx))
+    use = sd > 1e-12
+    inv = np.where(use, 1 / np.where(use, sd, 1), 0.0)
+    e, f = cov * np.outer(inv, inv), (xy - np.outer(sx, ones / n)) * inv[:, None]
+    coef, rs, ps = np.zeros_like(f), [], []
+    scale = np.sqrt(2 * (f * f).sum(0))
+    live = (ones > 0) & (ones < n)
+    for _ in range(min(k, int(use.sum()), max(1, int(n) - 1))):
+        size = np.sqrt((f * f).sum(0))
+        live = live & (np.sqrt(2) * size > 1e-12 * np.maximum(1.0, scale))
+        u = np.where(live, f / np.where(live, size, 1.0), 0.0)
+        r = u.copy()
+        for p, old in zip(ps, rs):
+            r -= (p * u).sum(0) * old
+        er = e @ r
+        t = (r * er).sum(0)
+        live = live & (t > 1e-12)
+        if not live.any():
+            break
+        inverse = np.where(live, 1 / np.where(live, t, 1.0), 0.0)
+        p, q = er * inverse, (f * r).sum(0) * inverse
+        f = f - t * p * q
+        coef += r * q
+        rs.append(r), ps.append(p)
+    return mx, inv[:, None] * coef
+
+
 def cross_products(rows: DataFrame, labels: Labels, folds: int = 1) -> tuple[np.ndarray, dict[int, tuple]]:
     """A pivot near the mean, and for each fold (n, sum x, sum y, X'X, X'Y) of its own rows, x less the pivot.
 
@@ -109,7 +156,7 @@ def cross_products(rows: DataFrame, labels: Labels, folds: int = 1) -> tuple[np.
 
     d = len(pivot)
     out = {}
-    for f, m in summed(rows, fn).items():
+    for f, m in summed(rows, fn, STRIP).items():
         out[f] = (m[0, 0], m[0, 1 : d + 1], m[0, d + 1 :], m[1:, 1 : d + 1], m[1:, d + 1 :])
     return pivot, out
 
@@ -170,6 +217,11 @@ def _quasi_newton(value: Callable, width: int, columns: int, passes: int, tol: f
     return x, done, len(live)
 
 
+def _log_products(m: np.ndarray) -> np.ndarray:
+    """Sums over rows of the logarithms of numbers from 1 to 2, by products that stay below 2^1000."""
+    return sum((np.log(np.multiply.reduce(m[at : at + 1000], axis=0)) for at in range(0, len(m), 1000)), np.zeros(m.shape[1]))
+
+
 def joint_logistic(
     rows: DataFrame, labels: Labels, strengths: np.ndarray, folds: int = 1, passes: int = 200, tol: float = 1e-7, floor: float = 1e-6, within: bool = False
 ) -> Joint:
@@ -230,15 +282,28 @@ def joint_logistic(
                 if not len(here) or not len(seen):
                     continue
                 col = some[here] % columns
-                z, y = (x[seen] - mean[f]) / dev[f], y_all[np.ix_(seen, col)]
-                s = z @ w[:-1, here] + w[-1, here]
-                weight = np.where(y, heavy[0][f, col], heavy[1][f, col])
-                loss = weight * (np.logaddexp(0, s) - y * s)
-                pull = weight * (0.5 * (1 + np.tanh(s / 2)) - y)
-                out[f] = np.vstack([z.T @ pull, pull.sum(0), loss.sum(0)])
+                z = (x[seen] - mean[f]) / dev[f]
+                y = y_all[seen] if len(col) == columns else y_all[np.ix_(seen, col)]
+                high, low = heavy[0][f, col], heavy[1][f, col]
+                # matrices are large, so most steps are in place
+                way, pull = np.where(y, 1.0, -1.0), np.where(y, -high, low)
+                margin = z @ w[:-1, here]
+                margin += w[-1, here]
+                margin *= way
+                e = np.abs(margin)
+                np.exp(np.negative(e, out=e), out=e)
+                more = e + 1
+                # a label's loss is log(1 + exp(-margin)); a class has one weight, so its logarithms are one of a product
+                every, one = _log_products(more), _log_products(np.where(y, more, 1.0))
+                np.copyto(e, 1.0, where=margin <= 0)
+                way *= pull
+                loss = low * (every - one) + high * one + np.einsum("ij,ij->j", way, np.minimum(margin, 0, out=margin))
+                e /= more
+                pull *= e
+                out[f] = np.vstack([z.T @ pull, pull.sum(0), loss])
             return out
 
-        got = summed(rows, fn)
+        got = summed(rows, fn, max(512, STEP // columns))
         sent.unpersist()
         out = np.zeros((width + 2, len(which)))
         for f, m in got.items():

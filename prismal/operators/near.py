@@ -10,6 +10,7 @@ pair of blocks is a task of its own, and compares its rows by matrix products.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,10 @@ PIVOTS, ROWS_A_PIVOT = 256, 500
 SAMPLE, WORTH = 256, 0.3
 #: Rows of the left and of the right side whose products are formed at once.
 STRIP, TILE = 512, 1024
+#: Share of a tile's products above which they are formed anew in 8-byte numbers, and products that are formed one by one at once.
+SPARSE, MANY = 1 / 32, 10_000
+#: A cosine that exceeds another by less is equal at 12 decimals or nearly so; rows come by id, so a later one that ties does not enter.
+TIE = 4e-13
 
 
 def matrix(column) -> np.ndarray:
@@ -40,8 +45,8 @@ def matrix(column) -> np.ndarray:
     return x
 
 
-def _rows(df: DataFrame, vector: str, id_col: str) -> DataFrame:
-    return df.filter(F.col(id_col).isNotNull() & F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), A.doubles(F.col(vector)).alias("x"))
+def _rows(df: DataFrame, vector: str, id_col: str, *carry: str) -> DataFrame:
+    return df.filter(F.col(id_col).isNotNull() & F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), A.doubles(F.col(vector)).alias("x"), *carry)
 
 
 def pivots(rows: DataFrame) -> np.ndarray:
@@ -193,29 +198,73 @@ def link_counts(df: DataFrame, vector: str, id_col: str, least: float, max_share
     return _rows(df, vector, id_col).select("id").join(counts, "id", "left").fillna(0, ["n_links"])
 
 
-def nearest(queries: DataFrame, base: DataFrame, vector: str, id_col: str, k: int) -> DataFrame:
+def _sides(queries: DataFrame, base: DataFrame, vector: str, id_col: str, apart: str | None) -> tuple[DataFrame, DataFrame]:
+    """Written queries and base rows ``id, x, cell``: one cell, or with ``apart`` one a value, which the base rows of all others visit."""
+    if not apart:
+        one = lambda df, name: settled(_rows(df, vector, id_col).withColumn("cell", F.lit(0)), name)
+        return one(queries, "queries"), one(base, "base")
+    two = lambda df, name: settled(_rows(df.filter(F.col(apart).isNotNull()).withColumn("_side", F.col(apart).cast("string")), vector, id_col, "_side"), name)
+    left, right = two(queries, "queries"), two(base, "base")
+    names = F.array(*(F.lit(r[0]) for r in left.select("_side").distinct().orderBy("_side").collect())).cast("array<string>")
+    spot = lambda c: F.array_position(names, c).cast("int")
+    others = F.transform(F.filter(names, lambda c: c != F.col("_side")), spot)
+    return left.select("id", "x", spot(F.col("_side")).alias("cell")), right.select("id", "x", F.explode(others).alias("cell"))
+
+
+def nearest(queries: DataFrame, base: DataFrame, vector: str, id_col: str, k: int, apart: str | None = None) -> DataFrame:
     """``query_id, id, sim``: at least the ``k`` nearest base rows of every query, itself left out; a block gives ``k`` at most.
 
-    Cosines are rounded to 12 decimals, ties go to the smaller id.
+    Cosines are rounded to 12 decimals, ties go to the smaller id.  With
+    ``apart``, a column of few values, rows that share its value (or have none)
+    do not meet.  A tile of products gives what passes a query's k-th so far, so
+    that little is sorted.
     """
-    one = lambda df, name: settled(_rows(df, vector, id_col).withColumn("cell", F.lit(0)), name)
+    left, right = _sides(queries, base, vector, id_col, apart)
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
         b = b.sort_by("id")
-        li, ri = a["id"].to_numpy(), b["id"].to_numpy()
+        # a vector with NaN has no cosine
+        (li, x), (ri, y) = ((t["id"].to_numpy()[ok], u[ok]) for t, u, ok in ((t, u, np.isfinite(u).all(1)) for t, u in ((t, matrix(t["x"])) for t in (a, b))))
         sims, found = np.full((len(li), k), -np.inf), np.zeros((len(li), k), np.int64)
-        if len(li) and len(ri):
-            for i, j, s in _products(a, b):
-                np.round(s, 12, out=s)
-                s[li[i, None] == ri[None, j]] = -np.inf
-                # columns stand by id, those found before first, so a stable order breaks ties
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                v = np.hstack([sims[i], np.take_along_axis(s, top, 1)])
-                ids = np.hstack([found[i], ri[j][top]])
-                top = np.argsort(-v, axis=1, kind="stable")[:, :k]
-                sims[i], found[i] = np.take_along_axis(v, top, 1), np.take_along_axis(ids, top, 1)
-        y, x = np.nonzero(sims > -np.inf)
+        small, other = x.astype(np.float32), y.astype(np.float32)
+        # what products of 4-byte numbers may be off by, twice over
+        off = (x.shape[1] + 4) * 1.2e-7
+        for i in range(0, len(x), STRIP):
+            # a first tile sets bounds, few of its columns where all tie
+            for j, to in pairwise([0, *range(STRIP, len(y), 2 * TILE), len(y)]) if len(y) else ():
+                own, there = slice(i, i + STRIP), slice(j, to)
+                row, col = _passing(small[own] @ other[there].T, sims[own, -1], off, k)
+                if len(row) > SPARSE * len(x[own]) * len(y[there]):
+                    # many are alike: exact products tell which of them tie
+                    row, col = _passing(x[own] @ y[there].T, sims[own, -1] + TIE, 0.0, k)
+                row, col = row + i, col + j
+                v = np.concatenate([np.zeros(0), *(np.round(np.einsum("ij,ij->i", x[row[n : n + MANY]], y[col[n : n + MANY]]), 12) for n in range(0, len(row), MANY))])
+                new = (v > sims[row, -1]) & (li[row] != ri[col])
+                if new.any():
+                    _entered(sims, found, row[new], v[new], ri[col[new]])
+        query, place = np.nonzero(sims > -np.inf)
         release()
-        return pa.table({"query_id": li[y], "id": found[y, x], "sim": sims[y, x]})
-
-    return in_blocks(one(queries, "queries"), one(base, "base"), best, "query_id long, id long, sim double")[0]
+        return pa.table({"query_id": li[query], "id": found[query, place], "sim": sims[query, place]})
+
+    return in_blocks(left, right, best, "query_id long, id long, sim double")[0]
+
+
+def _passing(s: np.ndarray, least: np.ndarray, off: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the products that may be among their row's ``k`` largest, which lie above ``least`` so far; products are off by ``off`` at most."""
+    if np.isneginf(least).any() and s.shape[1] > k + 1:
+        # one more than k, as a row may meet itself
+        least = np.maximum(least, np.partition(s, -k - 1, axis=1)[:, -k - 1] - off - 1e-11)
+    at = np.flatnonzero(s >= (least - off).astype(s.dtype)[:, None])
+    return at // s.shape[1], at % s.shape[1]
+
+
+def _entered(sims: np.ndarray, found: np.ndarray, row: np.ndarray, v: np.ndarray, ids: np.ndarray) -> None:
+    """Put values into the rows' best, in place: the largest first, ties by id; empty places are minus infinity."""
+    k = sims.shape[1]
+    some = np.unique(row)
+    row = np.concatenate([np.repeat(some, k), row])
+    v, ids = np.concatenate([sims[some].ravel(), v]), np.concatenate([found[some].ravel(), ids])
+    order = np.lexsort((ids, -v, row))
+    starts = np.searchsorted(row[order], some)
+    top = order[starts[:, None] + np.arange(k)]
+    sims[some], found[some] = v[top], ids[top]

@@ -3,7 +3,8 @@
 A shuffle is one more label column of the same rows: what a model needs is
 computed for all columns at once.  Logistic columns share every pass; PLS columns
 share X'X of a fold and differ in X'Y; neighbours do not depend on labels and are
-searched once.  Only the scores meet the number of shuffles.
+searched once.  Only the scores meet the number of shuffles, as arrays, and are
+put in order by stretches of each shuffle's scores.
 """
 
 from __future__ import annotations
@@ -16,59 +17,123 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from prismal.functions import arrays as A
 from prismal.operators import linear as L
-from prismal.operators import metrics as M
 from prismal.operators import shuffles as S
 from prismal.operators import vectors as V
-from prismal.session import settled, ship
+from prismal.session import release, settled, ship
 
 #: Strength, components and neighbours where none are given.
 HYPER = {"logistic": 0.1, "plsda": 10, "knn": 5}
-LABELS = ("y", *S.PLACE)
+#: Shuffles, whole bytes of labels, whose scores a task holds at once.
+STRETCH = 64
+#: Labels, rows by shuffles, of a task in every pass.
+TASK = 20_000_000
+#: Scores of a shuffle that are put in order at once, and rows sampled to cut them there; areas are the same wherever they are cut.
+RANGE, SAMPLE = 200_000, 2000
 
 
-def _columns(first: int, last: int, seed: int) -> L.Labels:
-    """Label columns of the shuffles ``first`` to ``last - 1``; -1 is the true one."""
-    perms = np.arange(max(0, first), last)
+def _labels(n: int) -> L.Labels:
+    """Label columns out of the bytes that hold them."""
+    return lambda columns: np.unpackbits(S.packed(pa.array(columns[0], pa.binary()), n), axis=1, count=n).view(bool)
 
-    def labels(columns: list[np.ndarray]) -> np.ndarray:
-        y, pos, n, ones, z = columns
-        drawn = S.labels_of(pos, n, ones, z, perms, seed)
-        return np.column_stack([y > 0, drawn]) if first < 0 else drawn
 
-    return labels
+def _part(packed: np.ndarray, at: int, n: int) -> np.ndarray:
+    """Labels ``at`` to ``at + n - 1`` of every row."""
+    return np.unpackbits(packed[:, at // 8 : -(-(at + n) // 8)], axis=1, count=n)
 
 
-def _exploded(rows: DataFrame, score, labels: L.Labels, first: int) -> DataFrame:
-    """``perm, y, score``: ``score(batch)`` against the labels, a row each."""
+def _levels(s: np.ndarray, y: np.ndarray, cuts: np.ndarray, first: int) -> pa.RecordBatch:
+    """``perm, cut, s, ones, zeros``: distinct scores of every shuffle (row) in order, by stretch between its cuts, with the rows of either label.
+
+    Lists go as bytes, which Spark moves whole instead of by number.
+    """
+    order = s.argsort(axis=1)
+    s, y = np.take_along_axis(s, order, 1), np.take_along_axis(y, order, 1)
+    new = np.ones(s.shape, bool)
+    new[:, 1:] = s[:, 1:] != s[:, :-1]
+    starts = np.flatnonzero(new)
+    ones = np.add.reduceat(y.ravel(), starts, dtype=np.int32)
+    zeros = np.diff(np.append(starts, s.size)).astype(np.int32) - ones
+    s, ends = s.ravel()[starts], np.cumsum(new.sum(1))
+    stretches = cuts.shape[0] + 1
+    inner = np.empty((len(ends), stretches), np.int64)
+    inner[:, -1] = ends
+    for j, (at, to) in enumerate(zip([0, *ends[:-1]], ends)) if len(cuts) else ():
+        inner[j, :-1] = at + np.searchsorted(s[at:to], cuts[:, j], side="right")
+    ends = np.concatenate([[0], inner.ravel()])
+    perm = np.repeat(np.arange(first, first + len(inner), dtype=np.int32), stretches)
+    cut = np.tile(np.arange(stretches, dtype=np.int32), len(inner))
+    lists = (pa.BinaryArray.from_buffers(pa.binary(), len(perm), [None, pa.py_buffer((ends * v.itemsize).astype(np.int32)), pa.py_buffer(v)]) for v in (s, ones, zeros))
+    return pa.RecordBatch.from_arrays([pa.array(perm), pa.array(cut), *lists], ["perm", "cut", "s", "ones", "zeros"])
+
+
+def _pairs(key: tuple, table: pa.Table) -> pa.Table:
+    """What a stretch of a shuffle's scores adds to its area: pairs in order within, ties at half, and the rows of either label."""
+    s, ones, zeros = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("s", np.float64), ("ones", np.int32), ("zeros", np.int32)))
+    order = np.argsort(s, kind="stable")  # sorted runs, which this merges
+    # NaN stands last and has no rank
+    order = order[: len(order) - np.isnan(s).sum()]
+    s, ones, zeros = s[order], ones[order].astype(float), zeros[order].astype(float)
+    if len(s):
+        starts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+        ones, zeros = np.add.reduceat(ones, starts), np.add.reduceat(zeros, starts)
+    u = float(ones @ (np.cumsum(zeros) - zeros / 2))
+    return pa.table({"perm": pa.array([key[0].as_py()], pa.int32()), "cut": pa.array([key[1].as_py()], pa.int32()), "u": [u], "ones": [ones.sum()], "zeros": [zeros.sum()]})
+
+
+def _areas(rows: DataFrame, score, first: int, last: int) -> DataFrame:
+    """``perm, auroc`` of the shuffles ``first`` to ``last - 1``: ``score(batch)`` gives scores of a stretch of shuffles against the labels in ``bits``.
+
+    Tasks put their rows' scores in order; what is shuffled is a list a shuffle and
+    batch, cut by score, and each cut is put in order by itself.
+    """
     ship(rows.sparkSession)
+    n = rows.count()
+    stretches = max(1, -(-n // RANGE))
+    cuts = np.zeros((0, last - first))
+    if stretches > 1:
+        some = [score(b)(0, last - first) for b in rows.sample(False, min(1.0, SAMPLE / n), 0).toArrow().to_batches() if b.num_rows]
+        if some:
+            cuts = np.quantile(np.round(np.vstack(some), 12), np.arange(1, stretches) / stretches, axis=0)
+    sent = rows.sparkSession.sparkContext.broadcast(cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                s = score(part)
-                y = labels([c.to_numpy(zero_copy_only=False) for c in part.columns[2:7]])
-                perm = np.broadcast_to(np.arange(first, first + s.shape[1], dtype=np.int32), s.shape)
-                yield pa.RecordBatch.from_arrays([pa.array(perm.ravel()), pa.array(y.ravel().astype(float)), pa.array(np.round(s, 12).ravel())], ["perm", "y", "score"])
-
-    return rows.mapInArrow(run, "perm int, y double, score double")
-
-
-def _linear(rows: DataFrame, weights: np.ndarray, bias: np.ndarray, labels: L.Labels, first: int) -> DataFrame:
+            if batch.num_rows:
+                of, y = score(batch), S.packed(batch.column("bits"), last - first)
+                for at in range(0, last - first, STRETCH):
+                    wide = min(STRETCH, last - first - at)
+                    s = np.ascontiguousarray(np.round(of(at, wide), 12).T)
+                    yield _levels(s, _part(y, at, wide).T, sent.value[:, at : at + wide], first + at)
+        release()
+
+    levels = rows.mapInArrow(run, "perm int, cut int, s binary, ones binary, zeros binary")
+    pairs = levels.groupBy("perm", "cut").applyInArrow(_pairs, "perm int, cut int, u double, ones double, zeros double")
+    below = F.coalesce(F.sum("zeros").over(W.partitionBy("perm").orderBy("cut").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    u = F.sum(F.col("u") + F.col("ones") * F.col("below"))
+    return pairs.withColumn("below", below).groupBy("perm").agg(F.try_divide(u, F.sum("ones") * F.sum("zeros")).alias("auroc"))
+
+
+def _linear(rows: DataFrame, weights: np.ndarray, bias: np.ndarray, first: int) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast((weights, bias))
 
-    def score(batch: pa.RecordBatch) -> np.ndarray:
+    def score(batch: pa.RecordBatch):
         w, b = sent.value
-        x, fold = L.matrix(batch.column(0)), batch.column(1).to_numpy()
-        out = np.zeros((len(fold), w.shape[2]))
-        for f in np.unique(fold):
-            out[fold == f] = x[fold == f] @ w[f] + b[f]
-        return out
+        x, fold = L.matrix(batch.column("x")), batch.column("fold").to_numpy()
+        own = [(f, np.flatnonzero(fold == f)) for f in np.unique(fold)]
 
-    return _exploded(rows, score, labels, first)
+        def of(at: int, wide: int) -> np.ndarray:
+            out = np.zeros((len(fold), wide))
+            for f, here in own:
+                out[here] = x[here] @ w[f][:, at : at + wide] + b[f][at : at + wide]
+            return out
+
+        return of
+
+    return _areas(rows, score, first, first + bias.shape[1])
 
 
 def _plsda(rows: DataFrame, folds: int, labels: L.Labels, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,40 +146,32 @@ def _plsda(rows: DataFrame, folds: int, labels: L.Labels, k: int) -> tuple[np.nd
         if not sums:
             continue
         n, sx, sy, xx, xy = sums
-        for c in range(columns):
-            if not 0 < sy[c] < n:
-                continue
-            both = np.array([n - sy[c], sy[c]]), np.column_stack([sx - xy[:, c], xy[:, c]])
-            mx, coef, my = L.pls_from_sums(n, sx, both[0], xx, both[1], k)
-            weights[f, :, c] = coef[:, 1]
-            bias[f, c] = my[1] - (mx + pivot) @ coef[:, 1]
+        mx, coef = L.pls_of_two(n, sx, sy, xx, xy, k)
+        fitted = (sy > 0) & (sy < n)
+        weights[f] = np.where(fitted, coef, 0.0)
+        bias[f] = np.where(fitted, sy / n - (mx + pivot) @ coef, 0.0)
     return weights, bias
 
 
-def _neighbours(rows: DataFrame, folds: int, k: int) -> DataFrame:
-    """Each row with the weights and label places of its neighbours outside its fold, as lists."""
-    near = []
-    for f in range(folds):
-        near.append(V.cosine_neighbours(rows.filter(F.col("fold") == f), rows.filter(F.col("fold") != f), "x", "id", k))
+def _neighbours(rows: DataFrame, k: int) -> DataFrame:
+    """``query_id, id, w``: neighbours outside a row's fold and their weights."""
     weight = 1 / F.greatest(1 - F.col("sim"), F.lit(1e-12))
-    found = reduce(lambda a, b: a.unionByName(b), near).select("query_id", "id", weight.alias("w"))
-    own = rows.select("id", *LABELS)
-    lists = found.join(own, "id").groupBy(F.col("query_id").alias("id")).agg(F.collect_list(F.struct("w", *LABELS)).alias("near"))
-    spread = [F.col(f"near.{c}").alias(f"near_{c}") for c in ("w", *LABELS)]
-    return rows.join(lists, "id").select("id", "fold", *LABELS, *spread)
+    return V.cosine_neighbours(rows, rows, "x", "id", k, apart="fold").select("query_id", "id", weight.alias("w"))
 
 
-def _votes(rows: DataFrame, labels: L.Labels, first: int) -> DataFrame:
-    """Share of class 1 among the neighbours' weights."""
+def _votes(rows: DataFrame, near: DataFrame, first: int, last: int) -> DataFrame:
+    """Areas of the share of class 1 among the neighbours' weights."""
+    lists = near.join(rows.select("id", "bits"), "id").groupBy(F.col("query_id").alias("id")).agg(F.collect_list(F.struct("w", "bits")).alias("near"))
+    voted = settled(rows.select("id", "bits").join(lists, "id").select("bits", F.col("near.w").alias("w"), F.col("near.bits").alias("on")), "votes")
 
-    def score(batch: pa.RecordBatch) -> np.ndarray:
-        lists = batch.columns[7:]
-        w = lists[0].flatten().to_numpy(zero_copy_only=False)
-        on = labels([c.flatten().to_numpy(zero_copy_only=False) for c in lists[1:]])
-        starts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists[0]).to_numpy(zero_copy_only=False))[:-1]])
-        return np.add.reduceat(w[:, None] * on, starts) / np.add.reduceat(w, starts)[:, None]
+    def score(batch: pa.RecordBatch):
+        w = batch.column("w").flatten().to_numpy(zero_copy_only=False)
+        on = S.packed(batch.column("on").flatten(), last - first)
+        starts = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column("w")).to_numpy(zero_copy_only=False))[:-1]])
+        total = np.add.reduceat(w, starts)[:, None]
+        return lambda at, wide: np.add.reduceat(w[:, None] * _part(on, at, wide), starts) / total
 
-    return _exploded(rows, score, labels, first)
+    return _areas(voted, score, first, last)
 
 
 def refit_null(
@@ -137,25 +194,28 @@ def refit_null(
     names = [r[0] for r in use.select(folds).distinct().orderBy(folds).collect()]
     spot = F.array_position(F.array(*(F.lit(n) for n in names)), F.col(folds)) - 1 if names else F.lit(0)
     columns = [A.doubles(F.col(vector)).alias("x"), spot.cast("int").alias("fold"), F.col(group).alias("_g")] + ([F.col(id_col).cast("long").alias("id")] if id_col else [])
-    placed = S.places(use, group, label, strata).withColumnRenamed(group, "_g")
-    rows = use.select(*columns).join(placed, "_g").select("x", "fold", *LABELS, *(["id"] if id_col else []))
-    rows = settled(rows, "refit")
-    width = rows.select(F.size("x").alias("d")).first()
-    if not width:
+    size = use.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("d")).first()
+    if not size.d:
         return S.against_null(df.sparkSession.createDataFrame([], "perm int, auroc double"))
-    near = settled(_neighbours(rows, len(names), int(hyper)), "near") if model == "knn" else None
-    step = n_perm + 1 if model == "knn" else max(1, L.BLOCK // max(1, len(names) * (width.d + 1)))
-    areas = []
+    placed = S.places(use, group, label, strata).withColumnRenamed(group, "_g")
+    step = max(1, L.BLOCK // max(1, len(names) * (size.d + 1)))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = cores * max(1, -(-size.n * min(step, n_perm + 1) // (TASK * cores)))
+    near, areas = None, []
     for first in range(-1, n_perm, step):
         last = min(n_perm, first + step)
-        labels = _columns(first, last, seed)
-        bare = rows.select("x", "fold", *LABELS)
+        labels = _labels(last - first)
+        bits = S.label_bits(placed, "_g", first, last, seed)
+        rows = use.select(*columns).join(bits, "_g").select("x", "fold", "bits", *(["id"] if id_col else []))
+        # rows are small and their shuffles many: tasks by labels, not by bytes
+        rows = settled(rows.repartition(tasks), "refit")
+        bare = rows.select("x", "fold", "bits")
         if model == "knn":
-            scored = _votes(near, labels, first)
+            near = near or settled(_neighbours(rows, int(hyper)), "near")
+            areas.append(_votes(rows, near, first, last))
         elif model == "logistic":
             fit = L.joint_logistic(bare, labels, np.full(last - first, float(hyper)), len(names), tol=1e-6)
-            scored = _linear(bare, fit.weights, fit.bias, labels, first)
+            areas.append(_linear(bare, fit.weights, fit.bias, first))
         else:
-            scored = _linear(bare, *_plsda(bare, len(names), labels, int(hyper)), labels, first)
-        areas.append(M.auroc(scored, "y", "score", "perm").select("perm", "auroc"))
+            areas.append(_linear(bare, *_plsda(bare, len(names), labels, int(hyper)), first))
     return S.against_null(reduce(lambda a, b: a.unionByName(b), areas))

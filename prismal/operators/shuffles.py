@@ -17,6 +17,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prismal.operators import metrics as M
 from prismal.operators import resample as R
@@ -77,6 +78,33 @@ def labels_of(pos: np.ndarray, n: np.ndarray, ones: np.ndarray, z: np.ndarray, p
     return out
 
 
+def label_bits(placed: DataFrame, group: str, first: int, last: int, seed: int) -> DataFrame:
+    """``<group>, bits``: a group's labels in the shuffles ``first`` to ``last - 1``, -1 being the true ones, eight to a byte.
+
+    Labels are made once a group, and ``unpacked`` where rows are read.
+    """
+    ship(placed.sparkSession)
+    perms = np.arange(max(0, first), last)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, CHUNK // max(1, last - first))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                y, pos, n, ones, z = (c.to_numpy(zero_copy_only=False) for c in part.columns[1:])
+                drawn = labels_of(pos, n, ones, z, perms, seed)
+                bits = np.packbits(np.column_stack([y > 0, drawn]) if first < 0 else drawn, axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([b.tobytes() for b in bits], pa.binary())], [group, "bits"])
+
+    rows = placed.select(group, "y", *PLACE)
+    return rows.mapInArrow(run, T.StructType([T.StructField(group, rows.schema[group].dataType), T.StructField("bits", T.BinaryType())]))
+
+
+def packed(bits: pa.Array, n: int) -> np.ndarray:
+    """Bytes of ``bits``, a row each, that hold ``n`` labels."""
+    return np.frombuffer(b"".join(bits.to_pylist()), np.uint8).reshape(len(bits), -(-n // 8))
+
+
 def places(df: DataFrame, group: str, label: str, strata: str | None = None) -> DataFrame:
     """``<group>, y, pos, n, ones, z``: the place of every group in its stratum, the stratum's groups, those with label 1, and its key.
 

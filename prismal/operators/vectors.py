@@ -104,13 +104,15 @@ def nearest_centroid(train: DataFrame, test: DataFrame, vector: str, label: str,
     return best.select("id", "truth", F.col("b.pred").alias("pred"), F.col("b.sim").alias("sim"), (F.exp(10 * F.col("b.sim")) / F.col("z")).alias("prob"))
 
 
-def cosine_neighbours(queries: DataFrame, base: DataFrame, vector: str, id_col: str, k: int, carry: list[str] | None = None) -> DataFrame:
+def cosine_neighbours(queries: DataFrame, base: DataFrame, vector: str, id_col: str, k: int, carry: list[str] | None = None, apart: str | None = None) -> DataFrame:
     """The ``k`` rows of ``base`` with the largest cosine for every query row, itself left out: ``query_id, id, sim, rank``.
 
+    With ``apart`` only rows that differ in that column, such as a fold, are compared.
+
     Exact, both sides of any size: pairs of blocks are compared as tasks of their
     own and give ``k`` rows a query each.  The work is the product of both sides.
     """
-    near = N.nearest(queries, base, vector, id_col, k)
+    near = N.nearest(queries, base, vector, id_col, k, apart)
     w = W.partitionBy("query_id").orderBy(F.desc("sim"), "id")
     best = near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return best.join(base.select(F.col(id_col).alias("id"), *carry), "id") if carry else best

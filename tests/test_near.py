@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from prismal.operators import near as N
+from prismal.operators import vectors as V
 
 
 @pytest.fixture(scope="module")
@@ -81,3 +82,20 @@ def test_a_pair_of_blocks_takes_little_beyond_its_rows(monkeypatch):
         else:
             want = 300 + np.argsort(-s, axis=1, kind="stable")[:, :5]
             assert np.array_equal(out["id"].to_numpy().reshape(600, 5), want)
+
+
+def test_nearest_rows_of_other_sides_only(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_BYTES", 8 * 4 * 30)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(150, 4))[rng.integers(0, 100, 150)]  # with copies
+    x[10:17, 1] = np.nan
+    side = [None if i % 25 == 0 else "abc"[i % 3] for i in range(150)]
+    df = spark.createDataFrame([(i, [float(v) for v in r], s) for i, (r, s) in enumerate(zip(x, side))], "id long, v array<double>, s string")
+    got = {}
+    for r in V.cosine_neighbours(df, df, "v", "id", 4, apart="s").orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = np.round(u @ u.T, 12)
+    for i in range(150):
+        others = [j for j in range(150) if side[i] and side[j] and side[j] != side[i] and not np.isnan(sims[i, j])]
+        assert got.get(i, []) == sorted(others, key=lambda j: (-sims[i, j], j))[:4]

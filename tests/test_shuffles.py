@@ -191,3 +191,46 @@ def test_labels_of_many_rows_and_shuffles_take_little_beyond_themselves():
     tracemalloc.stop()
     assert peak < 64 << 20
     assert (drawn == (S.shuffled(*columns[:2], np.arange(1000), 3) < n)).all()
+
+
+def test_areas_of_refits_move_lists_and_are_cut_by_score(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    n, columns = 500, 70
+    x = np.round(rng.normal(size=(n, 3)), 1)  # scores that tie
+    y = rng.random((n, columns)) < 0.3
+    weights, bias = rng.integers(-1, 2, (2, 3, columns)).astype(float), np.zeros((2, columns))
+    weights[:, :, 0] = 0
+    rows = spark.createDataFrame([([float(v) for v in r], i % 2, bytes(np.packbits(b))) for i, (r, b) in enumerate(zip(x, y))], "x array<double>, fold int, bits binary").repartition(3).cache()
+    monkeypatch.setattr(X, "RANGE", 60)
+    areas = X._linear(rows, weights, bias, -1)
+    got = {r.perm: r.auroc for r in areas.collect()}
+    s = np.array([x[i] @ weights[i % 2] for i in range(n)])
+    assert got == {j - 1: pytest.approx(area(y[:, j], s[:, j]), abs=1e-12) for j in range(columns)}
+    # a row a stretch of a shuffle and batch is exchanged, none a row and shuffle
+    assert "FlatMapGroupsInArrow" in areas._jdf.queryExecution().executedPlan().toString()
+    none = X._areas(rows, lambda b: lambda at, wide: np.full((b.num_rows, wide), np.nan), -1, columns - 1).collect()
+    assert len(none) == columns and all(r.auroc is None for r in none)
+
+
+def test_pls_of_two_classes_equals_pls_from_sums():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(80, 5)) @ rng.normal(size=(5, 5))
+    x[:, 2] = 0
+    y = (rng.random((80, 4)) < [0.3, 0.5, 0, 1]).astype(float)
+    sums = len(x), x.sum(0), x.T @ x
+    for k in (1, 3, 8):
+        mx, coef = L.pls_of_two(sums[0], sums[1], y.sum(0), sums[2], x.T @ y, k)
+        assert not coef[:, 2:].any()
+        for c in (0, 1):
+            both = np.column_stack([1 - y[:, c], y[:, c]])
+            want = L.pls_from_sums(sums[0], sums[1], both.sum(0), sums[2], x.T @ both, k)
+            assert mx == pytest.approx(want[0]) and coef[:, c] == pytest.approx(want[1][:, 1], abs=1e-9)
+
+
+def test_packed_labels_are_those_of_the_shuffles(data):
+    _, df = data
+    drawn = label_columns(df, 21)
+    placed = S.places(df, "g", "y")
+    got = {r.g: np.unpackbits(np.frombuffer(r.bits, np.uint8), count=22) for r in S.label_bits(placed, "g", -1, 21, 0).collect()}
+    assert {g: list(v[1:]) for g, v in got.items()} == {g: list(v) for g, v in drawn.items()}
+    assert {r.g: r.y for r in placed.collect()} == {g: v[0] for g, v in got.items()}
