@@ -170,7 +170,7 @@ def null_areas(df: DataFrame, group: str, label: str, score: str, n_perm: int =
 def against_null(areas: DataFrame) -> DataFrame:
     """``auroc, p, null_mean, n_perm`` of ``perm, auroc``, the true one under -1; areas that are null are no draws."""
     real = F.max(F.when(F.col("perm") < 0, F.col("auroc")))
-    one = areas.agg(real.alias("auroc"), F.collect_list(F.when(F.col("perm") >= 0, F.col("auroc"))).alias("null"))
+    one = areas.agg(real.alias("auroc"), F.array_sort(F.collect_list(F.when(F.col("perm") >= 0, F.col("auroc")))).alias("null"))
     n, above = F.size("null"), F.size(F.filter("null", lambda a: a >= F.col("auroc") - 1e-12))
     mean = F.try_divide(F.aggregate("null", F.lit(0.0), lambda s, x: s + x), n)
     return one.select("auroc", ((1 + above) / (1 + n)).alias("p"), mean.alias("null_mean"), n.alias("n_perm"))
