@@ -169,6 +169,26 @@ def test_query_equals_its_sql(spark, duck, name):
     assert key(df.collect()) == key(want)
 
 
+def test_every_vector_gets_a_vote(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(11)
+    x, ids = rng.normal(size=(70, 5))[rng.integers(0, 60, 70)], [i for i in range(1, 80) if i % 20][:70]  # with copies
+    df = spark.createDataFrame([(i, [float(v) for v in r], i % 3) for i, r in zip(ids, x)], "vec_id long, embedding array<float>, label int")
+    df.repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.query_id: r.pred for r in queries.QUERIES["neighbour_vote"](spark, str(tmp_path)).collect()}
+    u = x.astype(np.float32).astype(float)
+    sims = np.round((u / np.linalg.norm(u, axis=1, keepdims=True)) @ (u / np.linalg.norm(u, axis=1, keepdims=True)).T, 12)
+    want = {}
+    for i, s in zip(ids, sims):
+        near = sorted((j for j in range(70) if ids[j] != i), key=lambda j: (-s[j], ids[j]))[:5]
+        w = [round(sum(1 / max(1 - s[j], 1e-12) for j in near if ids[j] % 3 == c), 6) for c in range(3)]
+        want[i] = int(np.argmax(w))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == want == dict(con.execute(queries.ORACLES["neighbour_vote"]).fetchall())
+
+
 @pytest.fixture(scope="module")
 def duck():
     import duckdb
