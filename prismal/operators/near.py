@@ -45,8 +45,14 @@ def matrix(column) -> np.ndarray:
     return x
 
 
+def _floats(df: DataFrame, vector: str) -> bool:
+    return df.schema[vector].dataType.simpleString() == "array<float>"
+
+
 def _rows(df: DataFrame, vector: str, id_col: str, *carry: str) -> DataFrame:
-    return df.filter(F.col(id_col).isNotNull() & F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), A.doubles(F.col(vector)).alias("x"), *carry)
+    """``id, x``; floats stay floats, half the bytes to send: ``matrix`` widens them."""
+    x = F.col(vector) if _floats(df, vector) else A.doubles(F.col(vector))
+    return df.filter(F.col(id_col).isNotNull() & F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), x.alias("x"), *carry)
 
 
 def pivots(rows: DataFrame) -> np.ndarray:
@@ -107,17 +113,20 @@ def in_blocks(left: DataFrame, right: DataFrame, fn, schema: str) -> tuple[DataF
     for each block of the other side.
     """
     width = max((r.d or 1 for r in left.unionByName(right).agg(F.max(F.size("x")).alias("d")).collect()), default=1)
-    rows = max(1, BLOCK_BYTES // (8 * width))
+    rows = max(1, BLOCK_BYTES // ((4 if _floats(left, "x") and _floats(right, "x") else 8) * width))
     count = lambda df, n: df.groupBy("cell").agg(F.count("*").alias(n))
     sizes = settled(count(left, "l").join(count(right, "r"), "cell"), "cells")
     number = lambda n: F.ceil(F.col(n) / rows).cast("int")
     sizes = sizes.select("cell", "l", "r", number("l").alias("lb"), number("r").alias("rb"))
     compared = sizes.agg(F.sum(F.col("l") * F.col("r"))).first()[0] or 0
 
+    # both sides may be one table
+    own_name = lambda c: F.col(c).alias(c)
+
     def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
         # a row a cell: at most PIVOTS
         both = df.join(F.broadcast(sizes), "cell").withColumn(own[0], F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
-        return both.withColumn(other[0], F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("cell", F.col("l").cast("int").alias("lo"), F.col("r").cast("int").alias("ro"), "id", "x")
+        return both.withColumn(other[0], F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select(own_name("cell"), F.col("l").cast("int").alias("lo"), F.col("r").cast("int").alias("ro"), own_name("id"), own_name("x"))
 
     key = ["cell", "lo", "ro"]
     pairs = dealt(left, "lb", "rb").groupBy(*key).cogroup(dealt(right, "rb", "lb").groupBy(*key))
@@ -125,7 +134,7 @@ def in_blocks(left: DataFrame, right: DataFrame, fn, schema: str) -> tuple[DataF
 
 
 def _prepared(left: DataFrame, right: DataFrame, vector: str, id_col: str, least: float, max_share: float | None):
-    a, b = settled(_rows(left, vector, id_col), "left"), settled(_rows(right, vector, id_col), "right")
+    a, b = (settled(_rows(df, vector, id_col).withColumn("x", A.doubles(F.col("x"))), name) for df, name in ((left, "left"), (right, "right")))
     p = pivots(b)
     if not p.shape[1]:
         p = pivots(a)
@@ -199,12 +208,14 @@ def link_counts(df: DataFrame, vector: str, id_col: str, least: float, max_share
 
 
 def _sides(queries: DataFrame, base: DataFrame, vector: str, id_col: str, apart: str | None) -> tuple[DataFrame, DataFrame]:
-    """Written queries and base rows ``id, x, cell``: one cell, or with ``apart`` one a value, which the base rows of all others visit."""
+    """Written queries and base rows ``id, x, cell``, once where they are one table: one cell, or with ``apart`` one a value, which the base rows of all others visit."""
     if not apart:
         one = lambda df, name: settled(_rows(df, vector, id_col).withColumn("cell", F.lit(0)), name)
-        return one(queries, "queries"), one(base, "base")
+        left = one(queries, "queries")
+        return left, left if base is queries else one(base, "base")
     two = lambda df, name: settled(_rows(df.filter(F.col(apart).isNotNull()).withColumn("_side", F.col(apart).cast("string")), vector, id_col, "_side"), name)
-    left, right = two(queries, "queries"), two(base, "base")
+    left = two(queries, "queries")
+    right = left if base is queries else two(base, "base")
     names = F.array(*(F.lit(r[0]) for r in left.select("_side").distinct().orderBy("_side").collect())).cast("array<string>")
     spot = lambda c: F.array_position(names, c).cast("int")
     others = F.transform(F.filter(names, lambda c: c != F.col("_side")), spot)

@@ -99,3 +99,18 @@ def test_nearest_rows_of_other_sides_only(spark, monkeypatch):
     for i in range(150):
         others = [j for j in range(150) if side[i] and side[j] and side[j] != side[i] and not np.isnan(sims[i, j])]
         assert got.get(i, []) == sorted(others, key=lambda j: (-sims[i, j], j))[:4]
+
+
+def test_floats_are_sent_as_floats(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_BYTES", 4 * 4 * 30)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(100, 4)).astype(np.float32)[rng.integers(0, 80, 100)]  # with copies
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<float>").cache()
+    near = N.nearest(df, df, "v", "id", 3)
+    assert near.groupBy("query_id").count().agg({"count": "max"}).first()[0] <= 3 * 4  # 30 rows a block
+    sent = [line for line in near._jdf.queryExecution().analyzed().toString().splitlines() if "FlatMapCoGroupsInArrow" in line]
+    left, right = N._sides(df, df, "v", "id", None)
+    assert sent and left is right and left.schema["x"].dataType.simpleString() == "array<float>"
+    wide = df.withColumn("v", df.v.cast("array<double>"))
+    got, want = (sorted(map(tuple, V.cosine_neighbours(d, d, "v", "id", 3).collect())) for d in (df, wide))
+    assert got == want and len(got) == 300
